@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, sharding, tokens
+from . import chat, decontamination, exact, jaccard, language, mixing, sharding, tokens
 
 SHARDS = 16
 
@@ -23,6 +23,20 @@ def public_tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    vocabulary = public_tokenizer("piece_bpe_32k.model")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.learn(docs.filter(~held_out), vocabulary)
+    found = language.identify(docs.select("doc_id", "text"), model, vocabulary, keep=["doc_id"])
+    return found.select("record.doc_id", "lang_pred", "score").withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs, shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
@@ -36,6 +50,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("record.doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix_sources(docs)
@@ -64,8 +83,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_sharding": op6_sharding,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
     "op10_exact_dedup": op10_exact_dedup,
