@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; with 3 KB texts a few MB, with the longest texts still well under 200 MB.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+#: Rows in an Arrow batch; with 3 KB texts 1.5 MB; long texts end a batch at BATCH_BYTES.
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -19,11 +19,14 @@ rows are separate documents; an empty table gives an empty manifest.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +42,44 @@ from .common import new_path, prepare, staged
 SEEK_FRAME, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 INDEX_FRAME, INDEX_MAGIC = 0x184D2A50, b"MGTK"
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
-#: Cached chunks in a worker; some 60 MB.
-CACHE_ENTRIES = 250_000
+#: Cached words in each of a worker's two cache generations; some 60 MB each.
+CACHE_ENTRIES = 300_000
 LEVEL = 3
 
-#: White space other than space and line feed: such texts are encoded whole.
-_RARE_SPACE = re.compile("[" + "".join(map(chr, (0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
-#: White space belongs to what follows it, and no token spans a change from other characters to white space.
-_CHUNK = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: The byte-level pre-tokenizer's pattern, over an alphabet in which each class is known exactly.
+_L = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(rf" ?[{_L}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^ \n0-9{_L}]+|[ \n]+(?![^ \n])|[ \n]+")
+_OTHER = re.compile(rf"[^ -~\n{_L}]")
+#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for 256 and up in order.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ID = attrgetter("id")
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk with a bounded cache; equal to encoding them whole."""
+class _Generations(dict):
+    """Words' encodings; what was not asked for in a whole generation is forgotten."""
+
+    def __init__(self, model, kind: str, older: dict[str, bytes]) -> None:
+        self.tokenize, self.code, self.older = model.tokenize, "H" if kind == "<u2" else "I", older
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if word.isascii():
+                mapped = word.replace(" ", "\u0120").replace("\n", "\u010a")
+            else:
+                mapped = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = array(self.code, map(_ID, self.tokenize(mapped))).tobytes()
+        self[word] = found
+        return found
+
+
+class WordEncoder:
+    """Encodes texts word by word with a bounded cache; equal to encoding them whole.
+
+    Texts with characters outside the known alphabet or with a special token's
+    string, and all texts of tokenizers that split otherwise, are encoded whole.
+    """
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,28 +89,30 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.cache: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made["normalizer"] and not made["truncation"] and not made["padding"]
+        self.special = [t["content"] for t in made["added_tokens"]]
+        self.cache = _Generations(self.tokenizer.model, self.kind, {})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_RARE_SPACE.search(t)) for t in texts]
-        chunks = [[] if w else _CHUNK.findall(t) for t, w in zip(texts, whole)]
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        missing = list({c for own in chunks for c in own if c not in cache})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            cache.update(zip(part, self._ids(part)))
-        get = cache.__getitem__
-        return [self._ids([t])[0] if w else b"".join(map(get, own)) for t, w, own in zip(texts, whole, chunks)]
+    def _whole(self, text: str) -> bool:
+        return not self.by_word or bool(_OTHER.search(text)) or any(t in text for t in self.special)
+
+    def encode(self, text: str) -> bytes:
+        if self._whole(text):
+            return self._ids([text])[0]
+        if len(self.cache) > CACHE_ENTRIES:
+            older = dict(self.cache)
+            self.cache = _Generations(self.tokenizer.model, self.kind, older)
+        return b"".join(map(self.cache.__getitem__, _WORD.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
-    return ChunkEncoder(path, special_as_text)
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    return WordEncoder(path, special_as_text)
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -166,8 +197,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, en
             if writer is None and batch.num_rows:
                 name = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.mgtk"
                 writer = FrameWriter(name, coder.width)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, plain in zip(batch.column(0).to_pylist(), coder.encode(texts)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain = coder.encode(text or "")
                 writer.add(doc_id, plain + end)
                 tokens += len(plain) // coder.width + 1
         if writer is not None:
