@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, jaccard, language, mixing, sharding, tokens
+from . import chat, decontamination, exact, extraction, jaccard, language, mixing, pii, sharding, tokens
 
 SHARDS = 16
 
@@ -43,6 +42,21 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(planted)))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: str):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = sharding.write_shards(sharding.two_pass_shuffle(docs, shards=SHARDS))
@@ -86,6 +100,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
