@@ -234,7 +234,7 @@ QUERIES = {k: (lambda q: lambda spark, sf: q(configured(spark), sf))(v) for k, v
 
 
 def quote(value) -> str:
-    return "NULL" if value is None else str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+    return "NULL" if value is None else str(value).lower() if isinstance(value, (bool, int, float)) else "'" + value.replace("'", "''") + "'"
 
 
 def values(rows, columns: str) -> str:
@@ -360,3 +360,23 @@ ORACLES = {
     "facet_decisions": families("a || chr(10) || u", P.DECISIONS, ".,!?", 4, "decisions"),
     "facet_dates_turns": families("u || chr(10) || a", P.DATES, ".,!?;:", 10, "dates", r"regexp_replace({}, '\s+', ' ', 'g')", "length(p) >= 3"),
 }
+
+#: What the corpus above must give, worked out by hand from its text.
+EXPECTED = {
+    "catalog_rows": ("section, tier, link, summary, head_kind, folder", [("Hub Map", None, "beds/_CLOSETS", "vegetable beds", "closets", "beds"), ("Hub Map", None, "tools-index", "what we own", "index", "tools"), ("Tier 1 - Always", 1, "glossary", "words", "file", None), ("Tier 1 - Always", 1, "status", "where things stand", "file", None), ("Tier 3 - Archive", 3, "old-plan", "replaced", "file", None)]),
+    "session_log_entries": ("ordinal, date, title, bullets", [(1, "2026-02-12", "soil day", "moved soil, seed order still open|plan in [[raised-bed]]"), (2, "2026-02-08", "order", "seed order sent again"), (3, "2026-02-01", "start", "seed order drafted|tools counted")]),
+    "status_sections": ("last_updated, section, ordinal, text", [("2026-02-10", "Blocked", 1, "seed order"), ("2026-02-10", "Blocked", 2, "water pump"), ("2026-02-10", "In Progress", 1, "[[raised-bed]] needs soil")]),
+    "idea_routes": ("title, date, body, collection", [("Bee hotel", "2026-02-11", "A box for wild bees near the beds.", "beds"), ("Night light", "2026-02-12", "Solar lamps.", "unrouted")]),
+    "lint_report": ('"check", severity, subject, detail', [("blockers", "WARN", "seed order", "3 entries"), ("catalog", "INFO", "old-plan", "no file"), ("catalog", "WARN", "tools-index", "no file"), ("coverage", "WARN", "tools", "no index"), ("decisions", "WARN", "1", "superseded by 4"), ("freshness", "WARN", "memory/status.md", "10 days"), ("orphan_files", "INFO", "beds/lost-bed", "no file"), ("orphan_files", "WARN", "beds/herb-spiral.v2", "not registered"), ("orphan_files", "WARN", "beds/herb-spirals", "not registered"), ("orphan_files", "WARN", "tools/rake", "not registered"), ("orphan_folders", "WARN", "compost", "3 files"), ("orphan_folders", "WARN", "people", "2 files"), ("summary_format", "WARN", "_MANIFEST.md", "1"), ("typed_edges", "WARN", "herb-spiral.v2", "supersedes old-plan"), ("typed_edges", "WARN", "rake", "blocked-by shed")]),
+    "lint_totals": ("warnings, infos, checks", [(13, 2, 9)]),
+    "next_actions": ('"check", action', [*audit.ACTIONS, ("upgrade", "upgrade, which does both in order")]),
+    "upgrade_signals": ("corpus, managed, summary_format, n_missing, index_format, n_large, memory_index", [("garden", "2.0.1", 1, 1, "1.0", 0, False)]),
+    "run_log_rows": ("ts, line, status", [("2026-02-01 10:00:00", "2026-02-01T10:00:00  contradictions=1 dedup=3 orphans=0  status=ok", "ok"), ("2026-02-03 11:30:00", "2026-02-03T11:30:00  files=14 hubs=2 refreshed=5 skipped=9  status=partial", "partial")]),
+    "idempotent_write": ("rel", [("b",), ("c",)]),
+    "field_split": ("id, fields, clean", [(1, "subjects: a; b#people: c#| dates: d", "subjects: a; b | people: c |  | dates: d"), (2, "plain", "plain"), (3, "", ""), (4, "a|b", "a|b"), (5, "Summary: - x", "x"), (6, "One-line summary:  y", "y")]),
+    "summary_lines": ("line", [("| closets:emax | 100.0% | 0.0% |",), ("| content:bm25 | 50.0% | 93.8% |",)]),
+    "facet_subjects": ("session_id, subjects", [(1, "I am a teacher in Lisbon|- buy oat milk\n- call Anna Maria Lopez\nI prefer tea|green tea set|buy oat milk|call Anna Maria Lopez"), (2, "I used to live in Oslo|Call Anna on 2024-03-05 or 3/5/24|Travel Plan"), (3, "")]),
+    "facet_people_turns": ("session_id, people", [(1, "Mike|Lisbon|Meet|Anna Maria Lopez|Noted"), (2, "Oslo|Rex|Call Anna|Travel Plan\nSwitched"), (3, "Hello")]),
+    "briefing": ("part, ordinal, line", [("1 status", 1, "Last updated 2026-02-10"), ("2 stale", 1, "10 days old"), ("3 last session", 1, "moved soil, seed order still open"), ("3 last session", 2, "plan in [[raised-bed]]"), ("4 in progress", 1, "[[raised-bed]] needs soil"), ("5 blocked", 1, "seed order"), ("5 blocked", 2, "water pump"), ("6 decisions", 1, "2026-02-04 - north bed gets compost"), ("6 decisions", 2, "2026-02-03 - north bed gets clover"), ("6 decisions", 3, "2026-02-02 - drip hose replaces water by hand for the north bed"), ("6 decisions", 4, "2026-01-20 - clay pots instead of plastic pots"), ("6 decisions", 5, "2026-01-06 - buy plastic pots"), ("7 ideas", 1, "Bee hotel -> beds"), ("7 ideas", 1, "Night light"), ("8 notices", 1, "files changed after the last status update"), ("8 notices", 2, "no index: tools")]),
+}
+ORACLES |= {k: f"SELECT * FROM {values(rows, columns)}" for k, (columns, rows) in EXPECTED.items()}

@@ -71,7 +71,7 @@ def first_sentence(text: Column, cap: int = 120) -> Column:
 
 def subjects(user_turns: Column, full: Column, cap: int = 12) -> Column:
     """EX7: user first sentences, quoted strings, list items, headings, frequent acronyms."""
-    sentences = F.transform(F.filter(F.transform(user_turns, strip), lambda t: t != ""), first_sentence)
+    sentences = F.transform(F.filter(F.transform(user_turns, strip), lambda t: t != ""), lambda t: first_sentence(t))
     capitals = heaviest(F.transform(found(full, _unicode(P.CAPITALS)), lambda m: F.struct(m.alias("name"), F.lit(1).alias("w"))), 8)
     blocked = F.array(*[F.lit(n) for n in P.NOT_CAPITALS])
     every = F.flatten(F.array(sentences, found(full, P.QUOTED, 1), found(full, _unicode(P.LIST_ITEM), 1), found(full, _unicode(P.HEADING), 1), F.filter(capitals, lambda t: ~F.array_contains(blocked, t))))
