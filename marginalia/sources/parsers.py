@@ -120,9 +120,10 @@ QUESTIONS = "question_id string, question_type string, question string, haystack
 
 
 def questions(spark: SparkSession, path: str, schema: str | StructType = QUESTIONS) -> DataFrame:
-    """SC10, SC11: one JSON array, or JSON lines where that gives nothing."""
-    whole = spark.read.schema(schema).json(path, multiLine=True)
-    return whole if not whole.filter("question_id is not null").isEmpty() else spark.read.schema(schema).json(path)
+    """SC10, SC11: one JSON array, or JSON lines where the file doesn't start as one."""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    whole = first is not None and first["value"].lstrip().startswith("[")
+    return spark.read.schema(schema).json(path, multiLine=whole)
 
 
 def candidate_turns(data: DataFrame) -> DataFrame:
