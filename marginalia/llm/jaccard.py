@@ -43,14 +43,18 @@ from .components import components
 from .textkeys import batch_shingles, mix
 
 #: Shingles of a stretch in which frequent ones are counted, the least total count, and the most that are sent to all tasks (16 bytes each).
-STRETCH, FREQUENT, MOST_FREQUENT = 1_000_000, 24, 1 << 17
+STRETCH, FREQUENT, MOST_FREQUENT = 600_000, 3, 1 << 19
 #: Lists of at most SHORT groups give their pairs at once; blocks of longer ones hold some BLOCK entries.
 SHORT, BLOCK = 8, 2048
+#: Prefixes are so long that similar sets share this many tokens (fewer in sets of fewer elements).
+SHARED = 3
+#: A pair of blocks gives all its pairs that pass at once if they are at most so many times its entries.
+AT_ONCE = 4
 #: Postings packed at a time, and postings in a bin.
-FLUSH, BIN = 500_000, 100_000
+FLUSH, BIN = 250_000, 400_000
 #: With at most so many documents to verify (8 bytes each) their identifiers are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-SKETCH_BITS, MOST_BITS = 4, 1 << 17
+SKETCH_BITS, SMALL_BITS, MOST_BITS = 4, 2048, 1 << 17
 LONG = np.dtype("<i8")
 
 
@@ -70,16 +74,29 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
+def small_sketch(packed: bytes, n: int) -> bytes:
+    """The sketch folded to about SMALL_BITS, or a bit for an element of a large set: enough to tell unlike sets apart."""
+    size = len(packed)
+    while size // 2 * 8 >= max(SMALL_BITS, n):
+        size //= 2
+    return folded(np.frombuffer(packed, dtype=np.uint8)[None, :], size)[0].tobytes()
+
+
 def folded(packed: np.ndarray, size: int) -> np.ndarray:
     """Sketches (rows of bytes) folded to `size` bytes."""
     return packed if packed.shape[1] == size else np.bitwise_or.reduce(packed.reshape(len(packed), -1, size), axis=1)
 
 
+def shared_tokens(n: int, percent: int) -> int:
+    """How many tokens the prefixes of a set of size n and of a similar one share at least."""
+    return max(1, min(SHARED, -(-percent * n // 100)))
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + shared_tokens(n, percent)
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
 def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -97,7 +114,9 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
         for batch in batches:
             sets = list(batch_shingles(text_bytes(batch, "text"), shingle))
             sigs = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(sets), _FEATURES.types[4]), pa.nulls(len(sets), _FEATURES.types[5])], schema=_FEATURES)
+            sketches = [sketch(s) for s in sets]
+            small = [small_sketch(x, len(s)) for x, s in zip(sketches, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.nulls(len(sets), _FEATURES.types[5]), pa.nulls(len(sets), _FEATURES.types[6])], schema=_FEATURES)
             for sig, found in zip(sigs, sets):
                 if sig is not None and sig not in held:
                     held[sig] = found
@@ -109,7 +128,7 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
             yield counted()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(extract, "doc_id long, n long, sig long, sketch binary, tokens array<long>, counts array<long>")
+    return rows.mapInArrow(extract, "doc_id long, n long, sig long, sketch binary, small binary, tokens array<long>, counts array<long>")
 
 
 #: What a posting is made of: in ordinary bins, and of frequent tokens.
@@ -154,10 +173,10 @@ def postings(docs: DataFrame, frequent, bins: int, shingle: int, percent: int, t
                 frequency = np.where(often[k] == found, counts[k], 0) if len(often) else np.zeros(n, dtype=np.int64)
                 order = np.lexsort((found, frequency))[: prefix_length(n, percent)]
                 tokens, frequency = found[order], frequency[order]
+                one_bin = frequency <= BLOCK
                 group = int(mix(np.array([signature(tokens)], dtype=np.int64).view(np.uint64) + np.uint64(n)).view(np.int64)[0])
                 at = np.minimum(np.arange(len(tokens)), 65535)
-                rare = frequency == 0
-                for kind, dtype, own in (("E", ENTRY, rare), ("F", OFTEN, ~rare)):
+                for kind, dtype, own in (("E", ENTRY, one_bin), ("F", OFTEN, ~one_bin)):
                     if not own.any():
                         continue
                     data = np.zeros(int(own.sum()), dtype=dtype)
@@ -223,18 +242,19 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
             edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))
             length = np.diff(edge)
             group, n, place = (e[k].astype(np.int64) for k in ("group", "n", "at"))
-            left, right = [], []
+            left, right, need = [], [], []
             for k in range(2, SHORT + 1):
                 starts = edge[:-1][length == k]
                 for i in range(k):
                     for j in range(i + 1, k):
                         a, b = starts + i, starts + j
                         ok = passes(n[a], n[b], place[a], place[b], percent)
-                        left.append(group[a][ok]), right.append(group[b][ok])
+                        left.append(group[a][ok]), right.append(group[b][ok]), need.append(np.minimum(n[a], n[b])[ok])
             if left:
-                pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+                pairs, times = np.unique(np.stack([np.concatenate(x) for x in (left, right, need)]), axis=1, return_counts=True)
                 for at in range(0, pairs.shape[1], 20_000):
-                    yield rows("P", [bin_id], [0], [pairs[0, at : at + 20_000]], [pairs[1, at : at + 20_000]], [[]], [[]])
+                    own = slice(at, at + 20_000)
+                    yield rows("P", [bin_id], [0], [pairs[0, own]], [pairs[1, own]], [pairs[2, own]], [times[own]])
             long = np.flatnonzero(length > SHORT)
             names = (np.int64(bin_id) << 32) | e["token"].astype(np.int64)
             for k in long:
@@ -285,12 +305,16 @@ def sketch_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(keep, "a long, b long")
 
 
-def block_pairs(blocks: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of classes within pairs of blocks that pass all bounds and lie in different components.
+_TESTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string())])
+
+
+def block_pairs(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b, kind) of classes within pairs of blocks that pass all bounds and lie in different components.
 
-    With `forest`, only a maximum spanning forest of them (by the overlap bound).
+    On the first round, a maximum spanning forest of them by the overlap bound
+    (kind F) and the others (R), if they are few; where they are many, a row
+    (list, list, L) asks for another look at the list.  Later rounds give all (R).
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def columns(entries: list[dict]):
         sig, n, at, label = (np.array([e[k] for e in entries], dtype=np.int64) for k in ("sig", "n", "at", "label"))
@@ -306,7 +330,7 @@ def block_pairs(blocks: DataFrame, percent: int, forest: bool) -> DataFrame:
                     continue
                 size = min(wa, wb)
                 pa_, pb = (folded(np.stack([side[4][i] for i in own]), size).view(np.uint64) for side, own in ((left, ia), (right, ib)))
-                step = max(1, (1 << 20) // max(1, len(ib) * pb.shape[1]))
+                step = max(1, (1 << 18) // max(1, len(ib) * pb.shape[1]))
                 for at in range(0, len(ia), step):
                     a = ia[at : at + step]
                     ok = passes(left[1][a][:, None], right[1][ib][None, :], left[2][a][:, None], right[2][ib][None, :], percent)
@@ -332,7 +356,8 @@ def block_pairs(blocks: DataFrame, percent: int, forest: bool) -> DataFrame:
                 right = left if same else columns(row["entries_b"])
                 a, b, bound = survivors(left, right, same)
                 x, y, lx, ly = left[0][a], right[0][b], left[3][a], right[3][b]
-                if forest and len(x):
+                kind = np.full(len(x), "R")
+                if first and len(x):
                     keep, root = [], {}
 
                     def find(k):
@@ -346,17 +371,22 @@ def block_pairs(blocks: DataFrame, percent: int, forest: bool) -> DataFrame:
                         if p != q:
                             root[p] = q
                             keep.append(k)
-                    x, y = x[keep], y[keep]
+                    kind[keep] = "F"
+                    if len(x) > AT_ONCE * (len(left[0]) + len(right[0])):
+                        x, y, kind = x[keep], y[keep], kind[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array([row["list"]]), pa.array([row["list"]]), pa.array(["L"])], schema=_TESTED)
                 for at in range(0, len(x), 10_000):
-                    p, q = x[at : at + 10_000], y[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=schema)
+                    own = slice(at, at + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[own], y[own])), pa.array(np.maximum(x[own], y[own])), pa.array(kind[own].tolist(), pa.string())], schema=_TESTED)
 
-    pair = ["block", "entries", "block_b", "entries_b"]
+    pair = ["list", "block", "entries", "block_b", "entries_b"]
     alone = blocks.withColumn("block_b", F.col("block")).withColumn("entries_b", F.slice("entries", 1, 0)).select(pair)
-    several = blocks.join(blocks.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list"), "list", "left_semi")
+    cut = staged(blocks.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list"), "cut-lists")
+    several = blocks.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, "list", "left_semi")
     right = several.select("list", F.col("block").alias("block_b"), F.col("entries").alias("entries_b"))
     across = several.join(right, "list").filter("block < block_b").select(pair)
-    return alone.mapInArrow(test, "a long, b long").union(across.mapInArrow(test, "a long, b long")).distinct()
+    tested = "a long, b long, kind string"
+    return alone.mapInArrow(test, tested).union(across.mapInArrow(test, tested)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -368,11 +398,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     out = pa.schema([("sig", pa.int64()), ("found", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows; what is left of them only repeats pairs
         for batch in batches:
-            found = [s for s in batch_shingles(text_bytes(batch, "text"), shingle) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], schema=out)
+            found = {signature(s): s.tobytes() for s in batch_shingles(text_bytes(batch, "text"), shingle) if len(s)}
+            found = {k: v for k, v in found.items() if k not in seen}
+            seen.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], schema=out)
 
-    held = staged(texts.mapInArrow(sets, "sig long, found binary").dropDuplicates(["sig"]) if not few else texts.mapInArrow(sets, "sig long, found binary"), "sets")
+    held = staged(texts.mapInArrow(sets, "sig long, found binary"), "sets")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,43 +432,64 @@ def linked_classes(docs: DataFrame, made: DataFrame, *, shingle: int, percent: i
     frequent = spark.sparkContext.broadcast((keys[order], top["times"].to_numpy(dtype=np.int64)[order]))
     total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(32, -(-total * (100 - percent) // 100 // BIN))
-    classes = staged(thin.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).filter("first_id is not null"), "classes")
+    classes = staged(thin.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).filter("first_id is not null"), "classes")
     lists = staged(match_bins(postings(docs, frequent, int(bins), shingle, percent, text_col), percent), "lists")
     members = lists.filter("kind = 'M'").select(F.inline(F.arrays_zip("g", "x", "n"))).distinct().toDF("g", "sig", "n")
     # groups of several classes are lists of their own
     sizes = members.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
     within = members.join(sizes, "g")
-    short = lists.filter("kind = 'P'").select(F.inline(F.arrays_zip("g", "x"))).distinct().toDF("ga", "gb")
+    # a pair that shares too few tokens in short lists is tested in a long list, or not similar
+    short = lists.filter("kind = 'P'").select(F.inline(F.arrays_zip("g", "x", "n", "at"))).groupBy("g", "x").agg(F.sum("at").alias("times"), F.min("n").alias("n"))
+    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col("n") / 100)))
+    short = short.filter(F.col("times") >= enough).select(F.col("g").alias("ga"), F.col("x").alias("gb"))
     pairs = short.join(members.select(F.col("g").alias("ga"), F.col("sig").alias("a")), "ga").join(members.select(F.col("g").alias("gb"), F.col("sig").alias("b")), "gb").select("a", "b")
     few = within.filter(F.col("k") <= SHORT)
     pairs = pairs.union(few.select("g", F.col("sig").alias("a")).join(few.select("g", F.col("sig").alias("b")), "g").filter("a < b").select("a", "b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    facts = classes.select("sig", "n", "sketch")
-    first = sketch_filter(pairs.join(facts.toDF("a", "n_a", "sketch_a"), "a").join(facts.toDF("b", "n_b", "sketch_b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), percent)
+    pairs = staged(pairs, "pairs")
     long = lists.filter("kind = 'B'").select("list", "block", F.inline(F.arrays_zip("g", "n", "at"))).toDF("list", "block", "g", "n0", "at").join(members.select("g", "sig"), "g").select("list", "block", "sig", "at")
     many = within.filter(F.col("k") > SHORT)
     long = long.union(many.select(F.col("g").alias("list"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("k") / BLOCK).cast("long")).alias("block"), "sig", F.lit(0).cast("long").alias("at")))
     long = staged(long, "long-lists")
 
-    def blocks(labels: DataFrame | None) -> DataFrame:
-        """The blocks with their entries; once there are labels, only lists with more than one component."""
-        e = long
-        if labels is None:
-            e = e.withColumn("label", F.col("sig"))
-        else:
-            e = e.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-            mixed = e.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("list")
-            e = e.join(mixed, "list", "left_semi")
-        e = e.join(facts, "sig")
-        return staged(e.groupBy("list", "block").agg(F.collect_list(F.struct("sig", "n", "at", "label", "sketch")).alias("entries")), "blocks")
+    def known(sigs: DataFrame, *columns: str) -> DataFrame:
+        """Facts of some classes, by the identifier of each one's first document."""
+        asked = staged(sigs.distinct().join(classes, "sig").select(F.col("first_id").alias("asked_id"), "sig"), "asked")
+        few = asked.count() <= BROADCAST_IDS
+        right = asked.withColumnRenamed("sig", "asked_sig")
+        same = (F.col("doc_id") == F.col("asked_id")) & (F.col("sig") == F.col("asked_sig"))
+        return staged(thin.join(F.broadcast(right) if few else right, same, "left_semi").select("sig", *columns).dropDuplicates(["sig"]), "facts")
+
+    facts = known(long.select("sig"), "n", "small")
+
+    def near(candidates: DataFrame) -> DataFrame:
+        candidates = staged(candidates, "candidates")
+        wide = known(candidates.select(F.explode(F.array("a", "b")).alias("sig")), "n", "sketch")
+        return sketch_filter(candidates.join(wide.toDF("a", "n_a", "sketch_a"), "a").join(wide.toDF("b", "n_b", "sketch_b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), percent)
+
+    def blocks(entries: DataFrame) -> DataFrame:
+        entry = F.struct("sig", "n", "at", "label", F.col("small").alias("sketch"))
+        return entries.join(facts, "sig").groupBy("list", "block").agg(F.collect_list(entry).alias("entries"))
 
     def check(candidates: DataFrame) -> DataFrame:
         return verified(candidates, docs, classes, shingle, percent, id_col, text_col)
 
-    tried = staged(first.union(block_pairs(blocks(None), percent, True)).distinct(), "tried")
+    found = staged(block_pairs(staged(blocks(long.withColumn("label", F.col("sig"))), "blocks"), percent, True), "found-pairs")
+    tried = staged(near(found.filter("kind = 'F'").select("a", "b").union(pairs).distinct()), "tried")
     links = staged(check(tried), "links")
     labels = components(links)
-    rest = staged(block_pairs(blocks(labels), percent, False).join(tried, ["a", "b"], "left_anti"), "rest")
+
+    def label(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(column), F.col("label").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+    # what still lies across two components
+    rest = found.filter("kind = 'R'").select("a", "b")
+    again = long.join(found.filter("kind = 'L'").select(F.col("a").alias("list")), "list", "left_semi")
+    if not again.isEmpty():
+        again = block_pairs(staged(blocks(label(again, "sig", "label")), "blocks"), percent, False)
+        rest = rest.union(again.select("a", "b")).distinct()
+    rest = label(label(rest, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
+    rest = staged(near(rest.join(tried, ["a", "b"], "left_anti")), "rest")
     if rest.isEmpty():
         return labels
     return components(links.union(check(rest)))

@@ -77,7 +77,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def batch_shingles(texts: list[bytes], size: int, budget: int = 1 << 22):
+def batch_shingles(texts: list[bytes], size: int, budget: int = 1 << 20):
     """Yield, text by text, the ascending distinct shingle hashes; works through `budget` bytes at a time."""
     at = 0
     while at < len(texts):
