@@ -129,8 +129,8 @@ class PatriciaTrie:
             return
         label, child = max(held, key=lambda x: x[1].weight + len(x[0]))
         out = tempfile.TemporaryFile()
-        for suffix, owner in _terminals(child):
-            pickle.dump((suffix, *owner), out, pickle.HIGHEST_PROTOCOL)
+        for record in _records(child):
+            pickle.dump(record, out, pickle.HIGHEST_PROTOCOL)
         gone = child.weight
         child.children, child.owner, child.spill, child.weight = {}, None, out, 0
         for n in path:
@@ -148,23 +148,33 @@ class PatriciaTrie:
             stack.extend(child for _, child in node.children.values())
         self.root = _Node()
         for file in spilled:
-            file.seek(0)
             below = PatriciaTrie(self.budget)
-            while True:
-                try:
-                    below.insert(*pickle.load(file))
-                except EOFError:
-                    break
-            file.close()
+            for record in _spilled(file):
+                below.insert(*record)
             yield from below.owners()
 
 
-def _terminals(node: _Node) -> Iterator[tuple[bytes, list]]:
+def _spilled(file) -> Iterator[tuple]:
+    """The records of a scratch file, which is gone afterwards."""
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            file.close()
+            return
+
+
+def _records(node: _Node) -> Iterator[tuple]:
+    """(suffix, id, rows, tag) of a subtree, with what it has spilled before."""
     stack = [(b"", node)]
     while stack:
         prefix, n = stack.pop()
         if n.owner is not None:
-            yield prefix, n.owner
+            yield (prefix, *n.owner)
+        if n.spill is not None:
+            for suffix, *rest in _spilled(n.spill):
+                yield (prefix + suffix, *rest)
         stack.extend((prefix + label, child) for label, child in n.children.values())
 
 
