@@ -41,6 +41,7 @@ CONTAINERS = frozenset("html body main article section div td th center table tb
 #: An open one of these ends when the next such element starts.
 CLOSES = {"li": {"li"}, "p": BLOCKS - {"html", "body"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SIGMA, DESCEND, STRETCH = 1.0, 0.7, 1 << 16
+_CUT = re.compile(r"<[/!?A-Za-z][^<>]*$")
 _TOKENS = re.compile(r"[A-Za-z]+")
 
 
@@ -122,6 +123,8 @@ class PageEvents(HTMLParser):
             self.pieces.append(data)
 
     def finished(self) -> list[tuple[_Element, str, int]]:
+        # a tag that the page's end cuts off is no text
+        self.rawdata = _CUT.sub("", self.rawdata)
         self.close()
         self._line()
         return self.lines
