@@ -1,0 +1,74 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from marginalia.llm import pii
+from marginalia.llm.boosting import BoostedTrees, isotonic
+from marginalia.llm.queries import op5_pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_base_rules_on_hostile_texts():
+    rng = random.Random(3)
+    bits = ["a", "b.", "@", "-", "1", "22", "256", ".", "+", " ", "(", ")", "é", "%", "9.9", "4111111111111111", "4111 1111 1111 1111", "+1 (415) 555-0123", "x@y.zz", "007"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_added_spans_and_clean_text():
+    redactor = pii.Redactor(pii.fitted())
+    got = lambda t: [(k, t[s:e]) for k, s, e in redactor.spans(t)[1]]
+    assert ("phone", "+1 (269) 555-3296") in got("on +1 (269) 555-3296 4524132264652876 and")
+    assert got("Call me at (415) 555-0123 today.") == [("phone", "(415) 555-0123")]
+    for clean in ("version 4.0 of 2024", "order 1234567890 shipped", "", "no digits at all", "password=8c4f8006a3af39d897"):
+        assert got(clean) == []
+    base, every = redactor.spans("a.b@c.de, 10.0.0.1")
+    assert set(base) <= set(every) and len(base) == 2
+    assert pii.redacted("mail a.b@c.de now", base[:1] and [("email", 5, 13)]) == "mail [EMAIL] now"
+
+
+def test_long_texts_are_linear():
+    redactor = pii.Redactor(pii.fitted())
+    for text in ("1" * 300_000, "1." * 100_000, "a@" * 60_000, "+1 " * 60_000, "at " * 60_000, "1 " * 100_000):
+        redactor.spans(text)
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(1)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    p = BoostedTrees().fit(x[:600], y[:600]).predict(x[600:])
+    assert ((p > 0.5) == y[600:]).mean() > 0.93
+    steps, chances = isotonic(p, y[600:])
+    assert (np.diff(chances) >= 0).all() and (np.diff(steps) >= 0).all()
+
+
+def test_query(spark, sf):
+    source = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op5_pii(spark, sf).collect()
+    assert len(rows) == len(source)
+    for r in rows:
+        want = brute(source[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(r["spans"].split(",")) or not want
+
+
+def test_odd_rows(odd, empty):
+    assert pii.find_personal_data(odd).count() == 10 and pii.find_personal_data(empty).count() == 0
