@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; with 3 KB texts 1.5 MB; long texts end a batch at BATCH_BYTES.
 BATCH_ROWS = 500
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -34,7 +34,7 @@ SLICE = 32
 SMOOTHING = 0.5
 #: Least probability of a piece: 32 of them in a row are still a normal double.
 FLOOR = 1e-9
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTERS = bytes(range(97, 123))
 
