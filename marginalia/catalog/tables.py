@@ -31,7 +31,7 @@ def first_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facet_people(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.array_join(fx.people(F.col("text")), "; ").alias("people"))
+    return fx.people(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.array_join("people", "; ").alias("people"))
 
 
 def facet_dates(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,21 +47,36 @@ def dates(text: Column, cap: int = 10) -> Column:
     return first_of_each(F.filter(every, lambda p: F.length(p) >= 3), cap)
 
 
-def people(text: Column, cap: int = 8) -> Column:
-    """EX8: names by weight (capitalised 2, introduced by a relation 3, named 3), then first seen."""
+def weighted_names(text: Column) -> Column:
+    """The signals of EX8 in order: capitalised phrases 2, names after a relation 3, named 3."""
     blocked = F.array(*[F.lit(n) for n in P.NOT_NAMES])
-    capitals = F.filter(found(text, _unicode(P.CAPITALIZED)), lambda m: ~F.array_contains(blocked, F.split(m, r"\s+")[0]) & (F.length(m) >= 3))
+    capitals = F.filter(found(text, _unicode(P.CAPITALIZED)), lambda m: ~F.array_contains(blocked, F.regexp_substr(m, F.lit(r"^\S+"))) & (F.length(m) >= 3))
     related = F.filter(F.transform(found(text, _unicode(P.RELATION_NAME), 1), lambda m: F.initcap(strip(m))), lambda m: ~F.array_contains(blocked, m) & (F.length(m) >= 3))
     named = F.filter(F.transform(found(text, _unicode(P.NAMED), 1), lambda m: F.initcap(strip(m))), lambda m: ~F.array_contains(blocked, m) & (m != ""))
-    weighted = F.concat(F.transform(capitals, lambda m: F.struct(m.alias("name"), F.lit(2).alias("w"))), F.transform(related, lambda m: F.struct(m.alias("name"), F.lit(3).alias("w"))), F.transform(named, lambda m: F.struct(m.alias("name"), F.lit(3).alias("w"))))
-    return heaviest(weighted, cap)
+    weigh = lambda names, w: F.transform(names, lambda m: F.struct(m.alias("name"), F.lit(w).alias("w")))
+    return F.concat(weigh(capitals, 2), weigh(related, 3), weigh(named, 3))
 
 
-def heaviest(weighted: Column, cap: int) -> Column:
-    """Names of array<struct<name, w>> by summed weight, ties by first place, at most `cap`."""
-    names = F.array_distinct(F.transform(weighted, lambda x: x["name"]))
-    sums = F.transform(names, lambda n, i: F.struct((-F.aggregate(F.filter(weighted, lambda x: x["name"] == n), F.lit(0), lambda a, x: a + x["w"])).alias("w"), i.alias("at"), n.alias("name")))
-    return F.transform(F.slice(F.array_sort(sums), 1, cap), lambda x: x["name"])
+def heaviest(rows: DataFrame, key: str, weighted: Column, cap: int, name: str) -> DataFrame:
+    """(key, name): names of array<struct<name, w>> by summed weight, ties by first place, at most `cap` (AG9, AG10).
+
+    Aggregated over rows, so a long text costs its names once, not squared.
+    """
+    spread = rows.select(key, F.posexplode(weighted).alias("at", "x")).groupBy(key, F.col("x.name").alias("name")).agg(F.sum("x.w").alias("w"), F.min("at").alias("at"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "at", "name")))
+    top = spread.groupBy(key).agg(F.transform(F.slice(ordered, 1, cap), lambda x: x["name"]).alias(name))
+    return rows.select(key).join(top, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def people(rows: DataFrame, key: str, text: str, cap: int = 8) -> DataFrame:
+    """EX8: (key, people)."""
+    return heaviest(rows, key, weighted_names(F.col(text)), cap, "people")
+
+
+def acronyms(rows: DataFrame, key: str, text: str, cap: int = 8) -> DataFrame:
+    """AG10: (key, acronyms): the most frequent, cut before the block list is applied."""
+    every = F.transform(found(F.col(text), _unicode(P.CAPITALS)), lambda m: F.struct(m.alias("name"), F.lit(1).alias("w")))
+    return heaviest(rows, key, every, cap, "acronyms").withColumn("acronyms", F.filter("acronyms", lambda t: ~t.isin(*P.NOT_CAPITALS)))
 
 
 def first_sentence(text: Column, cap: int = 120) -> Column:
@@ -69,12 +84,10 @@ def first_sentence(text: Column, cap: int = 120) -> Column:
     return F.left(F.split(strip(text), r"(?<=[.!?])\s+")[0], F.lit(cap))
 
 
-def subjects(user_turns: Column, full: Column, cap: int = 12) -> Column:
+def subjects(user_turns: Column, full: Column, acronyms: Column, cap: int = 12) -> Column:
     """EX7: user first sentences, quoted strings, list items, headings, frequent acronyms."""
     sentences = F.transform(F.filter(F.transform(user_turns, strip), lambda t: t != ""), lambda t: first_sentence(t))
-    capitals = heaviest(F.transform(found(full, _unicode(P.CAPITALS)), lambda m: F.struct(m.alias("name"), F.lit(1).alias("w"))), 8)
-    blocked = F.array(*[F.lit(n) for n in P.NOT_CAPITALS])
-    every = F.flatten(F.array(sentences, found(full, P.QUOTED, 1), found(full, _unicode(P.LIST_ITEM), 1), found(full, _unicode(P.HEADING), 1), F.filter(capitals, lambda t: ~F.array_contains(blocked, t))))
+    every = F.flatten(F.array(sentences, found(full, P.QUOTED, 1), found(full, _unicode(P.LIST_ITEM), 1), found(full, _unicode(P.HEADING), 1), acronyms))
     every = F.transform(every, lambda p: rstrip_chars(strip(p), ".,!?;:"))
     return first_of_each(F.filter(every, lambda p: F.length(p) >= 4), cap)
 
@@ -101,7 +114,8 @@ def sessions(turns: DataFrame) -> DataFrame:
 def facets(turns: DataFrame) -> DataFrame:
     """EX6: (session_id, subjects, people, claims, decisions, dates, entry)."""
     s = sessions(turns).withColumn("full", F.concat("user_text", F.lit("\n"), "assistant_text"))
-    s = s.select("session_id", subjects(F.col("user_turns"), F.col("content")).alias("subjects"), people(F.col("full")).alias("people"), claims(F.col("user_text")).alias("claims"), decisions(F.concat("assistant_text", F.lit("\n"), "user_text")).alias("decisions"), dates(F.col("full")).alias("dates"))
+    s = s.join(acronyms(s, "session_id", "content"), "session_id").join(people(s, "session_id", "full"), "session_id")
+    s = s.select("session_id", subjects(F.col("user_turns"), F.col("content"), F.col("acronyms")).alias("subjects"), "people", claims(F.col("user_text")).alias("claims"), decisions(F.concat("assistant_text", F.lit("\n"), "user_text")).alias("decisions"), dates(F.col("full")).alias("dates"))
     parts = [F.when(F.size(name) > 0, F.concat(F.lit(f"{name}: "), F.array_join(name, sep))) for name, sep in (("subjects", "; "), ("people", ", "), ("claims", "; "), ("decisions", "; "), ("dates", "; "))]
     entry = F.concat_ws(" | ", *parts)
     return s.withColumn("entry", F.when(F.length(entry) > ENTRY_CAP, F.concat(F.left(entry, F.lit(ENTRY_CAP)), F.lit("..."))).otherwise(entry))
