@@ -224,6 +224,15 @@ QUERIES = {
     "field_split": _fields,
     "summary_lines": _summary_lines,
     "markers": lambda s, sf: files(s).select("corpus", "rel", marker("content", "managed").alias("managed"), marker("content", "closets").alias("closets"), marker("content", "summary-format-version").alias("format")).filter("coalesce(managed, closets, format) is not null"),
+    "links_applied": lambda s, sf: links.applied(_one(s), links.mentions(_one(s))),
+    "graph_check": lambda s, sf: graph.check_status(_one(s)),
+    "graph_file": lambda s, sf: graph.graph_file(_one(s)),
+    "report_lines": lambda s, sf: audit.report_lines(lint.checks(_one(s), _as_of())),
+    "stale_texts": lambda s, sf: audit.stale_texts(_one(s)).select("rel"),
+    "file_listing": lambda s, sf: lifecycle.listing(_one(s), 5),
+    "live_entries": lambda s, sf: audit.without_dead_entries(parsers.facet_index(_one(s).filter(F.col("base").isin(*P.INDEX_FILES))).select(F.lower("stem").alias("key"), "field"), _one(s).select(F.col("stem_lc").alias("key"))),
+    "summary_rules": lambda s, sf: audit.summary_rules(parsers.catalog(_one(s).filter(F.col("rel") == P.CATALOG_FILE)).select("link", "summary").unionByName(s.createDataFrame([("x", "Notes about things"), ("y", "z" * 251)], "link string, summary string"))).select("link", "too_long", "vague"),
+    "summary_layers": lambda s, sf: lifecycle.summary_layers(parsers.catalog(_one(s).filter(F.col("rel") == P.CATALOG_FILE)), _one(s).filter("folder = 'beds' and base like '%s.md'").select(F.col("stem").alias("link"))),
     "facet_claims": _FACET("claims"), "facet_decisions": _FACET("decisions"), "facet_subjects": _FACET("subjects"), "facet_people_turns": _FACET("people"), "facet_dates_turns": _FACET("dates"),
     "facet_entry": lambda s, sf: fx.facets(_turns(s)).select("session_id", "entry"),
     "facet_long": lambda s, sf: fx.long_facets(fx.facets(_turns(s))),
@@ -377,6 +386,22 @@ EXPECTED = {
     "summary_lines": ("line", [("| closets:emax | 100.0% | 0.0% |",), ("| content:bm25 | 50.0% | 93.8% |",)]),
     "facet_subjects": ("session_id, subjects", [(1, "I am a teacher in Lisbon|- buy oat milk\n- call Anna Maria Lopez\nI prefer tea|green tea set|buy oat milk|call Anna Maria Lopez"), (2, "I used to live in Oslo|Call Anna on 2024-03-05 or 3/5/24|Travel Plan"), (3, "")]),
     "facet_people_turns": ("session_id, people", [(1, "Mike|Lisbon|Meet|Anna Maria Lopez|Noted"), (2, "Oslo|Rex|Call Anna|Travel Plan\nSwitched"), (3, "Hello")]),
+    "links_applied": ("rel, line_no, before, after", [("beds/raised-bed.md", 15, "The old plan of ada mentions the herb spiral too.", "The old plan of [[ada]] mentions the herb spiral too."), ("people/ada.md", 4, "Ada keeps the raised bed.", "Ada keeps the [[raised-bed]].")]),
+    "graph_check": ("dangling, exit_status", [(2, 1)]),
+    "stale_texts": ("rel", [("memory/decisions.md",)]),
+    "file_listing": ("rel", [("_MANIFEST.md",), ("beds/_CLOSETS.md",), ("beds/herb-spiral.v2.md",), ("beds/herb-spirals.md",), ("beds/raised-bed.md",)]),
+    "live_entries": ("key, field", [("raised-bed", "subjects"), ("raised-bed", "people"), ("raised-bed", "dates")]),
+    "summary_rules": ("link, too_long, vague", [("status", False, False), ("glossary", False, False), ("old-plan", False, False), ("beds/_CLOSETS", False, False), ("tools-index", False, False), ("x", False, True), ("y", True, False)]),
+    "summary_layers": ("layer, link", [(1, "status"), (1, "glossary"), (2, "beds/_CLOSETS"), (2, "tools-index"), (3, "herb-spirals")]),
     "briefing": ("part, ordinal, line", [("1 status", 1, "Last updated 2026-02-10"), ("2 stale", 1, "10 days old"), ("3 last session", 1, "moved soil, seed order still open"), ("3 last session", 2, "plan in [[raised-bed]]"), ("4 in progress", 1, "[[raised-bed]] needs soil"), ("5 blocked", 1, "seed order"), ("5 blocked", 2, "water pump"), ("6 decisions", 1, "2026-02-04 - north bed gets compost"), ("6 decisions", 2, "2026-02-03 - north bed gets clover"), ("6 decisions", 3, "2026-02-02 - drip hose replaces water by hand for the north bed"), ("6 decisions", 4, "2026-01-20 - clay pots instead of plastic pots"), ("6 decisions", 5, "2026-01-06 - buy plastic pots"), ("7 ideas", 1, "Bee hotel -> beds"), ("7 ideas", 1, "Night light"), ("8 notices", 1, "files changed after the last status update"), ("8 notices", 2, "no index: tools")]),
 }
+_BROKEN = [("broken_link", "WARN", "_MANIFEST.md", "old-plan"), ("broken_link", "WARN", "_MANIFEST.md", "tools-index"), ("broken_link", "WARN", "beds/herb-spiral.v2.md", "old-plan"), ("broken_link", "WARN", "beds/raised-bed.md", "missing-note"), ("broken_link", "WARN", "tools/rake.md", "shed")]
+_NAMES = [("a", "b"), ("a", "c"), ("b", "c")]
+_COLUMNS, _LINT = EXPECTED["lint_report"]
+EXPECTED |= {
+    "health_report": (_COLUMNS, [*_LINT, *_BROKEN, ("untracked", "INFO", "compost", "3 files"), ("untracked", "INFO", "memory", "4 files")]),
+    "consolidation": (_COLUMNS, [*_BROKEN, ("cluster", "INFO", "2026-02-02", "3"), ("contradiction", "WARN", "1", "4"), ("redundant", "INFO", "2", "3"), ("duplicate", "INFO", "beds/herb-spiral.v2.md", "beds/herb-spirals.md links"), *[("duplicate", "INFO", f"compost/{a}.md", f"compost/{b}.md name") for a, b in _NAMES], ("duplicate", "INFO", "compost/a.md", "people/ada.md name"), *[("duplicate", "INFO", f"compost/{a}.md", "people/bo.md name") for a in "abc"]]),
+    "graph_report": ("ordinal, line", list(enumerate(["Stats: 5 files with front matter out of 16 markdown files. 5 typed edges.", "| `people` | 2 |", "| `blocked-by` | 1 |", "| `blocks` | 1 |", "| `supersedes` | 1 |", "### other: [[bo]]", "### person: [[ada]]", "### project: [[herb-spiral.v2]], [[raised-bed]]", "### tool: [[rake]]", "### active: [[raised-bed]]", "### done: [[herb-spiral.v2]]", "- [[herb-spiral.v2]] `supersedes` → [[old-plan]]", "- [[raised-bed]] `blocks` → [[herb-spiral.v2]]", "- [[raised-bed]] `people` → [[ada]]", "- [[raised-bed]] `people` → [[bo]]", "- [[rake]] `blocked-by` → [[shed]]", "- [[herb-spiral.v2]] `supersedes` → [[old-plan]] (missing)", "- [[rake]] `blocked-by` → [[shed]] (missing)"], 1))),
+}
+EXPECTED["report_lines"] = ('"check", "ordinal", line', [(c, 1 + sum(x[0] == c for x in sorted(_LINT, key=lambda x: (x[0], x[1], x[2]))[:k]), f"  [{s}] {u} -- {d}") for k, (c, s, u, d) in enumerate(sorted(_LINT, key=lambda x: (x[0], x[1], x[2])))])
 ORACLES |= {k: f"SELECT * FROM {values(rows, columns)}" for k, (columns, rows) in EXPECTED.items()}

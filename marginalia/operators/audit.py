@@ -196,3 +196,32 @@ def next_actions(findings: DataFrame) -> DataFrame:
 def report_totals(findings: DataFrame) -> DataFrame:
     """AG22"""
     return findings.agg(F.count_if(F.col("severity") == "WARN").alias("warnings"), F.count_if(F.col("severity") == "INFO").alias("infos"), F.count_distinct("check").alias("checks"))
+
+
+def without_dead_entries(entries: DataFrame, there: DataFrame, key: str = "key") -> DataFrame:
+    """LC11: the safe fix: index entries that point to a file."""
+    return entries.join(there.select(key).distinct(), key, "left_semi")
+
+
+def report_lines(findings: DataFrame) -> DataFrame:
+    """SK12: (check, ordinal, line) of a printed report, and PASS for a check without findings."""
+    spark = findings.sparkSession
+    checks = spark.createDataFrame([(c,) for c, _ in ACTIONS], "check string")
+    w = Window.partitionBy("check").orderBy("severity", "subject", "detail")
+    found = findings.select("check", F.row_number().over(w).alias("ordinal"), F.format_string("  [%s] %s -- %s", "severity", "subject", "detail").alias("line"))
+    return found.unionByName(checks.join(findings.select("check").distinct(), "check", "left_anti").select("check", F.lit(1).alias("ordinal"), F.lit("  PASS").alias("line")))
+
+
+def stale_texts(rows: DataFrame, text: str = "content") -> DataFrame:
+    """PF26: rows with a stale marker."""
+    return rows.filter(any_phrase(text, P.STALE_MARKERS))
+
+
+#: Lead-ins that a summary must not have.
+VAGUE = ("this file", "this document", "a file", "notes about", "various", "miscellaneous")
+
+
+def summary_rules(rows: DataFrame, summary: str = "summary") -> DataFrame:
+    """EX16: the checkable rules: at most 250 characters, no vague lead-in."""
+    vague = F.rlike(F.lower(summary), F.lit("^(" + "|".join(VAGUE) + r")\b"))
+    return rows.withColumn("too_long", F.length(summary) > 250).withColumn("vague", vague)

@@ -74,3 +74,15 @@ def report(files: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     for part in parts:
         s = s.union(part)
     return s.select(F.row_number().over(Window.orderBy("part", "k", "i", "line")).alias("ordinal"), "line")
+
+
+def graph_file(files: DataFrame, skip: tuple[str, ...] = (), rel: str = "memory/.graph.md") -> DataFrame:
+    """SK2: the report as one file row (rel, content) for the text writer; the report itself is never an input."""
+    rows = report(files.filter(F.col("rel") != rel), skip)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n")
+    return rows.agg(text.alias("content")).select(F.lit(rel).alias("rel"), "content")
+
+
+def check_status(files: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """SK2: the check mode: exit status 1 with dangling edges."""
+    return dangling(edges(files, skip), files, skip).agg(F.count("*").alias("dangling")).withColumn("exit_status", F.when(F.col("dangling") > 0, 1).otherwise(0))

@@ -114,3 +114,21 @@ def copies_differ(owners: DataFrame, copies: DataFrame, key: str = "name") -> Da
 def self_test(conditions: dict[str, Column], row: DataFrame) -> DataFrame:
     """SE1: (check, ok) of each post-condition over a one-row frame."""
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for k, c in conditions.items()])).alias("c")).select("c.*")
+
+
+def listing(files: DataFrame, most: int = 200) -> DataFrame:
+    """SC15: the first paths in order."""
+    return files.select("rel").orderBy("rel").limit(most)
+
+
+def summary_layers(catalog: DataFrame, members: DataFrame) -> DataFrame:
+    """PR14: (layer, link) in the order they are summarised: tier 1, collection heads, members."""
+    tier1 = catalog.filter("tier = 1").select(F.lit(1).alias("layer"), "link")
+    heads = catalog.filter("folder is not null").select(F.lit(2).alias("layer"), "link")
+    return tier1.union(heads).union(members.select(F.lit(3).alias("layer"), F.col("link")))
+
+
+def captured(ideas: DataFrame, title: str, date: str, body: str, route: str | None = None) -> DataFrame:
+    """PR8: the inbox with a new idea."""
+    new = ideas.sparkSession.createDataFrame([(title, date, body, route)], "title string, date string, body string, route string").withColumn("date", F.to_date("date"))
+    return ideas.unionByName(new, allowMissingColumns=True)

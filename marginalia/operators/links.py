@@ -103,3 +103,15 @@ def top_targets(rows: DataFrame, k: int = 5) -> DataFrame:
     counted = rows.groupBy("rel", "target").agg(F.count("*").alias("n"))
     w = Window.partitionBy("rel").orderBy(F.desc("n"), "target")
     return counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def applied(files: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """PR16: a file's suggested lines with the named text turned into a link, as proposals (rel, line_no, before, after).
+
+    The first plain occurrence in the line is linked; a line with several
+    suggestions gets one proposal for each.
+    """
+    s = suggestions.select("rel", F.col("original_line_no").alias("line_no"), "text", "stem").filter("line_no is not null")
+    quoted = F.regexp_replace("text", r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
+    after = F.regexp_replace("line", F.concat(F.lit(r"(?U)^(.*?)(?<!\[)\b"), quoted, F.lit(r"\b(?!\])")), F.concat(F.lit("$1[["), "stem", F.lit("]]")))
+    return s.join(lines(files), ["rel", "line_no"]).select("rel", "line_no", F.col("line").alias("before"), after.alias("after"))

@@ -65,9 +65,10 @@ def consolidation(files: DataFrame) -> DataFrame:
     """PR12: proposals only: duplicates, contradictions, broken links, redundant pairs and weekly clusters of decisions."""
     rows = links.link_rows(files)
     decisions = parsers.decision_log(files.filter(F.col("base") == "decisions.md"))
-    outside = markdown(files, P.TIER_ONE_FOLDERS)
+    outside = markdown(files, P.TIER_ONE_FOLDERS).filter(F.contains("rel", F.lit("/")))
+    outside_rows = rows.join(outside.select("rel"), "rel", "left_semi")
     found = [
-        finding(audit.duplicate_candidates(outside, rows), "duplicate", "INFO", F.col("a"), F.concat_ws(" ", "b", F.array_join("reasons", ","))),
+        finding(audit.duplicate_candidates(outside, outside_rows), "duplicate", "INFO", F.col("a"), F.concat_ws(" ", "b", F.array_join("reasons", ","))),
         finding(audit.overrides(decisions), "contradiction", "WARN", F.col("older"), F.col("newer")),
         finding(links.broken_links(files, rows=rows), "broken_link", "WARN", F.col("rel"), F.col("target")),
         finding(audit.redundant_pairs(decisions), "redundant", "INFO", F.col("old"), F.col("new")),
