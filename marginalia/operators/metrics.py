@@ -27,7 +27,7 @@ def per_question(ranking: DataFrame, gold: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame) -> DataFrame:
     """AG14, AG15: means overall (qtype null) and by question type, in one pass."""
-    return rows.groupingSets([[], [F.col("qtype")]], "qtype").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+    return rows.groupingSets([[], [F.col("qtype")]], "qtype").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 9).alias(m) for m in METRICS])
 
 
 def usable(questions: DataFrame, candidates: DataFrame, gold: DataFrame, texts: DataFrame) -> DataFrame:

@@ -61,4 +61,4 @@ def evaluate(strategies: list[str], questions: DataFrame, texts: dict[str, DataF
 
 def headline(rows: DataFrame) -> DataFrame:
     """SK12: means of each strategy, best recall first."""
-    return rows.groupBy("strategy").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics.METRICS]).orderBy(F.desc("recall5"), "strategy")
+    return rows.groupBy("strategy").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 9).alias(m) for m in metrics.METRICS]).orderBy(F.desc("recall5"), "strategy")
