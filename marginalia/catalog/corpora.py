@@ -403,5 +403,10 @@ EXPECTED |= {
     "consolidation": (_COLUMNS, [*_BROKEN, ("cluster", "INFO", "2026-02-02", "3"), ("contradiction", "WARN", "1", "4"), ("redundant", "INFO", "2", "3"), ("duplicate", "INFO", "beds/herb-spiral.v2.md", "beds/herb-spirals.md links"), *[("duplicate", "INFO", f"compost/{a}.md", f"compost/{b}.md name") for a, b in _NAMES], ("duplicate", "INFO", "compost/a.md", "people/ada.md name"), *[("duplicate", "INFO", f"compost/{a}.md", "people/bo.md name") for a in "abc"]]),
     "graph_report": ("ordinal, line", list(enumerate(["Stats: 5 files with front matter out of 16 markdown files. 5 typed edges.", "| `people` | 2 |", "| `blocked-by` | 1 |", "| `blocks` | 1 |", "| `supersedes` | 1 |", "### other: [[bo]]", "### person: [[ada]]", "### project: [[herb-spiral.v2]], [[raised-bed]]", "### tool: [[rake]]", "### active: [[raised-bed]]", "### done: [[herb-spiral.v2]]", "- [[herb-spiral.v2]] `supersedes` → [[old-plan]]", "- [[raised-bed]] `blocks` → [[herb-spiral.v2]]", "- [[raised-bed]] `people` → [[ada]]", "- [[raised-bed]] `people` → [[bo]]", "- [[rake]] `blocked-by` → [[shed]]", "- [[herb-spiral.v2]] `supersedes` → [[old-plan]] (missing)", "- [[rake]] `blocked-by` → [[shed]] (missing)"], 1))),
 }
+EXPECTED["facet_entry"] = ("session_id, entry", [
+    (1, "subjects: I am a teacher in Lisbon; - buy oat milk\n- call Anna Maria Lopez\nI prefer tea; green tea set; buy oat milk; call Anna Maria Lopez | people: Mike, Lisbon, Meet, Anna Maria Lopez, Noted | claims: I am a teacher in Lisbon; I have 3 cats and 2 kids; I prefer tea; 3 cats; 2 kids | decisions: I chose oolong over sencha because of June 12; I'll try running tomorrow at 3:30pm; oolong over sencha because of June | dates: June 12; Tuesday; tomorrow; 3:30pm"),
+    (2, "subjects: I used to live in Oslo; Call Anna on 2024-03-05 or 3/5/24; Travel Plan | people: Oslo, Rex, Call Anna, Travel Plan\nSwitched | claims: I am allergic to nuts; I used to live in Oslo; I was born in 1987; My dog's name was Rex; allergic to nuts; I can't eat nuts | decisions: Switched to trains from planes, 2 weeks ago; won't fly in May | dates: May; 1987; 2024; 2 weeks ago; 3/5/24; 2024-03-05"),
+    (3, "people: Hello | dates: today"),
+])
 EXPECTED["report_lines"] = ('"check", "ordinal", line', [(c, 1 + sum(x[0] == c for x in sorted(_LINT, key=lambda x: (x[0], x[1], x[2]))[:k]), f"  [{s}] {u} -- {d}") for k, (c, s, u, d) in enumerate(sorted(_LINT, key=lambda x: (x[0], x[1], x[2])))])
 ORACLES |= {k: f"SELECT * FROM {values(rows, columns)}" for k, (columns, rows) in EXPECTED.items()}
