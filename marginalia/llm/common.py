@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -17,12 +20,18 @@ BATCH_ROWS = 500
 BATCH_BYTES = 2 << 20
 
 
+#: Python workers give large freed arrays back to the system at once.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and let Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
@@ -64,6 +73,14 @@ def word_count(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.length(marks)).otherwise(0).cast("long")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task, for the next operator in the same worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's texts as UTF-8, null as empty."""
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]

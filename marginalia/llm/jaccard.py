@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_bytes
+from .common import prepare, release_memory, staged, text_bytes
 from .components import components
 from .textkeys import batch_shingles, mix
 
@@ -126,6 +126,8 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
                 held, size = {}, 0
         if held:
             yield counted()
+        held.clear()
+        release_memory()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.mapInArrow(extract, "doc_id long, n long, sig long, sketch binary, small binary, tokens array<long>, counts array<long>")
@@ -198,6 +200,7 @@ def postings(docs: DataFrame, frequent, bins: int, shingle: int, percent: int, t
             if len(seen) > 200_000:
                 seen.clear()
         yield from flush()
+        release_memory()
 
     return docs.select(docs[text_col].alias("text")).mapInArrow(emit, "bin long, kind string, data binary")
 
@@ -283,6 +286,8 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
                 parts.setdefault(kind, []).append(data)
         if current is not None:
             yield from settle(current, parts)
+        parts.clear()
+        release_memory()
 
     return packed.repartition("bin").sortWithinPartitions("bin").mapInArrow(reduce, LISTS)
 
@@ -379,6 +384,8 @@ def block_pairs(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
                     own = slice(at, at + 10_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[own], y[own])), pa.array(np.maximum(x[own], y[own])), pa.array(kind[own].tolist(), pa.string())], schema=_TESTED)
 
+        release_memory()
+
     pair = ["list", "block", "entries", "block_b", "entries_b"]
     alone = blocks.withColumn("block_b", F.col("block")).withColumn("entries_b", F.slice("entries", 1, 0)).select(pair)
     cut = staged(blocks.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list"), "cut-lists")

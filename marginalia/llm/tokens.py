@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, staged
+from .common import new_path, prepare, release_memory, staged
 
 #: Fixed values of the zstd seekable format and of this file's index frame.
 SEEK_FRAME, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -204,6 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, en
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip((part, name, len(writer.ids), tokens), _MANIFEST.types)], schema=_MANIFEST)
+        release_memory()
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
