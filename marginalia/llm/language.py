@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import prepare, release_memory, text_bytes
 
 UNDETERMINED = "und"
 SLICE = 32
 SMOOTHING = 0.5
 #: Least probability of a piece: 32 of them in a row are still a normal double.
 FLOOR = 1e-9
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _LETTERS = bytes(range(97, 123))
 
@@ -113,6 +113,7 @@ def count_pieces(docs: DataFrame, vocabulary_path: str, *, text_col: str = "text
         for lang, sums in totals.items():
             rows = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array(rows.astype(np.int32)), pa.array(sums[rows])], schema=schema)
+        release_memory()
 
     rows = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     return rows.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -173,24 +174,23 @@ class Scorer:
     def __init__(self, vocabulary_path: str, table: np.ndarray) -> None:
         self.own, self.table = vocabulary(vocabulary_path), table
         self.rows: dict[bytes, int] = {}
-        self.scores = np.zeros((0, table.shape[1]))
+        self.scores = np.zeros((1 << 14, table.shape[1]))  # doubled when full
 
     def totals(self, texts: list[bytes]) -> list[np.ndarray]:
         """Log likelihood of every text, by language."""
         if len(self.rows) > CACHE_WORDS:
-            self.rows, self.scores = {}, np.zeros((0, self.table.shape[1]))
+            self.rows = {}
         words = [letter_words(t) for t in texts]
         rows = self.rows
         missing = list({w for own in words for w in own if w not in rows})
-        added = []
+        base = len(rows)
+        while base + len(missing) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for at in range(0, len(missing), 2000):
             chunk = [slices(w) for w in missing[at : at + 2000]]
             logs = forward([s for own in chunk for s in own], self.own.prefix, self.own.unknown, self.table)
-            added.append(np.add.reduceat(logs, np.cumsum([0, *map(len, chunk[:-1])]), axis=0))
-        if missing:
-            base = len(self.scores)
-            rows.update((w, base + k) for k, w in enumerate(missing))
-            self.scores = np.concatenate([self.scores, *added])
+            self.scores[base + at : base + at + len(chunk)] = np.add.reduceat(logs, np.cumsum([0, *map(len, chunk[:-1])]), axis=0)
+        rows.update((w, base + k) for k, w in enumerate(missing))
         get = rows.__getitem__
         return [self.scores[np.fromiter(map(get, own), dtype=np.int64, count=len(own))].sum(axis=0) for own in words]
 
@@ -207,15 +207,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
     kept = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("record"), docs[text_col].alias("text"))
     schema = rows.select("record").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    holder: list[Scorer] = []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not holder:
-            holder.append(Scorer(vocabulary_path, sent.value))
+        scorer = Scorer(vocabulary_path, sent.value)
         for batch in batches:
             texts = text_bytes(batch, "text")
             found, scores = [], []
-            for text, total in zip(texts, holder[0].totals(texts)):
+            for text, total in zip(texts, scorer.totals(texts)):
                 if not languages or not has_letter(text):
                     found.append(UNDETERMINED), scores.append(0.0)
                     continue
@@ -223,5 +221,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary_pa
                 found.append(languages[best])
                 scores.append(1 / math.fsum(np.exp(total - total[best])))
             yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["record", "lang_pred", "score"])
+        del scorer
+        release_memory()
 
     return rows.mapInArrow(score, schema)
