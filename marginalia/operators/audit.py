@@ -127,11 +127,20 @@ def blockers(items: DataFrame, log: DataFrame, as_of: Column | None = None) -> D
 
 
 def week_clusters(decisions: DataFrame, *, least: int = 3, share: float = 0.5, key: str = "ordinal") -> DataFrame:
-    """AG21: weeks (Monday on) with at least `least` decisions that each overlap by `share` with another one of the week."""
-    d = decisions.select(key, F.to_date(F.date_trunc("week", "date")).alias("week"), F.array_distinct(tokens("text")).alias("words"))
-    rows = d.select("week", key, "words", F.explode("words").alias("w"))
-    pairs = rows.select("week", "w", F.col(key).alias("a"), F.col("words").alias("wa")).join(rows.select("week", "w", F.col(key).alias("b"), F.col("words").alias("wb")), ["week", "w"]).filter("a <> b").dropDuplicates(["week", "a", "b"]).filter(overlap(F.col("wa"), F.col("wb")) >= share)
-    return pairs.groupBy("week").agg(F.count_distinct("a").alias("n")).filter(F.col("n") >= least)
+    """AG21: weeks (Monday on) with at least `least` decisions that each overlap by `share` with another one of the week.
+
+    Decisions of one week and one word set overlap wholly, so they are one row;
+    only a set of a single decision looks for another set that shares a word.
+    """
+    d = decisions.select(key, F.to_date(F.date_trunc("week", "date")).alias("week"), F.array_sort(F.array_distinct(tokens("text"))).alias("words"))
+    d = d.filter(F.col(key).isNotNull() & F.col("week").isNotNull() & (F.size("words") > 0))
+    sets = d.groupBy("week", "words").agg(F.count_distinct(key).alias("n"), F.min(key).alias("one"))
+    rows = sets.select("week", "words", "n", "one", F.explode("words").alias("w"))
+    alone = rows.filter("n = 1").select("week", "w", F.col("words").alias("wa"), F.col("one").alias("a"))
+    other = rows.select("week", "w", F.col("words").alias("wb"), F.col("one").alias("b"), "n")
+    met = alone.join(other, ["week", "w"]).filter("wa <> wb and (n > 1 or a <> b)").filter(overlap(F.col("wa"), F.col("wb")) >= share)
+    found = sets.filter("n > 1").select("week", "words").unionByName(met.select("week", F.col("wa").alias("words")).distinct())
+    return d.join(found, ["week", "words"], "left_semi").groupBy("week").agg(F.count_distinct(key).alias("n")).filter(F.col("n") >= least)
 
 
 def last_runs(runs: DataFrame, as_of: Column) -> DataFrame:

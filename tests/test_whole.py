@@ -61,3 +61,34 @@ def test_words_after_the_400th_character_are_asked(spark, tmp_path):
 @pytest.mark.parametrize("name", ["bm25_candidates", "hybrid", "hybrid2", "emaxhyb", "rerank", "strategies"])
 def test_whole_questions(spark, name):
     same_without(spark, name, ("left(text, 400) AS text", "text"))
+
+
+def brute_weeks(events):
+    """Weeks by comparing all pairs of (key, time, text)."""
+    from datetime import timedelta
+
+    by = {}
+    for k, ts, text in events:
+        by.setdefault(ts.date() - timedelta(days=ts.weekday()), []).append((k, set(words(text))))
+    met = {w: {a for a, x in rows for b, y in rows if a != b and x and y and len(x & y) / min(len(x), len(y)) >= 0.5} for w, rows in by.items()}
+    return {w: len(keys) for w, keys in met.items() if len(keys) >= 3}
+
+
+def test_week_clusters_read_all_users(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    errors = spark.read.parquet(f"{FOLDER}/events.parquet").filter("event_type = 'error'").select("event_id", "ts", "props").collect()
+    found = {r["week"]: r["n"] for r in QUERIES["week_clusters"](spark, FOLDER).collect()}
+    assert found == brute_weeks(errors)
+
+
+def test_week_clusters_of_mixed_word_sets(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from marginalia.operators import audit
+
+    rng = random.Random(6)
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 24 * 60)), " ".join(rng.choices(["red", "blue", "green", "x", *(f"word{i}" for i in range(40))], k=rng.randint(0, 5)))) for k in range(150)]
+    found = audit.week_clusters(spark.createDataFrame([*rows, (900, None, "red blue"), (901, None, "red blue"), (902, None, "red")], "ordinal long, date timestamp, text string")).collect()
+    assert {r["week"]: r["n"] for r in found} == brute_weeks(rows)
