@@ -179,7 +179,7 @@ def near_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def blockers(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "events").select(F.col("event_type").alias("item")).distinct()
-    log = table(spark, sf, "events").filter("user_id <= 5").select(F.to_date("ts").alias("date"), F.concat_ws(" ", F.lit("still"), "event_type").alias("text"))
+    log = table(spark, sf, "events").select(F.to_date("ts").alias("date"), F.concat_ws(" ", F.lit("still"), "event_type").alias("text"))
     return audit.blockers(items, log).select("item", "n_entries", F.col("days").cast("long").alias("days"), "stale")
 
 

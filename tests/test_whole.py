@@ -92,3 +92,14 @@ def test_week_clusters_of_mixed_word_sets(spark):
     rows = [(k, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 24 * 60)), " ".join(rng.choices(["red", "blue", "green", "x", *(f"word{i}" for i in range(40))], k=rng.randint(0, 5)))) for k in range(150)]
     found = audit.week_clusters(spark.createDataFrame([*rows, (900, None, "red blue"), (901, None, "red blue"), (902, None, "red")], "ordinal long, date timestamp, text string")).collect()
     assert {r["week"]: r["n"] for r in found} == brute_weeks(rows)
+
+
+def test_blockers_count_all_entries(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    days = {}
+    for kind, ts in spark.read.parquet(f"{FOLDER}/events.parquet").select("event_type", "ts").collect():
+        days.setdefault(kind, []).append(ts.date())
+    found = {r["item"]: (r["n_entries"], r["days"]) for r in QUERIES["blockers"](spark, FOLDER).collect()}
+    assert found == {k: (len(d), (max(d) - min(d)).days) for k, d in days.items()}
+    same_without(spark, "blockers", (" WHERE user_id <= 5", ""))
