@@ -212,9 +212,9 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages with the share of their words that each label-1 quality document of source src1 has; only pairs that share a word."""
+    """Passages with the share of their words that each document has; only pairs that share a word."""
     b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(tokens("text")).alias("wb"))
-    d = table(spark, sf, "documents").filter("source = 'src1'").select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("w"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("w"))
     shared = b.select("item_id", F.size("wb").alias("n"), F.explode("wb").alias("w")).join(d, "w").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("k"))
     return shared.select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 

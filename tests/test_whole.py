@@ -103,3 +103,12 @@ def test_blockers_count_all_entries(spark):
     found = {r["item"]: (r["n_entries"], r["days"]) for r in QUERIES["blockers"](spark, FOLDER).collect()}
     assert found == {k: (len(d), (max(d) - min(d)).days) for k, d in days.items()}
     same_without(spark, "blockers", (" WHERE user_id <= 5", ""))
+
+
+def test_token_overlap_of_all_sources(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    items = [(i, set(words(t))) for i, t in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = [(i, set(words(t or ""))) for i, t in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    found = {(r["item_id"], r["doc_id"]): r["share"] for r in QUERIES["token_overlap"](spark, FOLDER).collect()}
+    assert found == pytest.approx({(i, d): len(b & w) / len(b) for i, b in items for d, w in docs if b & w}, abs=1e-6)
