@@ -112,3 +112,7 @@ def test_token_overlap_of_all_sources(spark):
     docs = [(i, set(words(t or ""))) for i, t in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     found = {(r["item_id"], r["doc_id"]): r["share"] for r in QUERIES["token_overlap"](spark, FOLDER).collect()}
     assert found == pytest.approx({(i, d): len(b & w) / len(b) for i, b in items for d, w in docs if b & w}, abs=1e-6)
+
+
+def test_strategy_compare_draws_ten_thousand_times(spark):
+    same_without(spark, "strategy_compare", ("range(1, 201)", "range(1, 10001)"), ("ms[6]", "ms[251]"), ("ms[196]", "ms[9751]"), ("200.0::DOUBLE", "10000.0::DOUBLE"))
