@@ -16,8 +16,10 @@ The passages' hashes are sent to all tasks in blocks of at most
 `BLOCK_WORDS` words; documents are scanned once for each block and never
 shuffled.  Hashes only propose; words are compared by 64-bit hashes.
 
-Defined results: passages of fewer than five words or with null text or
-identifier are left out; null or empty documents overlap nothing; repeated
+Passages of fewer than five words are found where they stand word for word.
+
+Defined results: passages without words or with null text or identifier are
+left out; null or empty documents overlap nothing; repeated
 rows are judged alike; the input record travels as a struct, so extra columns
 cannot clash.
 """
@@ -35,17 +37,19 @@ from .common import prepare, text_bytes
 from .textkeys import mix, word_hashes
 
 #: Fixed masks: offsets of the four words that count.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 4, 5), (0, 2, 3, 5), (0, 2, 5, 7))
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 4, 5), (0, 2, 3, 5), (0, 2, 5, 7), (0, 2, 3, 4), (0, 1, 2, 4))
 MIN_WORDS = 5
+#: For passages of one to four words: all of their words count.
+WHOLE = tuple(tuple(range(n)) for n in range(1, MIN_WORDS))
 OVERLAP, WINDOW, BAND = 0.8, 50, 8
-#: At most so many passage words in a broadcast: with five masks some 100 MB.
+#: At most so many passage words in a broadcast: with seven masks some 140 MB.
 BLOCK_WORDS = 1_000_000
 _FACTORS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(4))
 
 
 def mask_hashes(words: np.ndarray, number: int) -> np.ndarray:
     """The hash of mask `number` at every position where it fits."""
-    offsets = MASKS[number]
+    offsets = (MASKS + WHOLE)[number]
     n = len(words) - offsets[-1]
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -61,13 +65,15 @@ class SeedIndex:
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         words, counts = word_hashes([t for _, t in items])
         stops = np.cumsum(counts)
-        self.items = [(i, words[e - c : e]) for (i, _), e, c in zip(items, stops, counts) if c >= MIN_WORDS]
-        keys, owners, places = [], [], []
+        self.items = [(i, words[e - c : e]) for (i, _), e, c in zip(items, stops, counts) if c]
+        keys, owners, places, used = [], [], [], set()
         for k, (_, own) in enumerate(self.items):
-            for number in range(len(MASKS)):
+            for number in range(len(MASKS)) if len(own) >= MIN_WORDS else [len(MASKS) + len(own) - 1]:
+                used.add(number)
                 h = mask_hashes(own, number)
                 keys.append(h), owners.append(np.full(len(h), k, dtype=np.int32)), places.append(np.arange(len(h), dtype=np.int32))
         keys, owners, places = (np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((keys, np.uint64), (owners, np.int32), (places, np.int32)))
+        self.numbers = sorted(used)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners, self.places = keys[order], owners[order], places[order]
         self.bits = np.zeros(1 << 20, dtype=bool)
@@ -80,7 +86,8 @@ class SeedIndex:
         words, counts = word_hashes(texts)
         stops = np.cumsum(counts)
         found = []
-        for number, offsets in enumerate(MASKS):
+        for number in self.numbers:
+            offsets = (MASKS + WHOLE)[number]
             h = mask_hashes(words, number)
             at = np.flatnonzero(self.bits[h >> np.uint64(44)])
             lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
@@ -100,6 +107,7 @@ class SeedIndex:
         for a, b in zip(pairs[:-1], pairs[1:]):
             text, item = int(hits[0, a]), int(hits[1, a])
             doc, (item_id, passage) = words[stops[text] - counts[text] : stops[text]], self.items[item]
+            b = b if len(passage) >= MIN_WORDS else a + 1  # the first place of a short passage says all
             best = _aligned(doc, passage, hits[2, a:b] - (stops[text] - counts[text]), window, band)
             if best[0] >= overlap * min(window, len(passage)):
                 yield text, item_id, best[1], int(best[2]), best[0] / min(window, len(passage))

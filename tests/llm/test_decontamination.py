@@ -74,3 +74,27 @@ def test_odd_rows(spark, odd, empty):
     assert [(r["doc_id"], r["item_id"]) for r in d.find_overlaps(odd, items).collect()] == [(None, 4)]
     assert d.decontaminated(odd, items).count() == 9 and d.decontaminated(odd, items).columns == odd.columns
     assert d.find_overlaps(empty, items).count() == 0 and d.find_overlaps(odd, items.limit(0)).count() == 0 and d.decontaminated(odd, items.limit(0)).count() == 10
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_masks_hit_at_every_length(n):
+    for gone in itertools.combinations(range(n), n // 5):
+        assert any(all(p + o not in gone for o in m) for m in d.MASKS for p in range(n - m[-1]))
+
+
+def test_short_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("stuvw") + rng.choice("xyz")
+    items = [(k, " ".join(word() for _ in range(1 + k % 7))) for k in range(28)]
+    docs = [(-1, items[0][1]), (-2, ""), (-3, None)]
+    for i in range(150):
+        text, own = [word() for _ in range(rng.randint(0, 12))], rng.choice(items)[1].split()
+        if rng.random() < 0.5:
+            own[rng.randrange(len(own))] = "zz"
+        at = rng.randint(0, len(text))
+        text[at:at] = own
+        docs.append((i, " ".join(text)))
+    a, b = frames(spark, docs, items)
+    rows = d.find_overlaps(a, b).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items) and len(rows) == len(brute(docs, items))
+    assert {r["doc_id"] for r in d.decontaminated(a, b).collect()} == {i for i, _ in docs} - {i for i, _ in brute(docs, items)}
