@@ -265,17 +265,17 @@ ORACLES = {
     "cooldown": "WITH e AS (SELECT user_id AS op, max(ts) FILTER (event_type = 'error') AS l, max(ts) FILTER (event_type <> 'error') AS o FROM events GROUP BY user_id), s AS (SELECT op, epoch_us(TIMESTAMP '2024-01-30 12:00:00') // 1000000 - epoch_us(l) // 1000000 AS age, epoch_us(TIMESTAMP '2024-01-30 12:00:00') // 1000000 - epoch_us(o) // 1000000 AS since FROM e) SELECT op, CASE WHEN age IS NULL THEN 'free' WHEN age < 1800 THEN 'held' ELSE 'stale' END AS state, coalesce(since < 86400, false) AS cooling_down FROM s",
     "session_drift": "WITH e AS (SELECT user_id AS corpus, max(ts) AS n, max(ts) FILTER (event_type = 'purchase') AS s FROM events GROUP BY user_id) SELECT corpus, epoch_us(n) // 1000000 - epoch_us(s) // 1000000 > 300 AS unclean FROM e WHERE s IS NOT NULL",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "week_clusters": f"WITH d AS (SELECT event_id AS k, date_trunc('week', ts)::DATE AS week, list_distinct({tok('props')}) AS w FROM events WHERE event_type = 'error' AND user_id <= 12), p AS (SELECT DISTINCT a.week, a.k FROM d a JOIN d b ON a.week = b.week AND a.k <> b.k AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) >= 0.5) SELECT week, count(*) AS n FROM p GROUP BY week HAVING count(*) >= 3",
+    "week_clusters": f"WITH d AS (SELECT event_id AS k, date_trunc('week', ts)::DATE AS week, list_distinct({tok('props')}) AS w FROM events WHERE event_type = 'error'), p AS (SELECT DISTINCT a.week, a.k FROM d a JOIN d b ON a.week = b.week AND a.k <> b.k AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) >= 0.5) SELECT week, count(*) AS n FROM p GROUP BY week HAVING count(*) >= 3",
     "orphan_customers": "WITH d AS (SELECT DISTINCT c_custkey AS key FROM customer), r AS (SELECT DISTINCT o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 10000000 ELSE 0 END AS key FROM orders) SELECT coalesce(d.key, r.key) AS key, CASE WHEN r.key IS NULL THEN 'WARN' ELSE 'INFO' END AS severity FROM d FULL JOIN r ON d.key = r.key WHERE d.key IS NULL OR r.key IS NULL",
     "untracked_parts": "WITH m AS (SELECT p_brand || '/' || p_size AS folder, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 3) SELECT * FROM m WHERE folder NOT IN (SELECT p_brand || '/' || p_size FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 0)",
     "coverage": "SELECT count(*) FILTER (c) AS covered, count(*) AS hubs, round(100.0::DOUBLE * count(*) FILTER (c) / count(*), 2) AS percent FROM (SELECT n_nationkey IN (SELECT s_nationkey FROM supplier) AS c FROM nation)",
     "catalog_consistency": "SELECT p_size % 3 + 1 AS tier, CASE WHEN p_size % 3 + 1 = 3 THEN 'INFO' ELSE 'WARN' END AS severity, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45) GROUP BY ALL",
     "near_names": "WITH p AS (SELECT lower(p_name) AS nm, min(p_partkey) AS id FROM part GROUP BY 1) SELECT a.id AS a, b.id AS b, levenshtein(a.nm, b.nm)::BIGINT AS distance FROM p a JOIN p b ON a.id < b.id WHERE levenshtein(a.nm, b.nm) <= 2",
-    "blockers": "WITH i AS (SELECT DISTINCT event_type AS item FROM events), l AS (SELECT ts::DATE AS d, 'still ' || event_type AS t FROM events WHERE user_id <= 5), n AS (SELECT item, count(t) AS n_entries, date_diff('day', min(d), max(d)) AS days FROM i LEFT JOIN l ON contains(t, item) GROUP BY item) SELECT item, n_entries, days, n_entries >= 3 OR coalesce(days, 0) > 7 AS stale FROM n",
+    "blockers": "WITH i AS (SELECT DISTINCT event_type AS item FROM events), l AS (SELECT ts::DATE AS d, 'still ' || event_type AS t FROM events), n AS (SELECT item, count(t) AS n_entries, date_diff('day', min(d), max(d)) AS days FROM i LEFT JOIN l ON contains(t, item) GROUP BY item) SELECT item, n_entries, days, n_entries >= 3 OR coalesce(days, 0) > 7 AS stale FROM n",
     "local_search": "SELECT source, doc_id, place, total, greatest(total - 20, 0) AS more FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS total FROM documents WHERE contains(lower(text), 'thing')) WHERE place <= 20",
     "unique_sessions": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "work_list": "SELECT doc_id AS session_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "mirror_drift": "SELECT doc_id, text <> first_value(text) OVER (PARTITION BY source, n_chars ORDER BY doc_id) AS differs FROM documents",
     "slugs": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS type_slug FROM part",
-    "token_overlap": f"WITH b AS (SELECT item_id, list_distinct({tok('text')}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({tok('text')}) AS w FROM documents WHERE source = 'src1'), p AS (SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) AS k, len(b.w) AS n FROM b, d) SELECT item_id, doc_id, round(k::DOUBLE / n, 6) AS share FROM p WHERE k > 0",
+    "token_overlap": f"WITH b AS (SELECT item_id, list_distinct({tok('text')}) AS ws FROM benchmark), w AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM b), d AS (SELECT doc_id, unnest(list_distinct({tok('text')})) AS w FROM documents) SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS share FROM w JOIN d USING (w) GROUP BY item_id, n, doc_id",
 }
