@@ -1,5 +1,9 @@
 import html
+import random
 import re
+import time
+
+import pytest
 
 from marginalia.llm.extraction import extract_pages, main_text, smoothed, threshold
 from marginalia.llm.queries import op4_html_extraction
@@ -44,3 +48,60 @@ def test_pages_against_their_articles(spark, sf):
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", "t")], "page_id long, url string, html string, text string")
     assert sorted((r["text"] for r in extract_pages(df).collect())) == ["", "", "x"] and extract_pages(df.limit(0)).count() == 0
+
+
+BODY = "<h1>T</h1><p>First paragraph with a good deal of text and more, so it counts as content here.</p><p>Second one that is about as long as the first one, and says more of it.</p><p>End.</p>"
+TEXT = "T\nFirst paragraph with a good deal of text and more, so it counts as content here.\nSecond one that is about as long as the first one, and says more of it.\nEnd."
+
+
+@pytest.mark.parametrize("wrapper", ['class="site"', 'class="site has-sidebar"', 'id="page" class="no-comments"', 'class="header-fixed"', 'class="left-sidebar"', 'class="comments"', 'role="search"', "hidden"])
+def test_a_wrapper_stays_whatever_it_is_called(wrapper):
+    assert main_text(f"<body><div {wrapper}>{BODY}</div></body>") == TEXT
+    assert main_text(f"<body><nav><a>Home</a></nav><div {wrapper}>{BODY}<div class='ad'>Buy it now</div></div></body>") == TEXT
+    assert main_text(f"<body><form id=f><div {wrapper}>{BODY}</div></form></body>") == TEXT
+
+
+def test_long_comments_go():
+    said = "<div class='comment'><p>I think that this is the best thing I have ever read about any of these, thank you very much.</p></div>" * 40
+    assert main_text(f"<body><div class='post'>{BODY}</div><div id='comments'>{said}</div></body>") == TEXT
+    assert main_text(f"<body><article>{BODY}</article><section class='comment-list'>{said.replace('div', 'article')}</section></body>") == TEXT
+
+
+def test_an_empty_article_has_no_text():
+    assert main_text("<body><div class='ad'>Nothing but this advert is here for you.</div><article></article><footer>me</footer></body>") == ""
+
+
+def test_runs_of_links_are_left_out():
+    links = "<ul>" + "<li><a>Some other page of this site</a></li>" * 5 + "</ul>"
+    assert main_text(f"<body><div>{BODY}{links}</div></body>") == TEXT
+    assert main_text(f"<body><div>{BODY}<p><a>one link alone</a></p></div></body>") == TEXT + "\none link alone"
+
+
+def test_pages_of_several_templates():
+    """Pages made of known blocks; the text is what they were made of."""
+    rng = random.Random(3)
+    words = "river stone lantern of the and copper window gentle where morning 1984 é über <b>bold</b> &amp;".split()
+
+    def paragraph(least=14):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(least, 60))) + "."
+
+    def plain(markup):
+        return html.unescape(re.sub("<[^>]*>", "", markup))
+
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>{k}</a>" for k in ("Home", "News", "About us", "Contact")) + "</ul>"
+    templates = [
+        '<body class="single"><header id="masthead"><a>Site</a>{menu}</header><div id="content" class="site-content no-sidebar">{body}</div><div class="sidebar"><h3>More</h3>{menu}</div><div id="footer">All rights reserved</div></body>',
+        '<body><div class="page-wrap with-menu"><div role="navigation">{menu}</div><main><div class="cookie-notice">We use cookies, please accept them.</div>{body}<div class="share">Share this with friends</div></main><section id="comments"><p>A reader wrote that this was quite a good one to read again.</p></section></div></body>',
+        '<body><table><tr><td class="nav">{menu}</td><td>{body}</td></tr></table><div class="copyright footer">me</div></body>',
+    ]
+    for k in range(60):
+        blocks = [("h1", "Title of the page"), *(("p", paragraph()) for _ in range(rng.randint(3, 9)))]
+        body = "".join(f"<{tag}>{text}</{tag}>" for tag, text in blocks)
+        assert main_text(templates[k % 3].format(menu=menu, body=body)) == "\n".join(plain(text) for _, text in blocks), k
+
+
+def test_time_is_linear():
+    for page in ("<body>" + "<p>some words here</p>" * 200_000, "<div>" * 50_000 + "<p>deep</p>" * 50_000, "<li><div>" + "<b>" * 5000 + "<li>x</li></i>" * 20_000):
+        start = time.time()
+        assert main_text(page)
+        assert time.time() - start < 10
