@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,9 +26,11 @@ WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches and let Python workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound Arrow batches, unless the caller's are smaller, and let Python workers import this package."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if not (now and now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     for name, value in WORKER_MEMORY.items():
@@ -39,12 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a new local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: spark.checkpoint.dir, or a new local one where none is set and all run on this machine."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -52,10 +57,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Folders staged in each open scope, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside, but for tables staged with `result=True`, which belong to the scope around."""
+    scopes = _SCOPES.get()
+    own: list[str] = []
+    token = _SCOPES.set((*scopes, own))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in own:
+            dropped(spark, path)
+
+
+def staged(df: DataFrame, name: str, *, result: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it again: work is done once and lineage is cut."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    scopes = _SCOPES.get()[: -1 if result else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,23 +22,28 @@ is verified merges components; then every pair of a long list that passes the
 bound and still lies across two components is verified too, so no link
 between components is lost.
 
+`jaccard_links` gives all links instead, with the number of each document's.
+
 Words are runs outside space and 0x09-0x0D, A-Z folded.  With fewer words than
 a shingle the whole sequence is one; a text without words has an empty set and
-links with nothing.  Shingles and sets are compared by 64-bit hashes.  Null
+links with nothing.  Shingles are compared by 64-bit hashes, sets by two.  A
+bin of postings too large for a task goes through scratch files, from which a
+retried task starts anew.  Very long texts are hashed in bounded stretches.  Null
 text is empty; repeated rows and equal sets are linked; extra columns are not
 read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, release_memory, staged, text_bytes
+from .common import prepare, release_memory, scratch, staged, text_bytes
 from .components import components
 from .textkeys import batch_shingles, mix
 
@@ -52,16 +57,31 @@ SHARED = 3
 AT_ONCE = 4
 #: Postings packed at a time, and postings in a bin.
 FLUSH, BIN = 250_000, 400_000
+#: Bytes of a bin's postings that a task holds before it moves them to so many scratch files.
+SPILL_BYTES, SPILL_FILES = 64 << 20, 16
+#: Blocks of a long list that meet in one row, on either side.
+CELL = 6
 #: With at most so many documents to verify (8 bytes each) their identifiers are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 SKETCH_BITS, SMALL_BITS, MOST_BITS = 4, 2048, 1 << 17
 LONG = np.dtype("<i8")
 
 
-def signature(found: np.ndarray) -> int:
-    """A 64-bit hash of the whole ascending set."""
+def signature(found: np.ndarray, bits: int = 64, salt: int = 0) -> int:
+    """A hash of the whole ascending set."""
     place = np.arange(1, len(found) + 1, dtype=np.uint64)
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(found + mix(place)))], dtype=np.uint64) + np.uint64(len(found))).view(np.int64)[0])
+    whole = np.bitwise_xor.reduce(mix((found ^ np.uint64(salt)) + mix(place)))
+    return int((mix(np.array([whole], dtype=np.uint64) + np.uint64(len(found))) >> np.uint64(64 - bits)).view(np.int64)[0])
+
+
+def check(found: np.ndarray) -> int:
+    """A second hash: sets whose signatures are equal by chance differ in it."""
+    return signature(found, salt=0x5851F42D4C957F2D)
+
+
+def identity(found: np.ndarray, bits: int, collided: frozenset[int]) -> int:
+    sig = signature(found, bits)
+    return check(found) if sig in collided else sig
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -96,11 +116,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + shared_tokens(n, percent)
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
-def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """A row a document (doc_id, n, sig, sketch), and rows with the counts of shingles that recur in a stretch of documents."""
+def features(docs: DataFrame, shingle: int, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """A row a document (doc_id, n, sig, check, sketch), and rows with the counts of shingles that recur in a stretch of documents."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -113,11 +133,12 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
 
         for batch in batches:
             sets = list(batch_shingles(text_bytes(batch, "text"), shingle))
-            sigs = [signature(s) if len(s) else None for s in sets]
+            sigs = [signature(s, bits) if len(s) else None for s in sets]
+            checks = [check(s) if len(s) else None for s in sets]
             sketches = [sketch(s) for s in sets]
             small = [small_sketch(x, len(s)) for x, s in zip(sketches, sets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.nulls(len(sets), _FEATURES.types[5]), pa.nulls(len(sets), _FEATURES.types[6])], schema=_FEATURES)
-            for sig, found in zip(sigs, sets):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array(checks, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.nulls(len(sets), _FEATURES.types[6]), pa.nulls(len(sets), _FEATURES.types[7])], schema=_FEATURES)
+            for sig, found in zip(checks, sets):
                 if sig is not None and sig not in held:
                     held[sig] = found
                     size += len(found)
@@ -130,7 +151,7 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
         release_memory()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(extract, "doc_id long, n long, sig long, sketch binary, small binary, tokens array<long>, counts array<long>")
+    return rows.mapInArrow(extract, "doc_id long, n long, sig long, check long, sketch binary, small binary, tokens array<long>, counts array<long>")
 
 
 #: What a posting is made of: in ordinary bins, and of frequent tokens.
@@ -139,11 +160,12 @@ OFTEN = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("at", "<u2"
 MEMBER = np.dtype([("group", "<i8"), ("sig", "<i8"), ("n", "<u4")])
 
 
-def postings(docs: DataFrame, frequent, bins: int, shingle: int, percent: int, text_col: str) -> DataFrame:
+def postings(docs: DataFrame, frequent, known, bins: int, shingle: int, percent: int, text_col: str) -> DataFrame:
     """(bin, kind, data): packed postings of groups, of frequent tokens, and the groups' members."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, counts = frequent.value  # ascending hashes, their counts
+        bits, collided = known.value
         parts: dict[str, list[np.ndarray]] = {"E": [], "F": [], "M": []}
         seen: set[int] = set()
         size = 0
@@ -166,7 +188,7 @@ def postings(docs: DataFrame, frequent, bins: int, shingle: int, percent: int, t
         for batch in batches:
             for found in batch_shingles(text_bytes(batch, "text"), shingle):
                 n = len(found)
-                sig = signature(found) if n else None
+                sig = identity(found, bits, collided) if n else None
                 if sig is None or sig in seen:
                     continue
                 seen.add(sig)
@@ -226,6 +248,11 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
         n = len(lists)
         return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(lists, pa.int64()), pa.array(blocks, pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], schema=_LISTS)
 
+    def ordered(e: np.ndarray) -> np.ndarray:
+        """By token and size, so blocks of a list have like sizes; of one group under one token (or two that collide) every place stays."""
+        e = e[np.lexsort((e["at"], e["group"], e["n"], e["token"]))]
+        return e[np.concatenate([[True], e[1:] != e[:-1]])]
+
     def settle(bin_id: int, parts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         if parts.get("M"):
             m = np.unique(np.frombuffer(b"".join(parts["M"]), dtype=MEMBER))
@@ -233,15 +260,11 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
                 own = m[at : at + 20_000]
                 yield rows("M", [bin_id], [0], [own["group"].astype(np.int64)], [own["sig"].astype(np.int64)], [own["n"].astype(np.int64)], [np.zeros(0, dtype=np.int64)])
         if parts.get("F"):
-            e = np.frombuffer(b"".join(parts["F"]), dtype=OFTEN)
-            e = e[np.lexsort((e["group"], e["token"]))]
-            e = e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["group"][1:] != e["group"][:-1])])]
+            e = ordered(np.frombuffer(b"".join(parts["F"]), dtype=OFTEN))
             edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))
             yield from blocks(e, edge, e["token"].view(np.int64), bin_id)
         if parts.get("E"):
-            e = np.frombuffer(b"".join(parts["E"]), dtype=ENTRY)
-            e = e[np.lexsort((e["group"], e["token"]))]
-            e = e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["group"][1:] != e["group"][:-1])])]
+            e = ordered(np.frombuffer(b"".join(parts["E"]), dtype=ENTRY))
             edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1], [True]]))
             length = np.diff(edge)
             group, n, place = (e[k].astype(np.int64) for k in ("group", "n", "at"))
@@ -251,8 +274,8 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
                 for i in range(k):
                     for j in range(i + 1, k):
                         a, b = starts + i, starts + j
-                        ok = passes(n[a], n[b], place[a], place[b], percent)
-                        left.append(group[a][ok]), right.append(group[b][ok]), need.append(np.minimum(n[a], n[b])[ok])
+                        ok = passes(n[a], n[b], place[a], place[b], percent) & (group[a] != group[b])
+                        left.append(np.minimum(group[a], group[b])[ok]), right.append(np.maximum(group[a], group[b])[ok]), need.append(np.minimum(n[a], n[b])[ok])
             if left:
                 pairs, times = np.unique(np.stack([np.concatenate(x) for x in (left, right, need)]), axis=1, return_counts=True)
                 for at in range(0, pairs.shape[1], 20_000):
@@ -275,17 +298,42 @@ def match_bins(packed: DataFrame, percent: int) -> DataFrame:
             g, n, place = (c[at : at + 50] for c in columns)
             yield rows("B", lists[at : at + 50], numbers[at : at + 50], g, [[]] * len(g), n, place)
 
+    def settled(bin_id: int, parts: dict[str, list[bytes]], spilled: list) -> Iterator[pa.RecordBatch]:
+        if spilled:
+            spill(parts, spilled)
+        yield from settle(bin_id, parts)
+        for file in spilled:  # each has some of the tokens, whole
+            file.seek(0)
+            data = file.read()
+            file.close()
+            if data:
+                yield from settle(bin_id, {"E": [data]})
+
+    def spill(parts: dict[str, list[bytes]], spilled: list) -> None:
+        """Move a bin's postings to scratch files by token; a retried task makes them anew."""
+        if not spilled:
+            spilled += [tempfile.TemporaryFile() for _ in range(SPILL_FILES)]
+        e = np.frombuffer(b"".join(parts.pop("E", [])), dtype=ENTRY)
+        place = mix(e["token"].astype(np.uint64)) % np.uint64(SPILL_FILES)
+        for k, file in enumerate(spilled):
+            file.write(e[place == k].tobytes())
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, parts = None, {}
+        current, parts, spilled, held = None, {}, [], 0
         for batch in batches:
             for bin_id, kind, data in zip(*[c.to_pylist() for c in batch.columns]):
                 if bin_id != current:
                     if current is not None:
-                        yield from settle(current, parts)
-                    current, parts = bin_id, {}
+                        yield from settled(current, parts, spilled)
+                    current, parts, spilled, held = bin_id, {}, [], 0
                 parts.setdefault(kind, []).append(data)
+                if kind == "E":
+                    held += len(data)
+                    if held > SPILL_BYTES:
+                        spill(parts, spilled)
+                        held = 0
         if current is not None:
-            yield from settle(current, parts)
+            yield from settled(current, parts, spilled)
         parts.clear()
         release_memory()
 
@@ -331,7 +379,8 @@ def block_pairs(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
         widths_a, widths_b = ({w: np.array([i for i, s in enumerate(side[4]) if len(s) == w]) for w in {len(s) for s in side[4]}} for side in (left, right))
         for wa, ia in widths_a.items():
             for wb, ib in widths_b.items():
-                if max(wa, wb) > 4 * min(wa, wb):  # their sizes differ too much
+                # a sketch has at most twice its share of bits, so these sets' sizes differ too much
+                if percent * max(wa, wb) > 200 * min(wa, wb):
                     continue
                 size = min(wa, wb)
                 pa_, pb = (folded(np.stack([side[4][i] for i in own]), size).view(np.uint64) for side, own in ((left, ia), (right, ib)))
@@ -353,50 +402,72 @@ def block_pairs(blocks: DataFrame, percent: int, first: bool) -> DataFrame:
                         out.append(np.stack([a[u][good], ib[v][good], (1_000_000 * most / (n_a + n_b - most)).astype(np.int64)[good]]))
         return np.concatenate(out, axis=1) if out else np.zeros((3, 0), dtype=np.int64)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tested(name: int, left, right, same: bool) -> Iterator[pa.RecordBatch]:
+        a, b, bound = survivors(left, right, same)
+        x, y, lx, ly = left[0][a], right[0][b], left[3][a], right[3][b]
+        kind = np.full(len(x), "R")
+        if first and len(x):
+            keep, root = [], {}
+
+            def find(k):
+                while root.setdefault(k, k) != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for k in np.argsort(-bound, kind="stable").tolist():
+                p, q = find(int(lx[k])), find(int(ly[k]))
+                if p != q:
+                    root[p] = q
+                    keep.append(k)
+            kind[keep] = "F"
+            if len(x) > AT_ONCE * (len(left[0]) + len(right[0])):
+                x, y, kind = x[keep], y[keep], kind[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([name]), pa.array(["L"])], schema=_TESTED)
+        for at in range(0, len(x), 10_000):
+            own = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[own], y[own])), pa.array(np.maximum(x[own], y[own])), pa.array(kind[own].tolist(), pa.string())], schema=_TESTED)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["block"] == row["block_b"]
-                left = columns(row["entries"])
-                right = left if same else columns(row["entries_b"])
-                a, b, bound = survivors(left, right, same)
-                x, y, lx, ly = left[0][a], right[0][b], left[3][a], right[3][b]
-                kind = np.full(len(x), "R")
-                if first and len(x):
-                    keep, root = [], {}
-
-                    def find(k):
-                        while root.setdefault(k, k) != k:
-                            root[k] = root[root[k]]
-                            k = root[k]
-                        return k
-
-                    for k in np.argsort(-bound, kind="stable").tolist():
-                        p, q = find(int(lx[k])), find(int(ly[k]))
-                        if p != q:
-                            root[p] = q
-                            keep.append(k)
-                    kind[keep] = "F"
-                    if len(x) > AT_ONCE * (len(left[0]) + len(right[0])):
-                        x, y, kind = x[keep], y[keep], kind[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array([row["list"]]), pa.array([row["list"]]), pa.array(["L"])], schema=_TESTED)
-                for at in range(0, len(x), 10_000):
-                    own = slice(at, at + 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[own], y[own])), pa.array(np.maximum(x[own], y[own])), pa.array(kind[own].tolist(), pa.string())], schema=_TESTED)
-
+            for name, entries in zip(batch.column("list").to_pylist(), batch.column("entries")):
+                own = columns(entries.as_py())
+                yield from tested(name, own, own, True)
         release_memory()
 
-    pair = ["list", "block", "entries", "block_b", "entries_b"]
-    alone = blocks.withColumn("block_b", F.col("block")).withColumn("entries_b", F.slice("entries", 1, 0)).select(pair)
-    cut = staged(blocks.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list"), "cut-lists")
-    several = blocks.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, "list", "left_semi")
-    right = several.select("list", F.col("block").alias("block_b"), F.col("entries").alias("entries_b"))
-    across = several.join(right, "list").filter("block < block_b").select(pair)
-    tested = "a long, b long, kind string"
-    return alone.mapInArrow(test, tested).union(across.mapInArrow(test, tested)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
-
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, g, h, blocks in zip(*[batch.column(k) for k in ("list", "g", "h", "blocks")]):
+                sides = ([], [])
+                for block in blocks:
+                    sides[0 if block["g"].as_py() == g.as_py() else 1].append(columns(block["entries"].as_py()))
+                if g.as_py() == h.as_py():
+                    pairs = [(x, y) for k, x in enumerate(sides[0]) for y in sides[0][k + 1 :]]
+                else:
+                    pairs = [(x, y) for x in sides[0] for y in sides[1]]
+                for x, y in pairs:
+                    if 100 * min(x[1].max(), y[1].max()) >= percent * max(x[1].min(), y[1].min()):
+                        yield from tested(name.as_py(), x, y, False)
+        release_memory()
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    # blocks of a list in order of their sets' sizes, CELL of them a group; a pair of groups is one row, and the pairs of a list are dealt out by group
+    thin = blocks.select("list", "block", F.array_min("entries.n").alias("low"), F.array_max("entries.n").alias("high"))
+    cut = staged(thin.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list"), "cut-lists")
+    few = cut.count() <= BROADCAST_IDS
+    thin = thin.join(F.broadcast(cut) if few else cut, "list", "left_semi")
+    place = F.row_number().over(Window.partitionBy("list").orderBy("low", "high", "block")) - 1
+    thin = staged(thin.withColumn("g", F.floor(place / CELL).cast("int")), "cut-blocks")
+    groups = thin.groupBy("list", "g").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    other = groups.select("list", F.col("g").alias("h"), F.col("low").alias("low_h"), F.col("high").alias("high_h"))
+    cells = groups.join(other, "list").filter("g <= h").filter(F.lit(100) * F.least("high", "high_h") >= percent * F.greatest("low", "low_h"))
+    cells = cells.select("list", "g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("own"))
+    dealt = thin.select("list", "block", F.col("g").alias("own")).join(cells, ["list", "own"]).join(blocks, ["list", "block"])
+    dealt = dealt.groupBy("list", "g", "h").agg(F.collect_list(F.struct(F.col("own").alias("g"), "entries")).alias("blocks"))
+    made = "a long, b long, kind string"
+    return blocks.select("list", "entries").mapInArrow(alone, made).union(dealt.mapInArrow(across, made)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, known, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the similarity."""
     need = staged(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select(F.col("first_id").alias("need_id")), "need")
     few = need.count() <= BROADCAST_IDS
@@ -405,9 +476,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     out = pa.schema([("sig", pa.int64()), ("found", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, collided = known.value
         seen: set[int] = set()  # repeated rows; what is left of them only repeats pairs
         for batch in batches:
-            found = {signature(s): s.tobytes() for s in batch_shingles(text_bytes(batch, "text"), shingle) if len(s)}
+            found = {identity(s, bits, collided): s.tobytes() for s in batch_shingles(text_bytes(batch, "text"), shingle) if len(s)}
             found = {k: v for k, v in found.items() if k not in seen}
             seen.update(found)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], schema=out)
@@ -428,10 +500,31 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     return joined.select("a", "b", "found_a", "found_b").mapInArrow(compare, "a long, b long").distinct()
 
 
-def linked_classes(docs: DataFrame, made: DataFrame, *, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, label) of all classes that link with another; `made` are the staged features."""
+def set_classes(docs: DataFrame, shingle: int, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(staged features, staged classes of equal sets, signatures that different sets had)."""
+    made = staged(features(docs, shingle, id_col, text_col, bits), "features")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        sums = rows.filter("tokens is null and sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.count("*").alias("copies"), (F.min("check") != F.max("check")).alias("mixed"))
+        return staged(sums, "classes")
+
+    classes = grouped(made)
+    collided = [r["sig"] for r in classes.filter("mixed").select("sig").limit(MOST_FREQUENT).collect()]
+    if collided:  # chance of some 1e-5 for 1e7 documents; these sets go by their second hash
+        bad = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in collided], "bad long"))
+        made = made.join(bad, F.col("sig") == F.col("bad"), "left").withColumn("sig", F.when(F.col("bad").isNull(), F.col("sig")).otherwise(F.col("check"))).drop("bad")
+        classes = grouped(made)
+        if not classes.filter("mixed").isEmpty():
+            raise RuntimeError("two hashes of different sets are equal")
+    return made, classes.drop("mixed"), frozenset(collided)
+
+
+def linked_classes(docs: DataFrame, made: DataFrame, classes: DataFrame, collided: frozenset[int], *, shingle: int, percent: int, id_col: str, text_col: str, bits: int, every: bool = False) -> DataFrame:
+    """(node, label) of all classes that link with another, or every link (a, b) of classes; `made` are the staged features."""
     spark = docs.sparkSession
+    known_sets = spark.sparkContext.broadcast((bits, collided))
     thin = made.filter("tokens is null and sig is not null")
+    classes = classes.filter("first_id is not null").select("sig", "first_id", "n")
     counted = made.filter("tokens is not null").select(F.inline(F.arrays_zip("tokens", "counts"))).groupBy("tokens").agg(F.sum("counts").alias("times")).filter(F.col("times") >= FREQUENT)
     top = counted.orderBy(F.desc("times"), "tokens").limit(MOST_FREQUENT).toPandas()
     keys = top["tokens"].to_numpy(dtype=np.int64).view(np.uint64)
@@ -439,8 +532,7 @@ def linked_classes(docs: DataFrame, made: DataFrame, *, shingle: int, percent: i
     frequent = spark.sparkContext.broadcast((keys[order], top["times"].to_numpy(dtype=np.int64)[order]))
     total = thin.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(32, -(-total * (100 - percent) // 100 // BIN))
-    classes = staged(thin.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")).filter("first_id is not null"), "classes")
-    lists = staged(match_bins(postings(docs, frequent, int(bins), shingle, percent, text_col), percent), "lists")
+    lists = staged(match_bins(postings(docs, frequent, known_sets, int(bins), shingle, percent, text_col), percent), "lists")
     members = lists.filter("kind = 'M'").select(F.inline(F.arrays_zip("g", "x", "n"))).distinct().toDF("g", "sig", "n")
     # groups of several classes are lists of their own
     sizes = members.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
@@ -478,12 +570,16 @@ def linked_classes(docs: DataFrame, made: DataFrame, *, shingle: int, percent: i
         entry = F.struct("sig", "n", "at", "label", F.col("small").alias("sketch"))
         return entries.join(facts, "sig").groupBy("list", "block").agg(F.collect_list(entry).alias("entries"))
 
-    def check(candidates: DataFrame) -> DataFrame:
-        return verified(candidates, docs, classes, shingle, percent, id_col, text_col)
+    def compared(candidates: DataFrame) -> DataFrame:
+        return verified(candidates, docs, classes, known_sets, shingle, percent, id_col, text_col)
 
-    found = staged(block_pairs(staged(blocks(long.withColumn("label", F.col("sig"))), "blocks"), percent, True), "found-pairs")
+    first_blocks = staged(blocks(long.withColumn("label", F.col("sig"))), "blocks")
+    if every:
+        found = block_pairs(first_blocks, percent, False).select("a", "b")
+        return compared(staged(near(found.union(pairs).distinct()), "tried"))
+    found = staged(block_pairs(first_blocks, percent, True), "found-pairs")
     tried = staged(near(found.filter("kind = 'F'").select("a", "b").union(pairs).distinct()), "tried")
-    links = staged(check(tried), "links")
+    links = staged(compared(tried), "links")
     labels = components(links)
 
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -499,23 +595,44 @@ def linked_classes(docs: DataFrame, made: DataFrame, *, shingle: int, percent: i
     rest = staged(near(rest.join(tried, ["a", "b"], "left_anti")), "rest")
     if rest.isEmpty():
         return labels
-    return components(links.union(check(rest)))
+    return components(links.union(compared(rest)))
 
 
-def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row.
 
     Links are pairs with 100 * intersection >= percent * union.  class_id is
     the smallest identifier with the same set.
     """
-    prepare(docs.sparkSession)
-    made = staged(features(docs, shingle, id_col, text_col), "features")
-    labels = linked_classes(docs, made, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
-    thin = made.filter("tokens is null").select("doc_id", "n", "sig")
-    classes = thin.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    found = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    least = found.filter("label is not null").groupBy("label").agg(F.min("class_id").alias("least_id"))
-    found = found.join(least, "label", "left").withColumn("component_id", F.coalesce("least_id", "class_id"))
-    # a class of one row that links with nothing needs no join
-    found = staged(found.filter((F.col("copies") > 1) | F.col("label").isNotNull()).select("sig", "class_id", "component_id"), "found")
+    spark = prepare(docs.sparkSession)
+    made, classes, collided = set_classes(docs, shingle, id_col, text_col, bits)
+    with scratch(spark):
+        labels = linked_classes(docs, made, classes, collided, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col, bits=bits)
+        thin = made.filter("tokens is null").select("doc_id", "n", "sig")
+        classes = classes.select("sig", F.col("first_id").alias("class_id"), "copies")
+        found = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+        least = found.filter("label is not null").groupBy("label").agg(F.min("class_id").alias("least_id"))
+        found = found.join(least, "label", "left").withColumn("component_id", F.coalesce("least_id", "class_id"))
+        # a class of one row that links with nothing needs no join
+        found = staged(found.filter((F.col("copies") > 1) | F.col("label").isNotNull()).select("sig", "class_id", "component_id"), "found", result=True)
     return thin.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (class_a, class_b) of all links between different sets, and (doc_id, n_shingles, class_id, n_links) for every row.
+
+    n_links counts rows: the other copies of the document's set, and all
+    copies of the sets that link with it.  Rows without an identifier form
+    classes but link with no other set.
+    """
+    spark = prepare(docs.sparkSession)
+    made, classes, collided = set_classes(docs, shingle, id_col, text_col, bits)
+    with scratch(spark):
+        pairs = staged(linked_classes(docs, made, classes, collided, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col, bits=bits, every=True), "class-links", result=True)
+    facts = classes.select("sig", F.col("first_id").alias("class_id"), "copies")
+    one, other = (facts.select(F.col("sig").alias(k), F.col("class_id").alias(f"class_{k}"), F.col("copies").alias(f"copies_{k}")) for k in ("a", "b"))
+    full = pairs.join(one, "a").join(other, "b")
+    counted = full.select(F.col("a").alias("sig"), F.col("copies_b").alias("more")).union(full.select("b", "copies_a")).groupBy("sig").agg(F.sum("more").alias("more"))
+    members = made.filter("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), "sig").join(facts.join(counted, "sig", "left"), "sig", "left")
+    links = full.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+    return links, members.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).alias("n_links"))

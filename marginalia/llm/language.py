@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, release_memory, staged
+from .common import prepare, release_memory, scratch, staged
 
 UNDETERMINED = "und"
 SMOOTHING = 0.5
@@ -303,22 +303,23 @@ def learn(docs: DataFrame, vocabulary_path: str, *, rounds: int = ROUNDS, known:
     own = vocabulary(vocabulary_path)
     if not languages:
         return Model([], np.zeros((own.size + 1, 0)), [], np.zeros((0, 0)))
-    words = staged(word_counts(docs, languages, text_col=text_col, lang_col=lang_col), "language-words")
-    table = None
-    for _ in range(rounds + 1):
-        table = _piece_table(count_pieces(words, vocabulary_path, len(languages), table), own.size + 1, len(languages))
-    top = words.orderBy(F.desc("total"), "word").limit(known).select("word")
-    sent = words.sparkSession.sparkContext.broadcast(table)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(vocabulary_path)
-        for batch in batches:
-            logs = np.zeros((batch.num_rows, len(languages)))
-            for places, lattice in lattices([spelled(w) for w in batch.column("word").to_pylist()], own, len(languages)):
-                logs[places] = lattice.likelihood(sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "scores"])
-
-    scored = top.repartition(16).mapInArrow(score, "word binary, scores array<double>").toArrow()
+    with scratch(docs.sparkSession):
+        words = staged(word_counts(docs, languages, text_col=text_col, lang_col=lang_col), "language-words")
+        table = None
+        for _ in range(rounds + 1):
+            table = _piece_table(count_pieces(words, vocabulary_path, len(languages), table), own.size + 1, len(languages))
+        top = words.orderBy(F.desc("total"), "word").limit(known).select("word")
+        sent = words.sparkSession.sparkContext.broadcast(table)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = vocabulary(vocabulary_path)
+            for batch in batches:
+                logs = np.zeros((batch.num_rows, len(languages)))
+                for places, lattice in lattices([spelled(w) for w in batch.column("word").to_pylist()], own, len(languages)):
+                    logs[places] = lattice.likelihood(sent.value)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "scores"])
+
+        scored = top.repartition(16).mapInArrow(score, "word binary, scores array<double>").toArrow()
     return Model(languages, table, scored.column("word").to_pylist(), np.array(scored.column("scores").to_pylist(), dtype=np.float64).reshape(-1, len(languages)))
 
 

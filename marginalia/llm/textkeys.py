@@ -7,6 +7,8 @@ separate tasks, retries and machines agree.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _MASK = (1 << 64) - 1
@@ -45,23 +47,42 @@ class _Powers:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE_INVERSE, k, 1 << 64))])
         return self.up[:n], self.down[:n]
 
+    def shrink(self) -> None:
+        """Forget what only a very long word needed."""
+        if len(self.up) > 4 * STRETCH:
+            self.up, self.down = self.up[: 2 * STRETCH].copy(), self.down[: 2 * STRETCH].copy()
+
 
 _POWERS = _Powers()
+#: Up to the last white space of a stretch; the first one.
+_LAST_BLANK = re.compile(rb".*[\x09-\x0d\x20]", re.DOTALL)
+_NEXT_BLANK = re.compile(rb"[\x09-\x0d\x20]")
+#: Bytes hashed at a time; a stretch ends at the last white space in it, or goes on to the first one after it.
+STRETCH = 1 << 20
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, number of words of each text)."""
+    """(hash of every word in order, number of words of each text); beyond the texts, memory is a stretch's and 8 bytes a word."""
     joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined.translate(FOLD), dtype=np.uint8)
-    blank = SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
     text_ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate([[0], np.searchsorted(starts, text_ends)]))
-    up, down = _POWERS.get(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), counts
+    hashes, before, at = [], np.zeros(len(texts), dtype=np.int64), 0
+    while at < len(joined):
+        end = len(joined)
+        if at + STRETCH < end:
+            last = _LAST_BLANK.search(joined, at, at + STRETCH) or _NEXT_BLANK.search(joined, at + STRETCH)
+            end = last.end()
+        raw = np.frombuffer(joined[at:end].translate(FOLD), dtype=np.uint8)
+        blank = SPACE[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).view(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        before += np.searchsorted(starts + at, text_ends)
+        up, down = _POWERS.get(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], out=total[1:])
+        hashes.append(mix((total[ends] - total[starts]) * down[starts]))
+        at = end
+    _POWERS.shrink()
+    return np.concatenate(hashes), np.diff(np.concatenate([[0], before]))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -1,10 +1,11 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
-from marginalia.llm import jaccard
+from marginalia.llm import common, jaccard, textkeys
 from marginalia.llm.components import components
 from marginalia.llm.queries import op2_ngram_jaccard
 from marginalia.llm.textkeys import batch_shingles
@@ -109,3 +110,67 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[200 + i] for i in range(30)} == {100}
+
+
+def linked(rows, shingle, percent):
+    """Every linked pair of rows with different sets, by comparing all pairs."""
+    sets = {i: brute_set(t, shingle) for i, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}, sets
+
+
+def brute_set(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words)} - {()} if len(words) < size else {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
+
+
+def near_copies(n, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        own = list(words[: rng.choice((60, 60, 58, 40))])
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = f"e{rng.randint(0, 5)}"
+        rows.append((i, " ".join(own)))
+    return [*rows, (n, ""), (n + 1, None), (n + 2, "w1 w2"), (n + 3, "w1 w2")]
+
+
+@pytest.mark.parametrize("percent", [85, 20])
+@pytest.mark.parametrize("bits", [64, 5])
+def test_all_links(spark, monkeypatch, percent, bits):
+    """Long lists in blocks and cells, hash collisions of sets, and sketches of unlike widths."""
+    for name, value in (("BLOCK", 8), ("SHORT", 2), ("CELL", 2), ("SPILL_BYTES", 300)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_copies(70, 9) + [(500 + k, " ".join(f"w{i}" for i in range(k % 11 * 6))) for k in range(22)]
+    want, sets = linked(rows, 4, percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, members = jaccard.jaccard_links(df, shingle=4, percent=percent, bits=bits)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    of = {i: first[frozenset(sets[i])] for i in sets}
+    assert {tuple(r) for r in links.collect()} == {(min(of[a], of[b]), max(of[a], of[b])) for a, b in want}
+    for r in members.collect():
+        i = r["doc_id"]
+        own = sum(bool(sets[i]) and j != i and sets[j] == sets[i] for j in sets) + sum(i in pair for pair in want)
+        assert r["n_links"] == own and r["n_shingles"] == len(sets[i]) and (not sets[i] or r["class_id"] == of[i])
+    assert found(df, 4, percent) == brute(rows, 4, percent)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df, shingle=4, percent=percent, bits=bits).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 4, percent).items()}
+
+
+def test_words_in_stretches(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \n\tXé") for _ in range(rng.randint(0, 90))).encode() for _ in range(40)] + [b"x" * 300, b""]
+    whole = textkeys.word_hashes(texts)
+    monkeypatch.setattr(textkeys, "STRETCH", 16)
+    cut = textkeys.word_hashes(texts)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and whole[1].tolist() == [len(t.split()) for t in texts]
+
+
+def test_staged_folders_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    rows = near_copies(30, 2)
+    assert jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    # what the lazy result reads stays
+    assert {name.rsplit("-", 1)[0] for name in os.listdir(tmp_path)} <= {"features", "classes", "found"}
