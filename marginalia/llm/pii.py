@@ -12,9 +12,9 @@ the best stays, and none that overlaps a base span.
 
 The trees are fitted on `EXAMPLES` seeded sentences on the driver and
 broadcast.  Two thirds of the sentences stand in the corpus's own prose: at
-most `CONTEXTS` windows (half of them around digits, where look-alikes are) of
-at most `SAMPLE` documents, with base spans masked, so what the corpus itself
-says around numbers counts as clean.  Positives are made up in many formats,
+most `CONTEXTS` windows, `EACH` of a document (half of them around digits,
+where look-alikes are), with base spans masked, so what the corpus itself says
+around numbers counts as clean.  Positives are made up in many formats,
 look-alikes (order numbers, versions, dates, sums, checksums) too.
 
 Offsets are code points, ends exclusive.  Null text is empty; very long texts
@@ -43,8 +43,8 @@ from .common import prepare
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
 EXAMPLES, SEED, PRECISION = 12_000, 11, 0.98
-#: Bounds of the labelled sample: documents looked at, and windows of WINDOW code points taken from them.
-SAMPLE, CONTEXTS, WINDOW = 2000, 4000, 80
+#: Bounds of the sample of surroundings: windows in all and from one document, code points on either side.
+CONTEXTS, EACH, WINDOW = 4000, 4, 80
 #: Candidates scored at a time.
 SCORED = 4096
 
@@ -108,7 +108,8 @@ _DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[.,] ?[0-9]{1,3}){3,}")
 #: Digits of the longest card; a candidate ends there.
 MAX_DIGITS = 19
 #: Names that secrets are assigned to, and published prefixes of keys.
-_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|pass|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credentials?)[\"']?\s{0,3}(?::|=|=>|:=|\bis\b)\s{0,3}[\"'`]?([^\s\"'`,;<>]{4,})")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|pass|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|credentials?)[\"']?\s{0,3}$")
+_ASSIGNED = re.compile(r"(?:[:=]+>?|\bis\b)\s{0,3}[\"'`]?([^\s\"'`,;<>]{4,})")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|AIza|eyJ|ya29\.|SG\.|hf_|npm_)")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 
@@ -159,6 +160,8 @@ def candidates(text: str) -> Iterator[Span]:
 def secret_candidates(text: str) -> Iterator[Span]:
     """High recall: values assigned to names of secrets, and opaque strings with digits among their letters."""
     for m in _ASSIGNED.finditer(text):
+        if not _NAMED.search(text[max(0, m.start() - 24) : m.start()]):
+            continue
         yield SECRET, m.start(1), m.start(1) + len(m[1].rstrip(".:!?)]}"))
     for m in _OPAQUE.finditer(text):
         body = m[0].rstrip("=-_")
@@ -288,19 +291,18 @@ def fitted(examples: int = EXAMPLES, seed: int = SEED, precision: float = PRECIS
     return trees, steps, thresholds
 
 
-def corpus_contexts(docs: DataFrame, text_col: str = "text", *, sample: int = SAMPLE, windows: int = CONTEXTS, seed: int = SEED) -> tuple[tuple[str, str], ...]:
-    """(what stands before, what stands after) at places of a bounded sample, base spans masked."""
+def corpus_contexts(docs: DataFrame, text_col: str = "text", *, windows: int = CONTEXTS, seed: int = SEED) -> tuple[tuple[str, str], ...]:
+    """(what stands before, what stands after) at EACH places of the first documents, base spans masked; only as many are read as it takes."""
     schema = pa.schema([("before", pa.string()), ("after", pa.string())])
-    each = max(2, 2 * windows // sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
                 rng = random.Random(f"{seed}:{len(text)}")
-                numbers = [m.start() for m in _GROUP.finditer(text)][: 64 * each]
-                places = rng.sample(numbers, min(len(numbers), each // 2))
-                places += [rng.randrange(len(text)) for _ in range(each - len(places))]
+                numbers = [m.start() for m in itertools.islice(_GROUP.finditer(text), 64 * EACH)]
+                places = rng.sample(numbers, min(len(numbers), EACH // 2))
+                places += [rng.randrange(len(text)) for _ in range(EACH - len(places))]
                 for at in places:
                     at = text.find(" ", at) + 1 or len(text)
                     lo, hi = max(0, at - WINDOW), min(len(text), at + WINDOW)
@@ -308,7 +310,7 @@ def corpus_contexts(docs: DataFrame, text_col: str = "text", *, sample: int = SA
                     out.append({"before": before, "after": " " + after if after else ""})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    rows = docs.select(docs[text_col].alias("text")).filter("length(text) > 0").limit(sample).mapInArrow(cut, "before string, after string")
+    rows = docs.select(docs[text_col].alias("text")).filter("length(text) > 0").mapInArrow(cut, "before string, after string")
     return tuple(sorted({(r["before"], r["after"]) for r in rows.limit(windows).collect()}))
 
 
@@ -380,10 +382,10 @@ _SPANS_SQL = "array<struct<kind:string,start:bigint,end:bigint>>"
 FOUND = f"doc_id long, base {_SPANS_SQL}, spans {_SPANS_SQL}, secrets {_SPANS_SQL}"
 
 
-def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, sample: int = SAMPLE, windows: int = CONTEXTS) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, windows: int = CONTEXTS) -> DataFrame:
     """(doc_id, base, spans, secrets) for every row, one narrow pass after the sample."""
     spark = prepare(docs.sparkSession)
-    model = spark.sparkContext.broadcast(fitted(examples, contexts=corpus_contexts(docs, text_col, sample=sample, windows=windows)))
+    model = spark.sparkContext.broadcast(fitted(examples, contexts=corpus_contexts(docs, text_col, windows=windows)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         redactor = Redactor(model.value)
