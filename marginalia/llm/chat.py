@@ -114,24 +114,24 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
     raise ValueError("no rendering reads back as the turn")
 
 
-_PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("n_turns", pa.int64()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-PARTS = "conv_id long, part int, formatted string, n_turns long, loss_spans array<struct<start:bigint,end:bigint>>"
+_PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("last", pa.bool_()), ("n_turns", pa.int64()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+PARTS = "conv_id long, part int, formatted string, last boolean, n_turns long, loss_spans array<struct<start:bigint,end:bigint>>"
 
 
 def format_conversations(turns: DataFrame, *, part_chars: int = PART_CHARS) -> DataFrame:
-    """(conv_id, part, formatted, n_turns, loss_spans); a conversation's parts are adjacent and in order in one partition."""
+    """(conv_id, part, formatted, last, n_turns, loss_spans); `last` marks the part that ends a conversation."""
     prepare(turns.sparkSession)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current, part, pieces, spans, n, length = [], None, 0, [], [], 0, 0
 
-        def emitted() -> dict:
-            return {"conv_id": current[0], "part": part, "formatted": "".join(pieces), "n_turns": n, "loss_spans": spans}
+        def emitted(last: bool) -> dict:
+            return {"conv_id": current[0], "part": part, "formatted": "".join(pieces), "last": last, "n_turns": n, "loss_spans": spans}
 
         for batch in batches:
             for conv, role, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if current is not None and (conv != current[0] or length >= part_chars):
-                    out.append(emitted())
+                    out.append(emitted(conv != current[0]))
                     part = part + 1 if conv == current[0] else 0
                     pieces, spans, n, length = [], [], 0, 0
                     if len(out) == 500 or part:
@@ -144,7 +144,7 @@ def format_conversations(turns: DataFrame, *, part_chars: int = PART_CHARS) -> D
                 pieces.append(rendered)
                 n, length = n + 1, length + len(rendered)
         if current is not None:
-            out.append(emitted())
+            out.append(emitted(True))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_PARTS)
 
@@ -156,7 +156,7 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted parts hold, from parsing them and from their loss spans alone."""
+    """Digests of what the formatted parts hold, from parsing them and from their loss spans alone; in any order of rows."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current = [], None
@@ -180,4 +180,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for at in range(0, len(out), 4000):
             yield pa.RecordBatch.from_pylist([{k: v.hexdigest() if hasattr(v, "hexdigest") else v for k, v in r.items()} for r in out[at : at + 4000]], schema=_DIGEST)
 
-    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    # a conversation in one part is read where it lies, the parts of a longer one are brought together
+    alone = F.col("last") & (F.col("part") == 0)
+    together = formatted.filter(~alone).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return formatted.filter(alone).mapInArrow(digest, schema).unionByName(together.mapInArrow(digest, schema))
