@@ -12,16 +12,18 @@ place along the alignment.  Runs of three or more words on alignments shifted
 by up to `band` words also count, so an inserted or lost word doesn't hide
 the rest.
 
-The passages' hashes are sent to all tasks in blocks of at most
+The passages' hashes are built once and sent to all tasks in blocks of at most
 `BLOCK_WORDS` words; documents are scanned once for each block and never
 shuffled.  Hashes only propose; words are compared by 64-bit hashes.
 
 Passages of fewer than five words are found where they stand word for word.
 
 Defined results: passages without words or with null text or identifier are
-left out; null or empty documents overlap nothing; repeated
-rows are judged alike; the input record travels as a struct, so extra columns
-cannot clash.
+left out; null or empty documents overlap nothing; very long texts are
+compared whole, their words hashed in bounded stretches; of alignments with
+equally many matches the first stays; repeated rows are judged alike; an empty
+table of either kind gives an empty table, or all documents; the input record
+travels as a struct, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ MIN_WORDS = 5
 #: For passages of one to four words: all of their words count.
 WHOLE = tuple(tuple(range(n)) for n in range(1, MIN_WORDS))
 OVERLAP, WINDOW, BAND = 0.8, 50, 8
-#: At most so many passage words in a broadcast: with seven masks some 140 MB.
-BLOCK_WORDS = 1_000_000
+#: At most so many passage words in a broadcast: with seven masks some 70 MB.
+BLOCK_WORDS = 500_000
 _FACTORS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64)) for k in range(4))
 
 
@@ -168,10 +170,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, overlap: float = OVE
     spark_schema = "doc_id long, item_id long, place long, matched_words long, overlap double"
     out = None
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        sent = spark.sparkContext.broadcast(items)
+        sent = spark.sparkContext.broadcast(SeedIndex(items))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(sent.value)
+            index = sent.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 found = [(ids[t], item, max(0, place), matched, share) for t, item, place, matched, share in index.overlaps(text_bytes(batch, "text"), overlap=overlap, window=window, band=band)]
@@ -188,11 +190,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, overlap: float = OV
     spark = prepare(docs.sparkSession)
     out, columns = docs, docs.columns
     for items in blocks(benchmark, item_col, item_text_col, block_words):
-        sent = spark.sparkContext.broadcast(items)
+        sent = spark.sparkContext.broadcast(SeedIndex(items))
         rows = out.select(F.struct(*[out[c] for c in columns]).alias("record"), out[text_col].alias("text"))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = SeedIndex(sent.value)
+            index = sent.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for hit in index.overlaps(text_bytes(batch, "text"), overlap=overlap, window=window, band=band):
