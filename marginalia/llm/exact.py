@@ -1,10 +1,12 @@
 """Exact deduplication by Patricia-trie owners.
 
-Texts are compared whole.  Every Arrow batch first collapses its equal texts in
-a small trie, so a group of copies crosses the exchange once for a batch and
-not once for a copy.  The exchange goes by length and content hash; each
-partition inserts the full byte strings into a compressed radix trie whose
-terminal nodes keep the smallest identifier and the row count.  A trie over
+Texts are compared whole.  Every partition first collapses its equal texts in
+a trie of bounded size, so a group of copies crosses the exchange once for a
+partition and not once for a copy; texts with many copies are dealt over
+several shares, whose owners are combined at the end.  The exchange goes by
+length and content hash; each partition inserts the full byte strings into a
+compressed radix trie whose terminal nodes keep the smallest identifier and
+the row count.  A trie over
 its memory budget spills its heaviest subtree to task-local scratch files and
 works through them afterwards.  Owners are joined to the thin rows of all
 documents; a hot group is split there by the adaptive skew join.
@@ -27,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_bytes
+from .common import BATCH_BYTES, BATCH_ROWS, prepare, text_bytes
 
-#: Bytes of labels and nodes that a merging trie holds before it spills a subtree.
+#: Bytes of labels and nodes that a merging trie holds before it spills a subtree, and a collapsing one before it is handed on.
 TRIE_BYTES = 48 << 20
+#: A text with so many copies in one partition is dealt over so many shares.
+HOT, SALTS = 16, 64
 NODE_BYTES = 250
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -178,7 +182,7 @@ def _records(node: _Node) -> Iterator[tuple]:
         stack.extend((prefix + label, child) for label, child in n.children.values())
 
 
-_LOCAL = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("text", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
+_LOCAL = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("salt", pa.int32()), ("text", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 _THIN = pa.schema([("id", pa.int64()), ("length", pa.int64()), ("digest", pa.binary())])
 _OWNER = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
 
@@ -188,13 +192,31 @@ def _arrays(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different texts of a partition, or of as much of it as a trie may hold."""
+    from pyspark import TaskContext
+
+    salt = 1 + TaskContext.get().partitionId() % SALTS
+    trie = PatriciaTrie()
+
+    def emptied() -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for text, doc_id, n, digest in _records(trie.root):
+            rows.append((len(text), digest, 0 if n < HOT else salt, text, doc_id, n))
+            size += len(text)
+            if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                yield _arrays(_LOCAL, list(zip(*rows)))
+                rows, size = [], 0
+        if rows:
+            yield _arrays(_LOCAL, list(zip(*rows)))
+
     for batch in batches:
-        trie, texts = PatriciaTrie(), [normalised(t) for t in text_bytes(batch, "text")]
-        for k, (doc_id, text) in enumerate(zip(batch.column("id").to_pylist(), texts)):
-            trie.insert(text, doc_id, 1, k)
-        found = list(trie.owners())
-        own = [texts[k] for _, _, k in found]
-        yield _arrays(_LOCAL, [[len(t) for t in own], [hashlib.sha256(t).digest() for t in own], own, [o[0] for o in found], [o[1] for o in found]])
+        for doc_id, text in zip(batch.column("id").to_pylist(), text_bytes(batch, "text")):
+            text = normalised(text)
+            trie.insert(text, doc_id, 1, hashlib.sha256(text).digest())
+        if trie.root.weight > TRIE_BYTES:
+            yield from emptied()
+            trie = PatriciaTrie()
+    yield from emptied()
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +244,10 @@ def trie_owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(length, digest, keep_id, n): one row for each different text."""
     prepare(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    local = rows.mapInArrow(_collapse, "length long, digest binary, text binary, id long, n long")
-    return local.repartition("length", "digest").mapInArrow(_merge, "length long, digest binary, keep_id long, n long")
+    local = rows.mapInArrow(_collapse, "length long, digest binary, salt int, text binary, id long, n long")
+    merged = local.repartition("length", "digest", "salt").drop("salt").mapInArrow(_merge, "length long, digest binary, keep_id long, n long")
+    # the owners of a hot text's shares, one for each salt
+    return merged.groupBy("length", "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
