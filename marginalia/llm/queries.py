@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, exact, extraction, jaccard, language, mixing, pii, sharding, tokens
+from .common import scratch, staged
 
 SHARDS = 16
 
@@ -39,7 +40,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
-    return chat.read_back(chat.format_conversations(rows.unionByName(planted)))
+    return chat.read_back(staged(chat.format_conversations(rows.unionByName(planted)), "formatted"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    shards = sharding.write_shards(sharding.two_pass_shuffle(docs, shards=SHARDS))
+    with scratch(spark):
+        shards = sharding.write_shards(sharding.two_pass_shuffle(docs, shards=SHARDS))
     text = F.coalesce(F.col("record.text"), F.lit(""))
     return shards.select("record.doc_id", "size", F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -75,7 +77,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix_sources(docs)
+    # longer documents weigh more, up to twice as much
+    weight = 1 + F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(4000)) / 4000
+    mixed = mixing.mix_sources(docs, weight=weight)
     return mixed.select("record.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -117,14 +121,19 @@ WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGI
 
 ORACLES = {
     "op8_mixing": rf"""
-        WITH d AS (SELECT doc_id, source, {WORDS} AS size, (('0x' || substr(md5('7:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+        WITH d AS (SELECT doc_id, source, {WORDS} AS size, (('0x' || substr(md5('7:' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u,
+            pow(2.0::DOUBLE, round(16 * log2(1 + least(coalesce(length(text), 0), 4000) / 4000.0::DOUBLE)) / 16.0::DOUBLE) AS w FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-        w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+        sw AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
         f AS (SELECT *, row_number() OVER o AS rn, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
-              FROM w WINDOW o AS (ORDER BY cap / w, source ASC NULLS LAST)),
+              FROM sw WINDOW o AS (ORDER BY cap / w, source ASC NULLS LAST)),
         g AS (SELECT arg_min(level, rn) AS final FROM f WHERE cap / w > level),
         t AS (SELECT source, source_size, CASE WHEN final IS NULL OR cap <= final * w THEN cap ELSE final * w END AS target FROM f, g),
-        e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0 END AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        b AS (SELECT source, w, sum(size)::BIGINT AS words FROM d GROUP BY source, w),
+        lv AS (SELECT b.source, b.w, (target - 2 * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(b.w * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+               FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY b.source ORDER BY b.w DESC)),
+        rt AS (SELECT source, arg_max(level, w) AS rate FROM lv WHERE level * w <= 2 GROUP BY source),
+        e AS (SELECT d.*, source_size, target, least(2.0::DOUBLE, coalesce(rate, 'infinity'::DOUBLE) * w) AS expected FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN rt ON d.source IS NOT DISTINCT FROM rt.source),
         p AS (SELECT *, floor(expected)::BIGINT AS whole, expected - floor(expected) AS p FROM e),
         r AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, target - sum(whole * size) OVER (PARTITION BY source) AS budget FROM p),
         c AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id) AS through FROM r)

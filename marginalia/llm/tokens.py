@@ -12,8 +12,10 @@ within; nulls first; equal identifiers by text hash).  Each attempt of a task
 writes a file of its own name and only the manifest rows of successful
 attempts count, so lost executors and retries leave no wrong data.
 
-Defined results: a null or empty text is the end identifier alone; repeated
-rows are separate documents; an empty table gives an empty manifest.
+Defined results: a null or empty text is the end identifier alone; a very long
+text is one frame, encoded whole; repeated rows are separate documents; an
+empty table gives an empty manifest; only identifier and text are read, so
+extra columns cannot clash.
 """
 
 from __future__ import annotations
