@@ -1,6 +1,6 @@
 """All registered queries of the engine with their DuckDB equivalents."""
 
-from . import corpora, retrieval, tables
+from . import corpora, retrieval, tables, vault
 
-QUERIES = {**retrieval.QUERIES, **tables.QUERIES, **corpora.QUERIES}
-ORACLES = {**retrieval.ORACLES, **tables.ORACLES, **corpora.ORACLES}
+QUERIES = {**retrieval.QUERIES, **tables.QUERIES, **corpora.QUERIES, **vault.QUERIES}
+ORACLES = {**retrieval.ORACLES, **tables.ORACLES, **corpora.ORACLES, **vault.ORACLES}

@@ -251,32 +251,29 @@ def values(rows, columns: str) -> str:
 
 
 BASE = r"regexp_extract(rel, '[^/]*$')"
-ALL = f"""SELECT *, regexp_replace(base, '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_replace(base, '(.)\\.[^.]*$', '\\1')) AS stem_lc
-    FROM (SELECT corpus, rel, content, mtime::TIMESTAMP AS mtime, {BASE} AS base, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {values(FILES, 'corpus, rel, content, mtime')})"""
-ONE = f"SELECT * FROM ({ALL}) WHERE corpus = 'garden'"
-MD = f"SELECT * FROM ({ONE}) WHERE rel LIKE '%.md'"
+
+
+def named(rows: str) -> str:
+    """(corpus, rel, content, mtime) rows with their names."""
+    return f"""SELECT *, regexp_replace(base, '(.)\\.[^.]*$', '\\1') AS stem, lower(regexp_replace(base, '(.)\\.[^.]*$', '\\1')) AS stem_lc
+    FROM (SELECT corpus, rel, content, mtime::TIMESTAMP AS mtime, {BASE} AS base, CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {rows})"""
 LINK = r"\[\[([^\]\|]+?)(?:\|[^\]]*)?\]\]"
 
 
+HEAD = r"^\s*##\s+\[\[([^\]\|]+?)(?:\|[^\]]*)?\]\]\s*$"
+FIELD = r"^\s*-?\s*(subjects|people|claims|decisions|dates|status):\s*(.*)$"
+KEYS = ", ".join(f"'{k}'" for k in P.EDGE_KEYS)
+NOT_INDEX = "base NOT IN ('_CLOSETS.md', '_CLOSETS-archive.md')"
+COMMENT = r"<!--\s*(?:[a-z]+-)?{}:([0-9.]+)"
+
+
+
 def unlinked(text: str) -> str:
     for pattern in P.CODE:
         text = f"regexp_replace({text}, '{pattern}', '', 'g')"
     return text
 
 
-NOT_INDEX = "base NOT IN ('_CLOSETS.md', '_CLOSETS-archive.md')"
-LINKS = f"SELECT rel, generate_subscripts(a, 1) - 1 AS ordinal, trim(unnest(a)) AS target FROM (SELECT rel, regexp_extract_all({unlinked('content')}, '{LINK}', 1) AS a FROM ({MD}) WHERE {NOT_INDEX})"
-LINKS = f"SELECT rel, ordinal::INT AS ordinal, target FROM ({LINKS})"
-PATHS = f"SELECT lower(rel) AS k FROM ({ONE}) UNION SELECT regexp_replace(lower(rel), '([^/])\\.[^./]*$', '\\1') FROM ({ONE})"
-BROKEN = rf"""SELECT rel, ordinal, target FROM ({LINKS}) WHERE NOT (regexp_replace(lower(regexp_extract(target, '[^/]*$')), '\.md$', '') IN (SELECT stem_lc FROM ({ONE})) OR (contains(target, '/') AND (lower(target) IN ({PATHS}) OR lower(target) || '.md' IN ({PATHS}))))"""
-FM_LINES = f"""SELECT rel, stem, i, trim(l) AS line FROM (SELECT rel, stem, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT rel, stem, string_split(regexp_extract(content, '^---((?s:.*?))\\n---', 1), chr(10)) AS a FROM ({MD}) WHERE content LIKE '---%'))"""
-FM = f"""SELECT rel, stem, key, arg_max(value, i) AS value FROM (SELECT rel, stem, i, lower(trim(split_part(line, ':', 1))) AS key, regexp_replace(trim(substr(line, strpos(line, ':') + 1)), '^[''"](.*)[''"]$', '\\1') AS value FROM ({FM_LINES}) WHERE contains(line, ':') AND line NOT LIKE '#%') GROUP BY ALL"""
-NODES = f"SELECT stem, rel, coalesce(max(value) FILTER (key = 'type'), 'other') AS type, coalesce(max(value) FILTER (key = 'status'), '') AS status, coalesce(max(value) FILTER (key = 'date'), '') AS date FROM ({FM}) GROUP BY stem, rel"
-KEYS = ", ".join(f"'{k}'" for k in P.EDGE_KEYS)
-EDGES = f"SELECT source, type, (generate_subscripts(a, 1) - 1)::INT AS ordinal, trim(unnest(a)) AS target FROM (SELECT stem AS source, key AS type, regexp_extract_all(value, '{LINK}', 1) AS a FROM ({FM}) WHERE key IN ({KEYS}))"
-DANGLING = f"SELECT source, type, target FROM ({EDGES}) WHERE lower(target) NOT IN (SELECT stem_lc FROM ({MD}))"
-
-
 def lines_of(source: str, keep: str = "rel") -> str:
     return f"SELECT {keep}, generate_subscripts(a, 1)::INT AS line_no, unnest(a) AS line FROM (SELECT {keep}, string_split(content, chr(10)) AS a FROM ({source}))"
 
@@ -285,10 +282,62 @@ def fill(rows: str, value: str, name: str) -> str:
     return f"SELECT *, last_value({value} IGNORE NULLS) OVER (PARTITION BY rel ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {name} FROM ({rows})"
 
 
-INDEXES = f"SELECT * FROM ({ALL}) WHERE base IN ('_CLOSETS.md', '_CLOSETS-archive.md')"
-HEAD = r"^\s*##\s+\[\[([^\]\|]+?)(?:\|[^\]]*)?\]\]\s*$"
-FIELD = r"^\s*-?\s*(subjects|people|claims|decisions|dates|status):\s*(.*)$"
-INDEX_LINES = f"SELECT rel, regexp_replace(h, '(?i)\\.md$', '') AS stem, regexp_extract(line, '{FIELD}', 1) AS field, trim(regexp_extract(line, '{FIELD}', 2)) AS value FROM ({fill(lines_of(INDEXES), f'''CASE WHEN regexp_matches(line, '{HEAD}') THEN regexp_extract(line, '{HEAD}', 1) END''', 'h')}) WHERE h IS NOT NULL AND regexp_matches(line, '{FIELD}')"
+def hits(source: str, query: str) -> str:
+    return f"SELECT corpus, rel, folder, line_no, line FROM ({lines_of(f'''SELECT * FROM ({source}) WHERE rel = '_MANIFEST.md' OR base IN ('_CLOSETS.md', '_CLOSETS-archive.md')''', 'corpus, rel, folder')}) WHERE line <> '' AND contains(lower(line), '{query}')"
+
+
+
+def corpus_oracles(ALL: str, corpus: str, query: str, person: str, renames: dict[str, str]) -> dict[str, str]:
+    """The queries over one corpus of the files that `ALL` selects, in SQL."""
+    ONE = f"SELECT * FROM ({ALL}) WHERE corpus = '{corpus}'"
+    MD = f"SELECT * FROM ({ONE}) WHERE rel LIKE '%.md'"
+    cases = " ".join(f"WHEN {quote(old)} THEN {quote(new)}" for old, new in renames.items())
+    LINKS = f"SELECT rel, generate_subscripts(a, 1) - 1 AS ordinal, trim(unnest(a)) AS target FROM (SELECT rel, regexp_extract_all({unlinked('content')}, '{LINK}', 1) AS a FROM ({MD}) WHERE {NOT_INDEX})"
+    LINKS = f"SELECT rel, ordinal::INT AS ordinal, target FROM ({LINKS})"
+    PATHS = f"SELECT lower(rel) AS k FROM ({ONE}) UNION SELECT regexp_replace(lower(rel), '([^/])\\.[^./]*$', '\\1') FROM ({ONE})"
+    BROKEN = rf"""SELECT rel, ordinal, target FROM ({LINKS}) WHERE NOT (regexp_replace(lower(regexp_extract(target, '[^/]*$')), '\.md$', '') IN (SELECT stem_lc FROM ({ONE})) OR (contains(target, '/') AND (lower(target) IN ({PATHS}) OR lower(target) || '.md' IN ({PATHS}))))"""
+    FM_LINES = f"""SELECT rel, stem, i, trim(l) AS line FROM (SELECT rel, stem, generate_subscripts(a, 1) AS i, unnest(a) AS l FROM (SELECT rel, stem, string_split(regexp_extract(content, '^---((?s:.*?))\\n---', 1), chr(10)) AS a FROM ({MD}) WHERE content LIKE '---%'))"""
+    FM = f"""SELECT rel, stem, key, arg_max(value, i) AS value FROM (SELECT rel, stem, i, lower(trim(split_part(line, ':', 1))) AS key, regexp_replace(trim(substr(line, strpos(line, ':') + 1)), '^[''"](.*)[''"]$', '\\1') AS value FROM ({FM_LINES}) WHERE contains(line, ':') AND line NOT LIKE '#%') GROUP BY ALL"""
+    NODES = f"SELECT stem, rel, coalesce(max(value) FILTER (key = 'type'), 'other') AS type, coalesce(max(value) FILTER (key = 'status'), '') AS status, coalesce(max(value) FILTER (key = 'date'), '') AS date FROM ({FM}) GROUP BY stem, rel"
+    EDGES = f"SELECT source, type, (generate_subscripts(a, 1) - 1)::INT AS ordinal, trim(unnest(a)) AS target FROM (SELECT stem AS source, key AS type, regexp_extract_all(value, '{LINK}', 1) AS a FROM ({FM}) WHERE key IN ({KEYS}))"
+    DANGLING = f"SELECT source, type, target FROM ({EDGES}) WHERE lower(target) NOT IN (SELECT stem_lc FROM ({MD}))"
+    INDEXES = f"SELECT * FROM ({ALL}) WHERE base IN ('_CLOSETS.md', '_CLOSETS-archive.md')"
+    INDEX_LINES = f"SELECT rel, regexp_replace(h, '(?i)\\.md$', '') AS stem, regexp_extract(line, '{FIELD}', 1) AS field, trim(regexp_extract(line, '{FIELD}', 2)) AS value FROM ({fill(lines_of(INDEXES), f'''CASE WHEN regexp_matches(line, '{HEAD}') THEN regexp_extract(line, '{HEAD}', 1) END''', 'h')}) WHERE h IS NOT NULL AND regexp_matches(line, '{FIELD}')"
+    return {
+        "duplicate_candidates": f"""WITH t AS (SELECT rel, list(target) AS ts FROM (SELECT rel, target, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, target) AS k FROM ({LINKS}) GROUP BY rel, target) WHERE k <= 5 GROUP BY rel),
+        p AS (SELECT a.rel AS a, b.rel AS b, 'links' AS r FROM t a JOIN t b ON a.rel < b.rel WHERE len(list_intersect(a.ts, b.ts))::DOUBLE / least(len(a.ts), len(b.ts)) >= 0.8 UNION ALL SELECT a.rel, b.rel, 'name' FROM ({ONE}) a JOIN ({ONE}) b ON a.rel < b.rel WHERE levenshtein(a.stem_lc, b.stem_lc) <= 2)
+        SELECT a, b, string_agg(r, ',' ORDER BY r) AS reasons FROM p GROUP BY a, b""",
+        "file_names": rf"SELECT corpus, rel, folder, base, stem, stem_lc, regexp_extract(base, '.(\.[^.]*)$', 1) AS ext, mtime::DATE::VARCHAR AS day FROM ({ALL})",
+        "link_rows": LINKS,
+        "broken_links": BROKEN,
+        "index_issues": f"SELECT rel, 0 AS line_no, 'missing version marker' AS message FROM ({INDEXES}) WHERE NOT regexp_matches(content, '<!-- [a-z]+-closets:') UNION ALL SELECT rel, line_no, 'entry [[' || h || ']] points to a missing file' FROM (SELECT rel, line_no, regexp_extract(line, '{HEAD}', 1) AS h FROM ({lines_of(INDEXES)}) WHERE regexp_matches(line, '{HEAD}')) WHERE lower(h) NOT IN (SELECT stem_lc FROM ({ALL}))",
+        "link_totals": f"""WITH b AS (SELECT count(*) AS n FROM ({BROKEN})), x AS (SELECT count(*) AS n FROM ({lines_of(f"SELECT * FROM ({INDEXES}) WHERE corpus = '{corpus}'")}) WHERE regexp_matches(line, '{HEAD}') AND lower(regexp_extract(line, '{HEAD}', 1)) NOT IN (SELECT stem_lc FROM ({ONE})))
+        SELECT (SELECT count(*) FROM ({LINKS})) AS n_links, (SELECT count(DISTINCT target) FROM ({LINKS})) AS n_targets, (SELECT count(*) FROM ({ONE})) AS n_files, b.n AS n_broken, x.n + (SELECT count(*) FROM ({INDEXES}) WHERE corpus = '{corpus}' AND NOT regexp_matches(content, '<!-- [a-z]+-closets:')) AS n_issues, CASE WHEN b.n > 0 THEN 1 ELSE 0 END AS exit_status FROM b, x""",
+        "link_targets_top": f"SELECT rel, target, n FROM (SELECT rel, target, count(*) AS n, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, target) AS k FROM ({LINKS}) GROUP BY rel, target) WHERE k <= 5",
+        "mention_suggest": f"""WITH s AS (SELECT DISTINCT stem_lc AS stem FROM ({ONE}) WHERE length(stem_lc) >= 3), p AS (SELECT stem, 0 AS v, stem AS pat FROM s UNION ALL SELECT stem, 1, replace(stem, '-', ' ') FROM s WHERE contains(stem, '-')),
+        f AS (SELECT rel, stem_lc AS own, {unlinked("CASE WHEN content LIKE '---%' AND strpos(substr(content, 4), '---') > 0 THEN substr(content, strpos(substr(content, 4), '---') + 6) ELSE content END")} AS content FROM ({MD})),
+        l AS (SELECT rel, own, line_no, regexp_replace(regexp_replace(regexp_replace(line, 'https?://\\S+', '', 'g'), '\\[\\[[^\\]]+\\]\\]', '', 'g'), '<!--.*?-->', '', 'g') AS line FROM ({lines_of('SELECT * FROM f', 'rel, own')})),
+        h AS (SELECT rel, line_no, stem, v, regexp_extract(line, '(?i)\\b(' || regexp_escape(pat) || ')\\b', 1) AS text FROM l JOIN p ON stem <> own AND contains(lower(line), pat) AND regexp_matches(lower(line), '\\b' || regexp_escape(pat) || '\\b'))
+        SELECT rel, line_no, arg_min(text, v) AS text, stem FROM h GROUP BY rel, line_no, stem""",
+        "links_renamed": f"SELECT CASE target {cases} ELSE target END AS target, count(*) AS n FROM ({LINKS}) GROUP BY 1",
+        "front_matter": f"SELECT rel, key, value FROM ({FM})",
+        "graph_nodes": NODES,
+        "graph_edges": EDGES,
+        "graph_dangling": DANGLING,
+        "graph_edge_counts": f"SELECT type, count(*) AS n FROM ({EDGES}) GROUP BY type",
+        "graph_by_type": f"SELECT type, string_agg(stem, ',' ORDER BY stem) AS stems FROM ({NODES}) WHERE type <> '' GROUP BY type",
+        "graph_by_status": f"SELECT status, string_agg(stem, ',' ORDER BY stem) AS stems FROM ({NODES}) WHERE status <> '' GROUP BY status",
+        "graph_by_source": f"SELECT source, string_agg(e, ',' ORDER BY e) AS edges FROM (SELECT source, type || ' -> ' || target AS e FROM ({EDGES})) GROUP BY source",
+        "graph_stats": f"SELECT (SELECT count(*) FROM ({MD})) AS total_files, (SELECT count(*) FROM ({NODES})) AS files_with_front_matter, (SELECT count(*) FROM ({EDGES})) AS total_edges, (SELECT count(*) FROM ({DANGLING})) AS dangling",
+        "facet_index_lines": INDEX_LINES,
+        "facet_field_hits": f"SELECT rel, stem FROM ({INDEX_LINES}) WHERE field = 'people' AND contains(lower(value), '{person}')",
+        "search_local": f"SELECT folder, rel, line_no, total FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rel, line_no) AS k, count(*) OVER (PARTITION BY folder) AS total FROM ({hits(ONE, query)})) WHERE k <= 20",
+        "markers": f"""SELECT * FROM (SELECT corpus, rel, nullif(regexp_extract(content, '{COMMENT.format('managed')}', 1), '') AS managed, nullif(regexp_extract(content, '{COMMENT.format('closets')}', 1), '') AS closets, nullif(regexp_extract(content, '{COMMENT.format('summary-format-version')}', 1), '') AS format FROM ({ALL})) WHERE coalesce(managed, closets, format) IS NOT NULL""",
+    }
+
+
+ALL = named(values(FILES, "corpus, rel, content, mtime"))
+ONE = f"SELECT * FROM ({ALL}) WHERE corpus = 'garden'"
 DEC = r"^\s*(?:[-*]\s+)?(?:~~)?\*\*(\d{4}-\d{2}-\d{2})\*\*\s+[-–]\s+(.*)$"
 GONE = r"\(superseded (\d{4}-\d{2}-\d{2})\)"
 DECISIONS = f"""SELECT row_number() OVER (ORDER BY line_no)::INT AS ordinal, regexp_extract(line, '{DEC}', 1) AS date, trim(replace(regexp_replace(regexp_extract(line, '{DEC}', 2), '{GONE}', '', 'g'), '~~', '')) AS text, contains(line, '~~') AS struck, nullif(regexp_extract(line, '{GONE}', 1), '') AS superseded_on FROM ({lines_of(f"SELECT * FROM ({ONE}) WHERE base = 'decisions.md'")}) WHERE regexp_matches(line, '{DEC}')"""
@@ -298,10 +347,6 @@ PAIR = r"^-\s+(\w+)\s*:\s*(.+)$"
 REGISTRY_ROWS = f"""SELECT name, coalesce(arg_max(v, line_no) FILTER (k = 'path'), '') AS path, coalesce(arg_max(v, line_no) FILTER (k = 'registered'), '') AS registered, coalesce(lower(arg_max(v, line_no) FILTER (k = 'searchable')) IN ('true', 'yes', '1'), true) AS searchable FROM (SELECT name, line_no, lower(regexp_extract(trim(line), '{PAIR}', 1)) AS k, trim(regexp_extract(trim(line), '{PAIR}', 2)) AS v FROM ({REG_LINES}) WHERE name IS NOT NULL) GROUP BY name"""
 
 
-def hits(source: str, query: str) -> str:
-    return f"SELECT corpus, rel, folder, line_no, line FROM ({lines_of(f'''SELECT * FROM ({source}) WHERE rel = '_MANIFEST.md' OR base IN ('_CLOSETS.md', '_CLOSETS-archive.md')''', 'corpus, rel, folder')}) WHERE line <> '' AND contains(lower(line), '{query}')"
-
-
 FEDERATED = f"SELECT name, rel, line_no, line, '' AS note FROM ({hits(ALL, 'ada')}) JOIN ({REGISTRY_ROWS}) ON corpus = name WHERE searchable UNION ALL SELECT name, '', 0, '', 'path missing' FROM ({REGISTRY_ROWS}) WHERE searchable AND name NOT IN (SELECT corpus FROM ({ALL}))"
 T = values(TURNS, "session_id, turn, role, text")
 TEXTS = f"SELECT session_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS u, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS a, string_agg(text, chr(10) ORDER BY turn) AS c FROM {T} GROUP BY session_id"
@@ -318,41 +363,12 @@ def families(text: str, patterns, trim: str, cap: int, name: str, clean: str = "
 from .retrieval import tok  # noqa: E402
 
 OVER = f"""WITH d AS (SELECT *, list_distinct({tok('text')}) AS w FROM ({DECISIONS})) SELECT n.ordinal AS newer, o.ordinal AS older FROM d n JOIN d o ON o.ordinal < n.ordinal WHERE regexp_matches(n.text, '(?i)\\b({"|".join(P.OVERRIDES)})\\b') AND NOT o.struck AND len(list_intersect(n.w, o.w)) > 0 AND len(list_intersect(n.w, o.w))::DOUBLE / least(len(n.w), len(o.w)) >= 0.5"""
-COMMENT = r"<!--\s*(?:[a-z]+-)?{}:([0-9.]+)"
-
-ORACLES = {
-    "file_names": rf"SELECT corpus, rel, folder, base, stem, stem_lc, regexp_extract(base, '.(\.[^.]*)$', 1) AS ext, mtime::DATE::VARCHAR AS day FROM ({ALL})",
-    "link_rows": LINKS,
-    "broken_links": BROKEN,
-    "index_issues": f"SELECT rel, 0 AS line_no, 'missing version marker' AS message FROM ({INDEXES}) WHERE NOT regexp_matches(content, '<!-- [a-z]+-closets:') UNION ALL SELECT rel, line_no, 'entry [[' || h || ']] points to a missing file' FROM (SELECT rel, line_no, regexp_extract(line, '{HEAD}', 1) AS h FROM ({lines_of(INDEXES)}) WHERE regexp_matches(line, '{HEAD}')) WHERE lower(h) NOT IN (SELECT stem_lc FROM ({ALL}))",
-    "link_totals": f"""WITH b AS (SELECT count(*) AS n FROM ({BROKEN})), x AS (SELECT count(*) AS n FROM ({lines_of(f"SELECT * FROM ({INDEXES}) WHERE corpus = 'garden'")}) WHERE regexp_matches(line, '{HEAD}') AND lower(regexp_extract(line, '{HEAD}', 1)) NOT IN (SELECT stem_lc FROM ({ONE})))
-        SELECT (SELECT count(*) FROM ({LINKS})) AS n_links, (SELECT count(DISTINCT target) FROM ({LINKS})) AS n_targets, (SELECT count(*) FROM ({ONE})) AS n_files, b.n AS n_broken, x.n AS n_issues, CASE WHEN b.n > 0 THEN 1 ELSE 0 END AS exit_status FROM b, x""",
-    "link_targets_top": f"SELECT rel, target, n FROM (SELECT rel, target, count(*) AS n, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, target) AS k FROM ({LINKS}) GROUP BY rel, target) WHERE k <= 5",
-    "mention_suggest": f"""WITH s AS (SELECT DISTINCT stem_lc AS stem FROM ({ONE}) WHERE length(stem_lc) >= 3), p AS (SELECT stem, 0 AS v, stem AS pat FROM s UNION ALL SELECT stem, 1, replace(stem, '-', ' ') FROM s WHERE contains(stem, '-')),
-        f AS (SELECT rel, stem_lc AS own, {unlinked("CASE WHEN content LIKE '---%' AND strpos(substr(content, 4), '---') > 0 THEN substr(content, strpos(substr(content, 4), '---') + 6) ELSE content END")} AS content FROM ({MD})),
-        l AS (SELECT rel, own, line_no, regexp_replace(regexp_replace(regexp_replace(line, 'https?://\\S+', '', 'g'), '\\[\\[[^\\]]+\\]\\]', '', 'g'), '<!--.*?-->', '', 'g') AS line FROM ({lines_of('SELECT * FROM f', 'rel, own')})),
-        h AS (SELECT rel, line_no, stem, v, regexp_extract(line, '(?i)\\b(' || regexp_escape(pat) || ')\\b', 1) AS text FROM l JOIN p ON stem <> own AND regexp_matches(lower(line), '\\b' || regexp_escape(pat) || '\\b'))
-        SELECT rel, line_no, arg_min(text, v) AS text, stem FROM h GROUP BY rel, line_no, stem""",
-    "links_renamed": f"SELECT CASE target WHEN 'raised-bed' THEN 'tall-bed' WHEN 'ada' THEN 'ada-l' ELSE target END AS target, count(*) AS n FROM ({LINKS}) GROUP BY 1",
-    "front_matter": f"SELECT rel, key, value FROM ({FM})",
-    "graph_nodes": NODES,
-    "graph_edges": EDGES,
-    "graph_dangling": DANGLING,
-    "graph_edge_counts": f"SELECT type, count(*) AS n FROM ({EDGES}) GROUP BY type",
-    "graph_by_type": f"SELECT type, string_agg(stem, ',' ORDER BY stem) AS stems FROM ({NODES}) WHERE type <> '' GROUP BY type",
-    "graph_by_status": f"SELECT status, string_agg(stem, ',' ORDER BY stem) AS stems FROM ({NODES}) WHERE status <> '' GROUP BY status",
-    "graph_by_source": f"SELECT source, string_agg(e, ',' ORDER BY e) AS edges FROM (SELECT source, type || ' -> ' || target AS e FROM ({EDGES})) GROUP BY source",
-    "graph_stats": f"SELECT (SELECT count(*) FROM ({MD})) AS total_files, (SELECT count(*) FROM ({NODES})) AS files_with_front_matter, (SELECT count(*) FROM ({EDGES})) AS total_edges, (SELECT count(*) FROM ({DANGLING})) AS dangling",
-    "facet_index_lines": INDEX_LINES,
-    "facet_field_hits": f"SELECT rel, stem FROM ({INDEX_LINES}) WHERE field = 'people' AND contains(lower(value), 'ada')",
+ORACLES = corpus_oracles(ALL, "garden", "bed", "ada", {"raised-bed": "tall-bed", "ada": "ada-l"}) | {
     "decision_rows": DECISIONS,
     "override_pairs": OVER,
     "decisions_annotated": f"WITH o AS ({OVER}), m AS (SELECT older, min(date) AS nd FROM o JOIN ({DECISIONS}) ON ordinal = newer GROUP BY older) SELECT ordinal, struck OR older IS NOT NULL AS struck, coalesce(superseded_on, nd) AS superseded_on FROM ({DECISIONS}) LEFT JOIN m ON ordinal = older",
     "redundant_pairs": f'SELECT a.ordinal AS "old", b.ordinal AS "new" FROM ({DECISIONS}) a JOIN ({DECISIONS}) b ON a.superseded_on = b.date AND b.ordinal > a.ordinal WHERE a.struck AND NOT b.struck',
     "decision_clusters": f"WITH d AS (SELECT ordinal AS k, date_trunc('week', date::DATE)::DATE::VARCHAR AS week, list_distinct({tok('text')}) AS w FROM ({DECISIONS})), p AS (SELECT DISTINCT a.week, a.k FROM d a JOIN d b ON a.week = b.week AND a.k <> b.k WHERE len(list_intersect(a.w, b.w))::DOUBLE / least(len(a.w), len(b.w)) >= 0.5) SELECT week, count(*) AS n FROM p GROUP BY week HAVING count(*) >= 3",
-    "duplicate_candidates": f"""WITH t AS (SELECT rel, list(target) AS ts FROM (SELECT rel, target, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, target) AS k FROM ({LINKS}) GROUP BY rel, target) WHERE k <= 5 GROUP BY rel),
-        p AS (SELECT a.rel AS a, b.rel AS b, 'links' AS r FROM t a JOIN t b ON a.rel < b.rel WHERE len(list_intersect(a.ts, b.ts))::DOUBLE / least(len(a.ts), len(b.ts)) >= 0.8 UNION ALL SELECT a.rel, b.rel, 'name' FROM ({ONE}) a JOIN ({ONE}) b ON a.rel < b.rel WHERE levenshtein(a.stem_lc, b.stem_lc) <= 2)
-        SELECT a, b, string_agg(r, ',' ORDER BY r) AS reasons FROM p GROUP BY a, b""",
     "upgrade_plan": """WITH r AS (SELECT * FROM (VALUES ('a', [2, 1, 3], 2, 0, [1, 1], 0, true), ('b', [2, 0, 9], 1, 1, [1, 0], 2, false), ('c', NULL, NULL, 0, NULL, 0, false), ('d', [2, 1, 0], 2, 0, [1, 1], 4, false), ('e', [10, 0, 0], 2, 3, [1, 0], 0, true)) t(corpus, m, f, miss, i, l, mem)),
         s AS (SELECT corpus, list_filter([CASE WHEN coalesce(f, 0) < 2 THEN 'resummarize' END, CASE WHEN miss > 0 THEN 'reindex' END, CASE WHEN i < [1, 1] AND l > 0 THEN 'reindex --force' END, CASE WHEN NOT mem AND coalesce(m < [2, 1, 0], true) THEN 'reindex memory' END, CASE WHEN coalesce(m < [2, 1, 3], true) THEN 'marker' END], lambda x: x IS NOT NULL) AS steps FROM r)
         SELECT corpus, generate_subscripts(steps, 1)::INT AS ordinal, unnest(steps) AS step FROM s""",
@@ -362,9 +378,7 @@ ORACLES = {
     "registry_edited": f"SELECT name, path, registered, searchable OR name = 'cellar' AS searchable FROM ({REGISTRY_ROWS}) WHERE name <> 'attic' UNION ALL SELECT 'loft', '/srv/loft', '2026-02-01', true",
     "registry_search": FEDERATED,
     "registry_totals": f"SELECT count(*) AS total_hits, count(DISTINCT name) AS n_groups FROM ({FEDERATED}) WHERE note = ''",
-    "search_local": f"SELECT folder, rel, line_no, total FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY rel, line_no) AS k, count(*) OVER (PARTITION BY folder) AS total FROM ({hits(ONE, 'bed')})) WHERE k <= 20",
     "path_resolution": "SELECT name, arg_min(path, (priority, path)) AS path, min(priority) AS priority FROM (VALUES ('status', 'cfg/status.md', 1), ('status', 'memory/status.md', 2), ('log', 'memory/log.md', 2), ('ideas', 'x/ideas.md', 3), ('log', 'b/log.md', 3), ('ideas', 'a/ideas.md', 3)) t(name, path, priority) GROUP BY name",
-    "markers": f"""SELECT * FROM (SELECT corpus, rel, nullif(regexp_extract(content, '{COMMENT.format('managed')}', 1), '') AS managed, nullif(regexp_extract(content, '{COMMENT.format('closets')}', 1), '') AS closets, nullif(regexp_extract(content, '{COMMENT.format('summary-format-version')}', 1), '') AS format FROM ({ALL})) WHERE coalesce(managed, closets, format) IS NOT NULL""",
     "facet_claims": families("u", P.CLAIMS, ".,!?", 6, "claims"),
     "facet_decisions": families("a || chr(10) || u", P.DECISIONS, ".,!?", 4, "decisions"),
     "facet_dates_turns": families("u || chr(10) || a", P.DATES, ".,!?;:", 10, "dates", r"regexp_replace({}, '\s+', ' ', 'g')", "length(p) >= 3"),
