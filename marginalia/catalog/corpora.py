@@ -362,7 +362,7 @@ def families(text: str, patterns, trim: str, cap: int, name: str, clean: str = "
 
 from .retrieval import tok  # noqa: E402
 
-OVER = f"""WITH d AS (SELECT *, list_distinct({tok('text')}) AS w FROM ({DECISIONS})) SELECT n.ordinal AS newer, o.ordinal AS older FROM d n JOIN d o ON o.ordinal < n.ordinal WHERE regexp_matches(n.text, '(?i)\\b({"|".join(P.OVERRIDES)})\\b') AND NOT o.struck AND len(list_intersect(n.w, o.w)) > 0 AND len(list_intersect(n.w, o.w))::DOUBLE / least(len(n.w), len(o.w)) >= 0.5"""
+OVER = f"""WITH d AS (SELECT *, list_distinct({tok('text')}) AS w FROM ({DECISIONS})) SELECT n.ordinal AS newer, o.ordinal AS older FROM d n JOIN d o ON o.ordinal < n.ordinal WHERE regexp_matches(n.text, '(?i)\\b({"|".join(P.OVERRIDES)})\\b') AND NOT o.struck AND len(list_intersect(n.w, o.w)) > 0 AND 2 * len(list_intersect(n.w, o.w)) >= len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))"""
 ORACLES = corpus_oracles(ALL, "garden", "bed", "ada", {"raised-bed": "tall-bed", "ada": "ada-l"}) | {
     "decision_rows": DECISIONS,
     "override_pairs": OVER,

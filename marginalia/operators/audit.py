@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import any_phrase, overlap, tokens, version
 from .links import top_targets
+from .overlaps import candidate_pairs, rarest_first
 
 FRESH_DAYS, DRIFT_SECONDS, STALE_ENTRIES, STALE_DAYS, CADENCE_DAYS = 3, 300, 3, 7, 14
 COMPRESS_FROM, COMPRESS_WARN, LINE_CAP = 60, 95, 100
@@ -31,14 +32,16 @@ def freshness(status: DataFrame, as_of: Column) -> DataFrame:
 def overrides(decisions: DataFrame, phrases: tuple[str, ...] = P.OVERRIDES, similar: float = 0.5) -> DataFrame:
     """J15, LC2: (newer, older) decisions where the newer has override language and shares its topic with an unannotated older one.
 
-    Topics match by word overlap of at least `similar`; only pairs that share a
-    word are formed, by an equality join.
+    Topics match by a Jaccard similarity of words of at least `similar`, which
+    asks for at least that share of the smaller set; candidates meet on their
+    rarest words.
     """
     d = decisions.withColumn("words", F.array_distinct(tokens("text")))
-    newer = d.filter(any_phrase("text", phrases)).select(F.col("ordinal").alias("newer"), F.col("words").alias("wn"), F.explode("words").alias("w"))
-    older = d.filter(~F.col("struck")).select(F.col("ordinal").alias("older"), F.col("words").alias("wo"), F.explode("words").alias("w"))
-    pairs = newer.join(older, "w").filter("older < newer").dropDuplicates(["newer", "older"])
-    return pairs.filter(overlap(F.col("wn"), F.col("wo")) >= similar).select("newer", "older")
+    newer = d.filter(any_phrase("text", phrases)).select(F.col("ordinal").alias("at"), "words")
+    older = d.filter(~F.col("struck")).select(F.col("ordinal").alias("at"), "words")
+    pairs = candidate_pairs(rarest_first(newer, d), rarest_first(older, d), similar).filter("r_at < l_at")
+    both = F.size(F.array_intersect("l_words", "r_words"))
+    return pairs.filter(both >= similar * (F.size("l_words") + F.size("r_words") - both)).select(F.col("l_at").alias("newer"), F.col("r_at").alias("older")).distinct()
 
 
 def redundant_pairs(decisions: DataFrame) -> DataFrame:
@@ -79,33 +82,34 @@ def missing_entries(entries: DataFrame, there: DataFrame, key: str = "key") -> D
 def near_names(names: DataFrame, *, most: int = 2, key: str = "id", name: str = "name") -> DataFrame:
     """Pairs of names within `most` edits, without comparing all pairs.
 
-    Names are cut into most + 1 pieces; two names within `most` edits share a
-    piece, shifted by at most `most`, so candidates come from equality joins on
-    (piece number, piece) and only they are compared.
+    Rows of one name, in any case, are a class: its least key is paired with
+    each other one, and stands for the name in pairs with other names.  Names
+    are cut into most + 1 pieces; two names within `most` edits share a piece,
+    shifted by at most `most`, so candidates come from equality joins on (piece
+    number, piece) and only they are compared.
     """
-    # case-folded; equal names meet on their whole text
-    n = names.select(key, F.lower(name).alias("nm")).withColumn("len", F.length("nm"))
+    folded = names.select(F.col(key).alias("id"), F.lower(name).alias("nm"))
+    n = folded.groupBy("nm").agg(F.min("id").alias("id")).withColumn("len", F.length("nm"))
+    equal = folded.join(n.select("nm", F.col("id").alias("first")), "nm").filter(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     parts = most + 1
     start = lambda i: (F.col("len") * i / parts).cast("int")
-    indexed = n.select(F.col(key).alias("b"), F.col("nm").alias("nb"), F.col("len").alias("lb"), F.explode(F.array(*[F.struct(F.lit(i).alias("part"), start(i).alias("at"), F.substr("nm", start(i) + 1, start(i + 1) - start(i)).alias("piece")) for i in range(parts)])).alias("p")).select("b", "nb", "lb", "p.*")
+    indexed = n.select(F.col("id").alias("y"), F.col("nm").alias("ny"), F.col("len").alias("lb"), F.explode(F.array(*[F.struct(F.lit(i).alias("part"), start(i).alias("at"), F.substr("nm", start(i) + 1, start(i + 1) - start(i)).alias("piece")) for i in range(parts)])).alias("p")).select("y", "ny", "lb", "p.*")
     # every substring of the other name that may be such a piece: for each length of partner and shift
-    probe = n.select(F.col(key).alias("a"), F.col("nm").alias("na"), "len", F.explode(F.sequence(F.greatest(F.col("len") - most, F.lit(0)), F.col("len") + most)).alias("lp"))
-    probe = probe.select("a", "na", "lp", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("part"))
+    probe = n.select(F.col("id").alias("x"), F.col("nm").alias("nx"), "len", F.explode(F.sequence(F.greatest(F.col("len") - most, F.lit(0)), F.col("len") + most)).alias("lp"))
+    probe = probe.select("x", "nx", "lp", F.explode(F.array(*[F.lit(i) for i in range(parts)])).alias("part"))
     s, e = (F.col("lp") * F.col("part") / parts).cast("int"), (F.col("lp") * (F.col("part") + 1) / parts).cast("int")
-    probe = probe.select("a", "na", "lp", "part", s.alias("s"), (e - s).alias("w"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).filter("s + shift >= 0")
-    probe = probe.select("a", "na", "lp", "part", F.substr("na", F.col("s") + F.col("shift") + 1, F.col("w")).alias("piece")).filter(F.length("piece") == F.length("piece")).distinct()
-    pairs = probe.join(indexed, (F.col("lp") == F.col("lb")) & (probe["part"] == indexed["part"]) & (probe["piece"] == indexed["piece"])).filter("a < b").select("a", "b", "na", "nb").distinct()
-    distance = F.levenshtein("na", "nb", most)
-    return pairs.withColumn("distance", distance).filter(F.col("distance") >= 0).select("a", "b", "distance")
+    probe = probe.select("x", "nx", "lp", "part", s.alias("s"), (e - s).alias("w"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).filter("s + shift >= 0")
+    probe = probe.select("x", "nx", "lp", "part", F.substr("nx", F.col("s") + F.col("shift") + 1, F.col("w")).alias("piece")).distinct()
+    pairs = probe.join(indexed, (F.col("lp") == F.col("lb")) & (probe["part"] == indexed["part"]) & (probe["piece"] == indexed["piece"])).filter("x < y").select("x", "y", "nx", "ny").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("nx", "ny", most)).filter(F.col("distance") >= 0)
+    return near.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance").unionByName(equal)
 
 
 def similar_targets(link_rows: DataFrame, *, share: float = 0.8, k: int = 5) -> DataFrame:
-    """Pairs of files whose k most frequent link targets overlap by at least `share` of the smaller set."""
-    top = top_targets(link_rows, k)
-    sets = top.groupBy("rel").agg(F.collect_set("target").alias("targets"))
-    pairs = top.select(F.col("rel").alias("a"), "target").join(top.select(F.col("rel").alias("b"), "target"), "target").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(sets.select(F.col("rel").alias("a"), F.size("targets").alias("sa")), "a").join(sets.select(F.col("rel").alias("b"), F.size("targets").alias("sb")), "b")
-    return sized.withColumn("ratio", F.round(F.col("shared") / F.least("sa", "sb"), 6)).filter(F.col("ratio") >= share).select("a", "b", "shared", "ratio")
+    """Pairs of files whose k most frequent link targets overlap by at least `share` of the smaller set; candidates meet on their rarest targets."""
+    sets = rarest_first(top_targets(link_rows, k).groupBy("rel").agg(F.collect_set("target").alias("words")))
+    pairs = candidate_pairs(sets, sets, share).filter("l_rel <> r_rel").select(F.least("l_rel", "r_rel").alias("a"), F.greatest("l_rel", "r_rel").alias("b"), F.size(F.array_intersect("l_words", "r_words")).cast("long").alias("shared"), F.least(F.size("l_words"), F.size("r_words")).alias("least"))
+    return pairs.withColumn("ratio", F.round(F.col("shared") / F.col("least"), 6)).filter(F.col("ratio") >= share).select("a", "b", "shared", "ratio").distinct()
 
 
 def duplicate_candidates(files: DataFrame, link_rows: DataFrame) -> DataFrame:
@@ -117,11 +121,23 @@ def duplicate_candidates(files: DataFrame, link_rows: DataFrame) -> DataFrame:
 def blockers(items: DataFrame, log: DataFrame, as_of: Column | None = None) -> DataFrame:
     """J17, AG20, LC5: (item, n_entries, days, stale): an item named in at least three log entries, or over more than seven days.
 
-    Items are the handful of lines under Blocked in one status file, so the
-    containment join broadcasts them.
+    Equal entries of a day are counted first.  An entry that has an item's text
+    has each of its inner words whole (the first and last may be parts of
+    longer ones), so items meet entries on their longest inner word; only items
+    without one are compared with every different entry, and they are few.
     """
-    named = log.join(F.broadcast(items.select("item")), F.contains(F.lower("text"), F.lower("item")))
-    per = named.groupBy("item").agg(F.count("*").alias("n_entries"), F.datediff(as_of if as_of is not None else F.max("date"), F.min("date")).alias("days"))
+    text = F.lower("text")
+    log = log.filter("text is not null").groupBy("date", text.alias("text")).agg(F.count("*").alias("n"))
+    wanted = items.select("item").distinct().withColumn("low", F.lower("item"))
+    runs = F.regexp_extract_all("low", F.lit("[^ ]+"), F.lit(0))
+    # the words between the first and the last are whole in any text that has the item
+    inner = F.when(F.size(runs) > 2, F.slice(runs, 2, F.size(runs) - 2)).otherwise(F.array().cast("array<string>"))
+    wanted = wanted.withColumn("w", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"])
+    word = log.select("date", "text", "n", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0)))).alias("w"))
+    keyed = word.join(wanted.filter("w is not null"), "w").select("item", "low", "date", "text", "n")
+    texts = log.join(wanted.filter("w is null").select("item", "low"), F.contains("text", F.col("low"))).select("item", "low", "date", "text", "n")
+    named = keyed.filter(F.contains("text", F.col("low"))).unionByName(texts)
+    per = named.groupBy("item").agg(F.sum("n").alias("n_entries"), F.datediff(as_of if as_of is not None else F.max("date"), F.min("date")).alias("days"))
     per = items.select("item").join(per, "item", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
     return per.withColumn("stale", (F.col("n_entries") >= STALE_ENTRIES) | (F.coalesce("days", F.lit(0)) > STALE_DAYS))
 
@@ -130,15 +146,14 @@ def week_clusters(decisions: DataFrame, *, least: int = 3, share: float = 0.5, k
     """AG21: weeks (Monday on) with at least `least` decisions that each overlap by `share` with another one of the week.
 
     Decisions of one week and one word set overlap wholly, so they are one row;
-    only a set of a single decision looks for another set that shares a word.
+    only a set of a single decision looks for another set, on its rarest words.
     """
     d = decisions.select(key, F.to_date(F.date_trunc("week", "date")).alias("week"), F.array_sort(F.array_distinct(tokens("text"))).alias("words"))
     d = d.filter(F.col(key).isNotNull() & F.col("week").isNotNull() & (F.size("words") > 0))
     sets = d.groupBy("week", "words").agg(F.count_distinct(key).alias("n"), F.min(key).alias("one"))
-    rows = sets.select("week", "words", "n", "one", F.explode("words").alias("w"))
-    alone = rows.filter("n = 1").select("week", "w", F.col("words").alias("wa"), F.col("one").alias("a"))
-    other = rows.select("week", "w", F.col("words").alias("wb"), F.col("one").alias("b"), "n")
-    met = alone.join(other, ["week", "w"]).filter("wa <> wb and (n > 1 or a <> b)").filter(overlap(F.col("wa"), F.col("wb")) >= share)
+    rare = rarest_first(sets.withColumn("key", F.col("words")), by=("week",))
+    pairs = candidate_pairs(rare.filter("n = 1"), rare, share, by=("week",))
+    met = pairs.filter("l_key <> r_key and (r_n > 1 or l_one <> r_one)").filter(overlap(F.col("l_words"), F.col("r_words")) >= share).withColumnRenamed("l_key", "wa")
     found = sets.filter("n > 1").select("week", "words").unionByName(met.select("week", F.col("wa").alias("words")).distinct())
     return d.join(found, ["week", "words"], "left_semi").groupBy("week").agg(F.count_distinct(key).alias("n")).filter(F.col("n") >= least)
 

@@ -25,5 +25,10 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory
     return configured(builder.getOrCreate())
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Work done once where the session names a checkpoint folder, for a result that several parts of a plan read; else the plan itself."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
