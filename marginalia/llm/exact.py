@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, BATCH_ROWS, prepare, text_bytes
+from .common import BATCH_BYTES, BATCH_ROWS, prepare, staged, text_bytes
 
 #: Bytes of labels and nodes that a merging trie holds before it spills a subtree, and a collapsing one before it is handed on.
 TRIE_BYTES = 48 << 20
@@ -246,8 +246,8 @@ def trie_owners(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     local = rows.mapInArrow(_collapse, "length long, digest binary, salt int, text binary, id long, n long")
     merged = local.repartition("length", "digest", "salt").drop("salt").mapInArrow(_merge, "length long, digest binary, keep_id long, n long")
-    # the owners of a hot text's shares, one for each salt
-    return merged.groupBy("length", "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    # the owners of a hot text's shares, one for each salt; written, as the join with all rows is split by skew only where it reads plain exchanges
+    return staged(merged.groupBy("length", "digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")), "owners")
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
