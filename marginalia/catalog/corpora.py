@@ -422,5 +422,6 @@ EXPECTED["facet_entry"] = ("session_id, entry", [
     (2, "subjects: I used to live in Oslo; Call Anna on 2024-03-05 or 3/5/24; Travel Plan | people: Oslo, Rex, Call Anna, Travel Plan\nSwitched | claims: I am allergic to nuts; I used to live in Oslo; I was born in 1987; My dog's name was Rex; allergic to nuts; I can't eat nuts | decisions: Switched to trains from planes, 2 weeks ago; won't fly in May | dates: May; 1987; 2024; 2 weeks ago; 3/5/24; 2024-03-05"),
     (3, "people: Hello | dates: today"),
 ])
+EXPECTED["graph_file"] = ("rel, content", [("memory/.graph.md", "\n".join(line for _, line in sorted(EXPECTED["graph_report"][1])))])
 EXPECTED["report_lines"] = ('"check", "ordinal", line', [(c, 1 + sum(x[0] == c for x in sorted(_LINT, key=lambda x: (x[0], x[1], x[2]))[:k]), f"  [{s}] {u} -- {d}") for k, (c, s, u, d) in enumerate(sorted(_LINT, key=lambda x: (x[0], x[1], x[2])))])
 ORACLES |= {k: f"SELECT * FROM {values(rows, columns)}" for k, (columns, rows) in EXPECTED.items()}

@@ -15,9 +15,10 @@ from ..functions.text import marker
 from ..operators import facet_index, graph, links, search
 from ..session import configured, table
 from ..sources import parsers
-from ..sources.markdown import with_names
-from .corpora import corpus_oracles, named
+from ..sources.markdown import index_files, with_names
+from .corpora import KEYS, LINK, corpus_oracles, hits, named
 
+SKIPPED, SCANNED = "src1", "src2"
 PERSON, QUERY, RENAMES = "person-3", "note-2", {"person-1": "person-one", "note-5": "note-five"}
 START = 1_704_067_200
 
@@ -71,6 +72,15 @@ QUERIES = {
     "facet_field_hits": lambda v: facet_index.field_hits(_indexed(v), "people", PERSON).select("rel", "stem"),
     "search_local": lambda v: search.capped(search.hit_lines(v, QUERY), "folder", "rel", "line_no").select("folder", "rel", "line_no", "total"),
     "markers": lambda v: v.select("corpus", "rel", marker("content", "managed").alias("managed"), marker("content", "closets").alias("closets"), marker("content", "summary-format-version").alias("format")).filter("coalesce(managed, closets, format) is not null"),
+    "names": lambda v: links.known_names(v).select("key"),
+    "front_matter_map": lambda v: parsers.front_matter_map(v).select("rel", F.size("scalars").alias("n_scalars"), F.aggregate(F.map_values("link_lists"), F.lit(0), lambda n, x: n + F.size(x)).alias("n_links")),
+    "links_scoped": lambda v: links.link_rows(v, (SKIPPED,)),
+    "mentions_scoped": lambda v: links.mentions(v, v.filter(F.col("folder") == SCANNED), ()).select("rel", "line_no", "text", "stem"),
+    "search_labels": lambda v: search.follow_up(search.hit_lines(v, QUERY)),
+    "graph_report": lambda v: graph.report(v),
+    "graph_check": lambda v: graph.check_status(v),
+    "graph_file": lambda v: graph.graph_file(v).select("rel", F.sha2("content", 256).alias("content_sha256")),
+    "index_selection": lambda v: index_files(v).select("rel"),
 }
 NAMES = {f"vault_{k}": k for k in QUERIES}
 QUERIES = {name: (lambda q: lambda spark, sf: q(vault(configured(spark), sf)))(QUERIES[k]) for name, k in NAMES.items()}
@@ -88,5 +98,29 @@ _FILES = """(
         UNION ALL SELECT format('people/person-{}.md', s_suppkey), format(E'---\\ntype: person\\n---\\n{}\\n', s_name), TIMESTAMP '2024-01-01 00:00:00' FROM supplier
         UNION ALL SELECT folder || '/_CLOSETS.md', CASE WHEN folder LIKE '%0' THEN '# Index' ELSE '<!-- x-closets:1.1 -->' END || string_agg(entry, '' ORDER BY place) || E'\\n\\n## [[gone-note]]\\n- subjects: none\\n', TIMESTAMP '2024-01-01 00:00:00' FROM e WHERE place <= 30 GROUP BY folder))"""
 
-_SQL = corpus_oracles(named(_FILES), "vault", QUERY, PERSON, RENAMES)
+_ALL = named(_FILES)
+_SQL = corpus_oracles(_ALL, "vault", QUERY, PERSON, RENAMES)
+_N, _E, _D = (_SQL[k] for k in ("graph_nodes", "graph_edges", "graph_dangling"))
+_HITS = hits(_ALL, QUERY)
+
+
+def _grouped(key: str, part: int) -> str:
+    return f"SELECT {part}, {key}, 0, '### ' || {key} || ': ' || string_agg('[[' || stem || ']]', ', ' ORDER BY stem) FROM ({_N}) WHERE {key} <> '' GROUP BY {key}"
+
+
+_SQL |= {
+    "names": f"SELECT stem_lc AS key FROM ({_ALL}) UNION SELECT lower(rel) FROM ({_ALL}) UNION SELECT regexp_replace(lower(rel), '([^/])\\.[^./]*$', '\\1') FROM ({_ALL})",
+    "front_matter_map": f"SELECT rel, count(*) FILTER (key NOT IN ({KEYS}))::INT AS n_scalars, coalesce(sum(len(regexp_extract_all(value, '{LINK}', 1))) FILTER (key IN ({KEYS})), 0)::INT AS n_links FROM ({_SQL['front_matter']}) GROUP BY rel",
+    "links_scoped": f"SELECT * FROM ({_SQL['link_rows']}) WHERE rel NOT LIKE '{SKIPPED}/%'",
+    "mentions_scoped": f"SELECT * FROM ({_SQL['mention_suggest']}) WHERE rel LIKE '{SCANNED}/%'",
+    "search_labels": f"SELECT count(DISTINCT folder) > 1 AS multi_folder, coalesce(bool_and(rel LIKE '%-archive.md'), false) AS archive_only, coalesce(bool_and(folder = 'memory'), false) AS memory_only FROM ({_HITS})",
+    "graph_report": f"""SELECT row_number() OVER (ORDER BY part, k, i, line)::INT AS ordinal, line FROM (
+        SELECT 1 AS part, '' AS k, 0 AS i, format('Stats: {{}} files with front matter out of {{}} markdown files. {{}} typed edges.', files_with_front_matter, total_files, total_edges) AS line FROM ({_SQL['graph_stats']})
+        UNION ALL SELECT 2, '', -n, format('| `{{}}` | {{}} |', type, n) FROM ({_SQL['graph_edge_counts']}) UNION ALL {_grouped('type', 3)} UNION ALL {_grouped('status', 4)}
+        UNION ALL SELECT 5, source, ordinal, format('- [[{{}}]] `{{}}` → [[{{}}]]', source, type, target) FROM ({_E})
+        UNION ALL SELECT 6, source, ordinal, format('- [[{{}}]] `{{}}` → [[{{}}]] (missing)', source, type, target) FROM ({_E}) WHERE (source, type, target) IN (SELECT (source, type, target) FROM ({_D})))""",
+    "graph_check": f"SELECT count(*) AS dangling, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS exit_status FROM ({_D})",
+    "index_selection": f"SELECT rel FROM ({_ALL}) WHERE rel = '_MANIFEST.md' OR base IN ('_CLOSETS.md', '_CLOSETS-archive.md')",
+}
+_SQL["graph_file"] = f"SELECT 'memory/.graph.md' AS rel, sha256(string_agg(line, chr(10) ORDER BY ordinal)) AS content_sha256 FROM ({_SQL['graph_report']})"
 ORACLES = {name: _SQL[k] for name, k in NAMES.items()}

@@ -7,7 +7,7 @@ cut at a cap.  Sessions are rows (session_id, turn, role, text).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -63,8 +63,9 @@ def heaviest(rows: DataFrame, key: str, weighted: Column, cap: int, name: str) -
     Aggregated over rows, so a long text costs its names once, not squared.
     """
     spread = rows.select(key, F.posexplode(weighted).alias("at", "x")).groupBy(key, F.col("x.name").alias("name")).agg(F.sum("x.w").alias("w"), F.min("at").alias("at"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("w"), "at", "name")))
-    top = spread.groupBy(key).agg(F.transform(F.slice(ordered, 1, cap), lambda x: x["name"]).alias(name))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("w"), "at", "name"))
+    first = spread.withColumn("place", place).filter(F.col("place") <= cap)
+    top = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias(name))
     return rows.select(key).join(top, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 

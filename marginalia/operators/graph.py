@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import links
 from ..sources.markdown import markdown
 from ..sources.parsers import front_matter_fields
+from .ordering import numbered
 
 
 def nodes(files: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -73,7 +74,7 @@ def report(files: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     ]
     for part in parts:
         s = s.union(part)
-    return s.select(F.row_number().over(Window.orderBy("part", "k", "i", "line")).alias("ordinal"), "line")
+    return numbered(s, "part", "k", "i", "line").select("ordinal", "line")
 
 
 def graph_file(files: DataFrame, skip: tuple[str, ...] = (), rel: str = "memory/.graph.md") -> DataFrame:

@@ -22,15 +22,16 @@ def rotated(log: DataFrame, by: str, *order: Column | str, cap: int = LOG_CAP) -
 
 
 def prepended(log: DataFrame, entry: DataFrame) -> DataFrame:
-    """SK8: a new entry on top; ordinals are counted anew."""
-    both = entry.withColumn("o", F.lit(0)).unionByName(log.withColumn("o", F.col("ordinal")), allowMissingColumns=True)
-    return both.withColumn("ordinal", F.row_number().over(Window.orderBy("o"))).drop("o")
+    """SK8: new entries (few, with ordinals among themselves) on top; the log's ordinals go up by their number."""
+    added = entry.agg(F.count("*").alias("_added"))
+    moved = log.crossJoin(F.broadcast(added)).withColumn("ordinal", (F.col("ordinal") + F.col("_added")).cast("int")).drop("_added")
+    return entry.unionByName(moved, allowMissingColumns=True)
 
 
 def appended(decisions: DataFrame, entries: DataFrame) -> DataFrame:
-    """SK8: new decisions after the last one."""
-    last = decisions.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("last"))
-    numbered = entries.withColumn("k", F.row_number().over(Window.orderBy("date", "text"))).crossJoin(last).withColumn("ordinal", F.col("last") + F.col("k")).drop("last", "k")
+    """SK8: new decisions (few) after the last one."""
+    last = decisions.agg(F.coalesce(F.max("ordinal"), F.lit(0)).alias("_last"))
+    numbered = entries.withColumn("_k", F.row_number().over(Window.orderBy("date", "text"))).crossJoin(F.broadcast(last)).withColumn("ordinal", (F.col("_last") + F.col("_k")).cast("int")).drop("_last", "_k")
     return decisions.unionByName(numbered, allowMissingColumns=True)
 
 
@@ -100,6 +101,12 @@ def first_of_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("k = 1").drop("k")
 
 
+def first_of_text(rows: DataFrame, text: str, order: str) -> DataFrame:
+    """AG26: the least `order` of each different text; only lengths and hashes of the texts are shuffled."""
+    keyed = rows.select(F.length(text).alias("_length"), F.sha2(F.col(text).cast("binary"), 256).alias("_hash"), order)
+    return keyed.groupBy("_length", "_hash").agg(F.min(order).alias(order)).select(order)
+
+
 def work_list(wanted: DataFrame, cached: DataFrame, key: str = "session_id") -> DataFrame:
     """ST7: what is wanted and not yet cached."""
     return wanted.join(cached.filter("text is not null").select(key), key, "left_anti")

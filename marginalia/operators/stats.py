@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,22 @@ def hashed_bootstrap(diffs: DataFrame, *, by: str = "qtype", resamples: int = 10
     return ordered.select(by, F.round("mean", 6).alias("mean_diff"), F.round(F.get("ms", F.lit(int(resamples * alpha / 2))), 6).alias("ci_low"), F.round(F.get("ms", F.lit(int(resamples * (1 - alpha / 2)))), 6).alias("ci_high"), F.round(F.least(F.lit(1.0), 2 * opposite / resamples), 6).alias("p"))
 
 
-def significance(p):
+def significance(p: Column) -> Column:
     """Marks at .001, .01 and .05."""
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+
+
+def compared(a: DataFrame, b: DataFrame, questions: DataFrame, metric: str, *, resamples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """AG18, ST6: (grp, n, mean_diff, ci_low, ci_high, p, mark) over all questions and over each type that either side has.
+
+    A group without a question of both sides is not compared: no difference,
+    p of 1.
+    """
+    kinds = questions.select("qid", "qtype")
+    sides = a.select("qid").union(b.select("qid")).join(kinds, "qid").select(F.col("qtype").alias("grp")).distinct()
+    groups = sides.union(questions.sparkSession.createDataFrame([("all",)], "grp string"))
+    diffs = paired(a, b, metric).join(kinds, "qid").select("qid", "diff", F.explode(F.array(F.lit("all"), "qtype")).alias("grp"))
+    found = hashed_bootstrap(diffs, by="grp", resamples=resamples, alpha=alpha, seed=seed)
+    counts = diffs.groupBy("grp").agg(F.count("*").alias("n"))
+    rows = groups.join(counts, "grp", "left").join(found, "grp", "left")
+    return rows.select("grp", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_diff", "ci_low", "ci_high")], F.coalesce("p", F.lit(1.0)).alias("p")).withColumn("mark", significance(F.col("p")))

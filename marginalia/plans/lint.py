@@ -20,8 +20,12 @@ def hubs(files: DataFrame) -> DataFrame:
     return parsers.catalog(files.filter(F.col("rel") == P.CATALOG_FILE)).filter("folder is not null").select("folder", "link", "head_kind").distinct()
 
 
-def checks(files: DataFrame, as_of: Column) -> DataFrame:
-    """Findings (check, severity, subject, detail) of all nine checks; a check without findings passes."""
+def checks(files: DataFrame, as_of: Column, infrastructure: tuple[str, ...] = P.INFRASTRUCTURE) -> DataFrame:
+    """Findings (check, severity, subject, detail) of all nine checks; a check without findings passes.
+
+    `infrastructure` names root folders that are no collections (LC4); tools of
+    one's own add theirs.
+    """
     md = markdown(files)
     by_base = lambda base: files.filter(F.col("base") == base)
     status = parsers.status_items(by_base("status.md"))
@@ -35,7 +39,7 @@ def checks(files: DataFrame, as_of: Column) -> DataFrame:
     disk = md.filter(~is_index_file("base") & ~F.col("stem_lc").endswith("-index")).select(F.concat_ws("/", "folder", "stem_lc").alias("key"), "folder").join(hub.select("folder"), "folder", "left_semi").filter(tiers)
     lost = audit.orphans(disk, registered)
     top = md.filter(F.contains("rel", F.lit("/"))).select(F.substring_index("rel", "/", 1).alias("folder"))
-    known = hub.select("folder").union(files.sparkSession.createDataFrame([(f,) for f in P.INFRASTRUCTURE + P.TIER_ONE_FOLDERS], "folder string"))
+    known = hub.select("folder").union(files.sparkSession.createDataFrame([(f,) for f in tuple(infrastructure) + P.TIER_ONE_FOLDERS], "folder string"))
     folders = audit.untracked(top, known)
     logs = parsers.session_log(by_base("session-log.md")).select("date", F.concat_ws(" ", "title", F.array_join("bullets", " ")).alias("text"))
     items = status.filter((F.col("section") == "Blocked") & (F.lower("text") != "none")).select(F.col("text").alias("item"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings; all are session-level, so they can be applied to a session that exists.
@@ -25,6 +28,18 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, memory
     return configured(builder.getOrCreate())
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see; without one, and only where all run on this machine, in a temporary folder."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="marginalia-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Work done once where the session names a checkpoint folder, for a result that several parts of a plan read; else the plan itself."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df

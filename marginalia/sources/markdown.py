@@ -2,16 +2,18 @@
 
 Spark's file sources leave out names that start with _ or . without a word;
 here hidden folders are pruned, hidden files are read.  The driver lists paths
-only, tasks read the files, a batch of paths each.  An unreadable file has
-null content and still counts.
+only, tasks read the files, a batch of paths each, from any store that Arrow's
+file systems open by URI, or from a local path.  An unreadable file has null
+content and still counts; a task that doesn't see the tree at all fails.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,39 +25,47 @@ SCHEMA = "corpus string, rel string, content string, mtime timestamp"
 BATCH = 256
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path in it."""
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
 class _Files(InputPartition):
-    def __init__(self, root: str, rels: list[str]) -> None:
-        self.root, self.rels = root, rels
+    def __init__(self, rels: list[str]) -> None:
+        self.rels = rels
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.root = os.path.abspath(options["path"])
-        self.corpus = options.get("corpus", os.path.basename(self.root))
+        self.path = options["path"].rstrip("/")
+        self.corpus = options.get("corpus", self.path.rsplit("/", 1)[-1])
         self.suffix = options.get("suffix", "")
         self.prefixes = tuple(p if p.endswith("/") else p + "/" for p in options.get("skip", "").split(",") if p)
 
     def partitions(self) -> list[InputPartition]:
-        rels = []
-        for top, folders, names in os.walk(self.root):
-            folders[:] = sorted(f for f in folders if not f.startswith("."))
-            rels += [os.path.relpath(os.path.join(top, n), self.root).replace(os.sep, "/") for n in sorted(names) if n.endswith(self.suffix)]
-        rels = [r for r in rels if not r.startswith(self.prefixes)] if self.prefixes else rels
-        return [_Files(self.root, rels[at : at + BATCH]) for at in range(0, len(rels), BATCH)] or [_Files(self.root, [])]
+        system, root = opened(self.path)
+        rels, folders = [], [root]
+        while folders:
+            for info in system.get_file_info(fs.FileSelector(folders.pop())):
+                if info.type == fs.FileType.Directory:
+                    if not info.base_name.startswith("."):
+                        folders.append(info.path)
+                elif info.base_name.endswith(self.suffix):
+                    rels.append(info.path[len(root) :].lstrip("/"))
+        rels = sorted(r for r in rels if not (self.prefixes and r.startswith(self.prefixes)))
+        return [_Files(rels[at : at + BATCH]) for at in range(0, len(rels), BATCH)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
+        system, root = opened(self.path)
+        if partition.rels and system.get_file_info(root).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"{self.path}: not visible to this task")
         for rel in partition.rels:
-            path = os.path.join(partition.root, rel)
             try:
-                with open(path, encoding="utf-8", newline=None) as file:
-                    content = file.read()
+                with system.open_input_stream(f"{root}/{rel}") as file:
+                    content = file.read().decode().replace("\r\n", "\n").replace("\r", "\n")
             except (OSError, UnicodeDecodeError):
                 content = None
-            try:
-                when = datetime.fromtimestamp(os.stat(path).st_mtime, timezone.utc)
-            except OSError:
-                when = None
-            yield self.corpus, rel, content, when
+            yield self.corpus, rel, content, system.get_file_info(f"{root}/{rel}").mtime
 
 
 class CorpusSource(DataSource):

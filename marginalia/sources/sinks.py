@@ -7,20 +7,23 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .markdown import opened
+
 
 def write_texts(files: DataFrame, root: str) -> int:
-    """Text files of (rel, content) under `root`, streamed row by row; catalog files come last.
+    """Text files of (rel, content) under `root`, a local path or a URI, streamed row by row; catalog files come last.
 
     For the few files of a corpus that a person reads; tables go to Parquet.
     """
+    system, base = opened(root)
     n = 0
     order = F.col("rel").endswith("_MANIFEST.md")
     for row in files.select("rel", "content", order.alias("last")).orderBy("last", "rel").toLocalIterator():
-        path = os.path.join(root, row["rel"])
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(f"{path}.tmp", "w", encoding="utf-8") as out:
-            out.write(row["content"])
-        os.replace(f"{path}.tmp", path)
+        path = f"{base}/{row['rel']}"
+        system.create_dir(os.path.dirname(path), recursive=True)
+        with system.open_output_stream(f"{path}.tmp", compression=None) as out:
+            out.write(row["content"].encode())
+        system.move(f"{path}.tmp", path)
         n += 1
     return n
 

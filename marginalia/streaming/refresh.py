@@ -1,9 +1,12 @@
 """Incremental refresh of the facet index from a stream of file versions.
 
-File versions arrive as Parquet (corpus, collection, stem, mtime, content);
-each batch keeps the newest version of a file, and only touched collections
-are paginated anew.  Batches are idempotent: a repeated one writes the same
-rows under the same batch folder.
+File versions arrive as Parquet (collection, stem, mtime, content).  The state
+is the newest version of each file, in a folder for each batch and collection;
+a batch reads only the collections that it touches, from the batch that wrote
+each of them last, and writes them and their index anew.  So work grows with
+the touched collections, not with all versions ever seen.  Batches are
+idempotent: a repeated one reads the batches before it and overwrites its own
+folders.
 """
 
 from __future__ import annotations
@@ -21,20 +24,38 @@ def newest_versions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("collection", "stem").agg(F.max_by("content", "mtime").alias("content"), F.max("mtime").alias("mtime"))
 
 
-def refreshed(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new state, index rows of the collections that the batch touches)."""
-    merged = newest_versions(state.select("collection", "stem", "mtime", "content").unionByName(batch.select("collection", "stem", "mtime", "content")))
-    return merged, paginated(merged.join(batch.select("collection").distinct(), "collection", "left_semi"))
+HEADS = "batch int, collection string"
+STATE = "stem string, mtime timestamp, content string, batch int, collection string"
+
+
+def _heads(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(collection, batch): the batch that wrote each collection last; a row a touched collection and batch is read."""
+    rows = spark.read.schema(HEADS).option("basePath", f"{target}/heads").parquet(f"{target}/heads")
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    return rows.groupBy("collection").agg(F.max("batch").alias("batch"))
+
+
+def current_index(spark: SparkSession, target: str) -> DataFrame:
+    """The index of all collections as of the last batch."""
+    index = spark.read.parquet(f"{target}/index").withColumn("collection", F.col("collection").cast("string"))
+    return index.join(_heads(spark, target), ["collection", "batch"], "left_semi").drop("batch")
 
 
 def stream_refresh(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Every batch appends its versions to target/versions and writes the touched collections' index to target/index/batch=N."""
+    """Every batch writes the touched collections: state/batch=N/collection=C, index/batch=N/collection=C, and their names to heads/batch=N."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/versions/batch={number}")
-        versions = spark.read.schema(SCHEMA).parquet(f"{target}/versions").filter(F.col("batch") <= number).drop("batch")
-        _, index = refreshed(versions, spark.read.schema(SCHEMA).parquet(f"{target}/versions/batch={number}"))
-        index.write.mode("overwrite").parquet(f"{target}/index/batch={number}")
+        rows = newest_versions(batch).select("collection", "stem", "mtime", "content")
+        touched = batch.select("collection").distinct()
+        if number:
+            last = _heads(spark, target, number).join(touched, "collection", "left_semi")
+            state = spark.read.schema(STATE).option("basePath", f"{target}/state").parquet(f"{target}/state")
+            # partition columns: only the folders named by the heads are read
+            rows = rows.unionByName(state.join(F.broadcast(last), ["collection", "batch"], "left_semi").select("collection", "stem", "mtime", "content"))
+        newest_versions(rows).write.mode("overwrite").partitionBy("collection").parquet(f"{target}/state/batch={number}")
+        merged = spark.read.schema(STATE).option("basePath", f"{target}/state").parquet(f"{target}/state/batch={number}").drop("batch")
+        paginated(merged).write.mode("overwrite").partitionBy("collection").parquet(f"{target}/index/batch={number}")
+        touched.write.mode("overwrite").parquet(f"{target}/heads/batch={number}")
 
     return spark.readStream.schema(SCHEMA).parquet(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -132,3 +132,56 @@ def test_stream_refresh(spark, tmp_path):
     index = spark.read.parquet(str(tmp_path / "out" / "index" / "batch=1"))
     assert index.select("collection").distinct().collect()[0][0] == "c" and index.count() == 32
     assert index.filter("place = 1").first()["content"] == "new" and index.filter("is_archive").count() == 2
+    # what the second batch doesn't touch is as the first one left it
+    whole = refresh.current_index(spark, str(tmp_path / "out"))
+    assert whole.count() == 33 and whole.filter("collection = 'd'").first()["content"] == "y" and whole.filter("collection = 'c' and place = 1").first()["content"] == "new"
+    assert not (tmp_path / "out" / "state" / "batch=1" / "collection=d").exists()
+
+
+def test_compared_by_type(spark):
+    questions = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)] + [(90, "lonely")], "qid int, qtype string")
+    a = spark.createDataFrame([(i, 1.0) for i in range(20)] + [(90, 1.0)], "qid int, m double")
+    b = spark.createDataFrame([(i, 0.5 if i % 2 else 1.0) for i in range(20)], "qid int, m double")
+    rows = {r["grp"]: r for r in stats.compared(a, b, questions, "m", resamples=400).collect()}
+    assert set(rows) == {"all", "a", "b", "lonely"}
+    assert (rows["a"]["n"], rows["a"]["mean_diff"], rows["a"]["p"], rows["a"]["mark"]) == (10, 0.5, 0.0, "***")
+    assert rows["all"]["mean_diff"] == 0.25 and rows["b"]["mean_diff"] == 0.0 and rows["b"]["mark"] == ""
+    # no question of both sides: nothing compared
+    assert tuple(rows["lonely"][c] for c in ("n", "mean_diff", "ci_low", "ci_high", "p", "mark")) == (0, 0.0, 0.0, 0.0, 1.0, "")
+
+
+def test_overlap_candidates_lose_no_pair(spark):
+    import itertools
+    import random
+
+    from marginalia.operators.overlaps import candidate_pairs, rarest_first
+
+    rng = random.Random(12)
+    sets = {k: {"common", *rng.sample("abcdefghij", rng.randint(0, 6))} if rng.random() < 0.8 else set(rng.sample("abcdefghij", rng.randint(1, 5))) for k in range(60)}
+    rows = rarest_first(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k int, words array<string>"))
+    for share in (0.5, 0.8, 1.0):
+        found = {(r["l_k"], r["r_k"]) for r in candidate_pairs(rows, rows, share).collect()}
+        wanted = {(a, b) for a, b in itertools.permutations(sets, 2) if len(sets[a] & sets[b]) >= share * min(len(sets[a]), len(sets[b])) - 1e-9}
+        assert wanted <= found
+
+
+def test_equal_names_are_one_class(spark):
+    rows = [(k, "readme") for k in range(50)] + [(90, "README"), (91, "readmes"), (92, "other")]
+    pairs = {(r["a"], r["b"]): r["distance"] for r in audit.near_names(spark.createDataFrame(rows, "id int, name string")).collect()}
+    assert pairs == {(0, k): 0 for k in [*range(1, 50), 90]} | {(0, 91): 1}
+
+
+def test_blockers_by_inner_words(spark):
+    log = [(1, "the water pump is broken"), (2, "a water pump"), (3, "Fix the Old Water Pump now"), (4, "old water pumps"), (9, "old  water pump"), (9, None)]
+    items = ["old water pump", "water pump", "pump", "nothing"]
+    frame = spark.createDataFrame([(datetime(2026, 1, d), t) for d, t in log], "date timestamp, text string")
+    found = {r["item"]: r["n_entries"] for r in audit.blockers(spark.createDataFrame([(i,) for i in items], "item string"), frame).collect()}
+    assert found == {i: sum(i in (t or "").lower() for _, t in log) for i in items}
+
+
+def test_numbered_by_ranges(spark):
+    from marginalia.operators.ordering import numbered
+
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), (F.col("id") % 3).alias("y"))
+    got = numbered(rows, "y", "x").orderBy("ordinal").collect()
+    assert [(r["y"], r["x"]) for r in got] == sorted((r["y"], r["x"]) for r in got) and [r["ordinal"] for r in got] == list(range(1, 501))
