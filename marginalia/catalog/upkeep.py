@@ -125,7 +125,7 @@ def collection_added(spark: SparkSession, sf: str) -> DataFrame:
 
 def similar_collections(spark: SparkSession, sf: str) -> DataFrame:
     hubs = table(spark, sf, "nation").select(slug("n_name").alias("folder"))
-    return lifecycle.similar_slugs(hubs, "Irann").select("folder", F.col("distance").cast("long").alias("distance"))
+    return lifecycle.similar_slugs(hubs, "Nation 1").select("folder", F.col("distance").cast("long").alias("distance"))
 
 
 def reindexed(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +203,7 @@ ORACLES = {
     "placeholders": f"SELECT {_NATIONS} || '/status.md' AS rel FROM nation",
     "entry_archived": f"SELECT 'part-' || p_partkey AS link, CASE WHEN p_partkey = 4 THEN 3 ELSE (p_partkey % 3 + 1)::INT END AS tier, CASE WHEN p_partkey = 4 THEN 'replaced' END AS reason, CASE WHEN p_partkey = 4 THEN '{AS_OF}' END AS date FROM part",
     "collection_added": f"SELECT {_NATIONS} AS folder, {_NATIONS} || '/_CLOSETS' AS link, n_name AS summary FROM nation UNION ALL SELECT 'new-garden', 'new-garden/_CLOSETS', 'beds'",
-    "similar_collections": f"SELECT folder, levenshtein(folder, 'irann')::BIGINT AS distance FROM (SELECT {_NATIONS} AS folder FROM nation) WHERE levenshtein(folder, 'irann') <= 2",
+    "similar_collections": f"SELECT folder, levenshtein(folder, 'nation-1')::BIGINT AS distance FROM (SELECT {_NATIONS} AS folder FROM nation) WHERE levenshtein(folder, 'nation-1') <= 2",
     "reindexed": "WITH p AS (SELECT DISTINCT conv_id FROM conversations), e AS (SELECT 'hub-' || conv_id % 20 AS collection, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id DESC) AS place FROM p) SELECT collection, place > 30 AS is_archive, count(*) AS n_entries FROM e GROUP BY collection, place > 30",
     "session_end": f"""SELECT '1 status' AS step, count(*) AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT '2 log kept', least(count(*) + 1, 10) FROM events UNION ALL SELECT '3 log archived', greatest(count(*) + 1 - 10, 0) FROM events
         UNION ALL SELECT '4 decisions', count(*) + 1 FROM orders UNION ALL SELECT '5 index refreshed', count(*) FROM ({_ALL}) f LEFT JOIN (SELECT folder, mtime + INTERVAL 1 HOUR AS at FROM ({_ALL}) WHERE base = '_CLOSETS.md') i USING (folder) WHERE i.at IS NULL OR f.mtime > i.at

@@ -79,18 +79,21 @@ def missing_entries(entries: DataFrame, there: DataFrame, key: str = "key") -> D
     return entries.join(there.select(key).distinct(), key, "left_anti").withColumn("severity", F.when(F.col("tier") == 3, "INFO").otherwise("WARN"))
 
 
-def near_names(names: DataFrame, *, most: int = 2, key: str = "id", name: str = "name") -> DataFrame:
+def near_names(names: DataFrame, *, most: int = 2, key: str = "id", name: str = "name", every: bool = True) -> DataFrame:
     """Pairs of names within `most` edits, without comparing all pairs.
 
-    Rows of one name, in any case, are a class: its least key is paired with
-    each other one, and stands for the name in pairs with other names.  Names
-    are cut into most + 1 pieces; two names within `most` edits share a piece,
+    Rows of one name, in any case, are a class, and names are compared once.
+    With `every`, all pairs of rows are given; without, a class's least key is
+    paired with each other one and stands for the name in pairs with other
+    names, so a name that many rows have gives no square of pairs.  Names are
+    cut into most + 1 pieces; two names within `most` edits share a piece,
     shifted by at most `most`, so candidates come from equality joins on (piece
     number, piece) and only they are compared.
     """
     folded = names.select(F.col(key).alias("id"), F.lower(name).alias("nm"))
     n = folded.groupBy("nm").agg(F.min("id").alias("id")).withColumn("len", F.length("nm"))
-    equal = folded.join(n.select("nm", F.col("id").alias("first")), "nm").filter(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    first = folded if every else n
+    equal = folded.join(first.select("nm", F.col("id").alias("first")), "nm").filter(F.col("first") < F.col("id")).select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     parts = most + 1
     start = lambda i: (F.col("len") * i / parts).cast("int")
     indexed = n.select(F.col("id").alias("y"), F.col("nm").alias("ny"), F.col("len").alias("lb"), F.explode(F.array(*[F.struct(F.lit(i).alias("part"), start(i).alias("at"), F.substr("nm", start(i) + 1, start(i + 1) - start(i)).alias("piece")) for i in range(parts)])).alias("p")).select("y", "ny", "lb", "p.*")
@@ -102,7 +105,10 @@ def near_names(names: DataFrame, *, most: int = 2, key: str = "id", name: str =
     probe = probe.select("x", "nx", "lp", "part", F.substr("nx", F.col("s") + F.col("shift") + 1, F.col("w")).alias("piece")).distinct()
     pairs = probe.join(indexed, (F.col("lp") == F.col("lb")) & (probe["part"] == indexed["part"]) & (probe["piece"] == indexed["piece"])).filter("x < y").select("x", "y", "nx", "ny").distinct()
     near = pairs.withColumn("distance", F.levenshtein("nx", "ny", most)).filter(F.col("distance") >= 0)
-    return near.select(F.col("x").alias("a"), F.col("y").alias("b"), "distance").unionByName(equal)
+    if every:
+        one, other = (folded.select(F.col("nm").alias(n), F.col("id").alias(i)) for n, i in (("nx", "x"), ("ny", "y")))
+        near = near.drop("x", "y").join(one, "nx").join(other, "ny")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").unionByName(equal)
 
 
 def similar_targets(link_rows: DataFrame, *, share: float = 0.8, k: int = 5) -> DataFrame:
@@ -114,7 +120,7 @@ def similar_targets(link_rows: DataFrame, *, share: float = 0.8, k: int = 5) ->
 
 def duplicate_candidates(files: DataFrame, link_rows: DataFrame) -> DataFrame:
     """CO3: near names or similar targets, with the reason; never merged here."""
-    by_name = near_names(files.select(F.col("rel").alias("id"), F.col("stem").alias("name"))).select("a", "b", F.lit("name").alias("reason"))
+    by_name = near_names(files.select(F.col("rel").alias("id"), F.col("stem").alias("name")), every=False).select("a", "b", F.lit("name").alias("reason"))
     return by_name.unionByName(similar_targets(link_rows).select("a", "b", F.lit("links").alias("reason"))).groupBy("a", "b").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
