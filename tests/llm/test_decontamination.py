@@ -98,3 +98,11 @@ def test_short_passages_against_brute_force(spark):
     rows = d.find_overlaps(a, b).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items) and len(rows) == len(brute(docs, items))
     assert {r["doc_id"] for r in d.decontaminated(a, b).collect()} == {i for i, _ in docs} - {i for i, _ in brute(docs, items)}
+
+
+def test_one_very_long_text(spark):
+    """Words are hashed in stretches; a passage across their borders and at the end is found."""
+    passage = " ".join(f"word{i}" for i in range(30))
+    long = "filler and more " * 130_000
+    a, b = frames(spark, [(1, long + passage), (2, long[: (1 << 20) - 60] + " " + passage + " " + long), (3, long)], [(7, passage)])
+    assert sorted((r["doc_id"], r["item_id"]) for r in d.find_overlaps(a, b).collect()) == [(1, 7), (2, 7)]
