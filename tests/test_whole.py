@@ -85,3 +85,26 @@ def test_token_overlap_of_all_sources(spark):
     docs = [(i, set(words(t or ""))) for i, t in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
     found = {(r["item_id"], r["doc_id"]): r["share"] for r in QUERIES["token_overlap"](spark, FOLDER).collect()}
     assert found == pytest.approx({(i, d): len(b & w) / len(b) for i, b in items for d, w in docs if b & w}, abs=1e-6)
+
+
+@pytest.mark.parametrize("rare", [True, False])
+def test_corpus_wide_best_against_all_scores(spark, rare):
+    """Questions whose common words bring in no documents, and questions of common words only."""
+    import random
+
+    from marginalia.operators import ranking
+
+    rng = random.Random(21)
+    common = [f"common{i}" for i in range(6)]
+    texts = {k: " ".join(rng.choices(common, k=rng.randint(3, 9)) + ([f"rare{k % 9}"] * 3 if rare and k % 4 == 0 else [])) for k in range(160)}
+    asked = {q: " ".join(([f"rare{q % 9}", f"rare{(q + 1) % 9}"] * 4 if rare else []) + rng.choices(common, k=3)) for q in range(6)}
+    frame = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} long, text string")
+    found = {}
+    for r in ranking.bm25_corpus(frame(asked, "qid"), frame(texts, "doc_id"), 4).collect():
+        found.setdefault(r["qid"], []).append((r["rank"], r["doc_id"], r["score"]))
+    for q, text in asked.items():
+        scores = brute_bm25(text, texts)
+        sharing = {k for k, t in texts.items() if set(words(t)) & set(words(text))}
+        best = sorted(sharing, key=lambda k: (-scores[k], k))[:4]
+        assert [(i, d) for i, d, _ in sorted(found[q])] == list(enumerate(best))
+        assert [s for _, _, s in sorted(found[q])] == pytest.approx([scores[k] for k in best], abs=2e-6)
