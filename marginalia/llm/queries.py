@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, extraction, fim, jaccard, language, mixing, pii, sharding, tokens
+from . import chat, decontamination, exact, extraction, fim, jaccard, language, mixing, pii, prefix_trie, sharding, tokens
 from .common import scratch, staged
 
 SHARDS = 16
@@ -108,6 +108,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.conversation_trie(turns, block=100)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -120,6 +125,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
@@ -148,4 +154,15 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
     "op11_fill_in_middle": fim.forms_sql("documents") + fim.DIGESTS_SQL,
+    # a depth-d node is the list of its first d turns; CRC-32 is folded bit by bit
+    "op12_prefix_trie": r"""
+        WITH own AS (SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, turns, (xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda crc, byte:
+                list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, byte)), 4294967295::BIGINT)) % 6)::BIGINT AS h FROM own),
+        rebuilt AS (SELECT h.c, list_concat(coalesce(list_slice(b.turns, 1, h.h), []), list_slice(h.turns, h.h + 1, len(h.turns))) AS turns FROM h LEFT JOIN own b ON b.c = h.c - h.c % 100),
+        prefixes AS (SELECT c, turns[1:d] AS node, d, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+        nodes AS (SELECT node, any_value(d) AS depth, min(c) AS low, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM prefixes GROUP BY node),
+        tree AS (SELECT n.*, p.low AS parent, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.node[1:n.depth] = n.node) AS n_children FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]),
+        up AS (SELECT node[1:d] AS node, sum((n_children = 0)::BIGINT) AS leaves, sum(saved) AS saved FROM (SELECT node, n_children, CASE WHEN depth > 0 THEN (n - 1) * length(node[-1].text) ELSE 0 END AS saved, unnest(range(0, depth + 1)) AS d FROM tree) GROUP BY 1)
+        SELECT low AS conv_id, depth::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, n_children, leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, ends_sha256 FROM tree JOIN up USING (node)""",
 }
