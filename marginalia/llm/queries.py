@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact, extraction, fim, jaccard, language, mixing, pii, prefix_trie, sharding, tokens
+from . import chat, decontamination, exact, extraction, fim, jaccard, language, mixing, nearest, pii, prefix_trie, sharding, tokens
 from .common import scratch, staged
 
 SHARDS = 16
@@ -113,6 +113,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(turns, block=100)
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.build_index(vectors, k=20).search(vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -126,6 +131,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_nearest": op13_nearest,
 }
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
