@@ -64,7 +64,7 @@ def test_recall_with_many_lists(spark, shape):
     if shape == "hot":
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         x[:1000] = x[0]
-        x[1000:2000] = x[1] + 0.001 * rng.normal(size=(1000, 12))
+        x[1000:2000] = x[2500] + 0.001 * rng.normal(size=(1000, 12))
     rows = list(enumerate(x.astype(np.float32).tolist()))
     index = nearest.build_index(frame(spark, rows).repartition(4), k=10, list_rows=40, group_rows=200)
     assert len(index.centroids.points) > 20 and index.lists.select("cls").distinct().count() == len({tuple(v) for _, v in rows})
