@@ -25,10 +25,10 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def workspace_files(spark: SparkSession, sf: str) -> DataFrame:
-    """SC1-SC3: the vault's people and indexes written as a tree of files, and read back without one folder."""
+    """SC1-SC3, SC13: the vault written as a tree of files, and read back without one folder; dates are those of the writing."""
     path = shared_path(spark, "workspace")
-    sinks.write_texts(vault(spark, sf).filter("folder = 'people' or base = '_CLOSETS.md'"), path)
-    return read_corpus(spark, path, corpus="vault", suffix=".md", skip=("src1",)).select("corpus", "rel", "folder", "stem", "content", F.col("mtime").isNotNull().alias("dated"))
+    sinks.write_texts(vault(spark, sf), path)
+    return read_corpus(spark, path, corpus="vault", suffix=".md", skip=("src1",)).select("corpus", "rel", "folder", "stem", "content", (F.col("mtime") > F.current_timestamp() - F.expr("interval 1 day")).alias("dated"))
 
 
 def _dataset(spark: SparkSession, sf: str) -> str:
@@ -187,7 +187,7 @@ _CONTENT = "SELECT conv_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDE
 _PARTS = "SELECT p_partkey AS k, list_distinct(" + tok("concat_ws(' ', CASE WHEN p_partkey % 7 = 0 THEN 'replaces' END, p_name, p_type, p_brand)") + ") AS w FROM part"
 
 ORACLES = {
-    "workspace_files": f"SELECT corpus, rel, folder, stem, content, true AS dated FROM ({_ALL}) WHERE (folder = 'people' OR base = '_CLOSETS.md') AND rel NOT LIKE 'src1/%'",
+    "workspace_files": f"SELECT corpus, rel, folder, stem, content, true AS dated FROM ({_ALL}) WHERE rel NOT LIKE 'src1/%'",
     "dataset_turns": "SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations",
     "cached_texts": f"SELECT conv_id::VARCHAR AS session_id, c AS text FROM ({_CONTENT})",
     "extracted_texts": f"""WITH t AS ({_CONTENT}) SELECT 'content' AS extractor, count(*) AS n, sum(length(c))::BIGINT AS n_chars FROM t UNION ALL SELECT 'summary', count(*), sum(length(left(u, 250) || ' | ' || left(a, 250)))::BIGINT FROM t

@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .markdown import opened
+from .markdown import CorpusSource
 
 
-def write_texts(files: DataFrame, root: str) -> int:
-    """Text files of (rel, content) under `root`, a local path or a URI, streamed row by row; catalog files come last.
+def write_texts(files: DataFrame, root: str, *, overwrite: bool = False) -> None:
+    """Text files of (rel, content) under `root`, a local path or a URI, by the tasks that hold them; catalog files come last.
 
-    For the few files of a corpus that a person reads; tables go to Parquet.
+    Files keep their places until all new ones are written; null contents are
+    left out.  A path given twice is refused, as either text might win.
     """
-    system, base = opened(root)
-    n = 0
-    order = F.col("rel").endswith("_MANIFEST.md")
-    for row in files.select("rel", "content", order.alias("last")).orderBy("last", "rel").toLocalIterator():
-        path = f"{base}/{row['rel']}"
-        system.create_dir(os.path.dirname(path), recursive=True)
-        with system.open_output_stream(f"{path}.tmp", compression=None) as out:
-            out.write(row["content"].encode())
-        system.move(f"{path}.tmp", path)
-        n += 1
-    return n
+    twice = files.filter("content is not null").groupBy("rel").count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"{twice['rel']!r} is given {twice['count']} times")
+    files.sparkSession.dataSource.register(CorpusSource)
+    files.select("rel", "content").write.format("corpus").mode("overwrite" if overwrite else "append").save(root)
 
 
 def registry_text(registry: DataFrame) -> DataFrame:
