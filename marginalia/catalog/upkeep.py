@@ -32,19 +32,22 @@ def workspace_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dataset(spark: SparkSession, sf: str) -> str:
-    """A benchmark file: a question for every ten conversations, with their turns nested."""
+    """Benchmark files: a question for every ten conversations, with their turns nested; every other file is one array, the rest JSON lines."""
     turn = F.sort_array(F.collect_list(F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("t"))))
     s = _turns(spark, sf).groupBy("session_id").agg(F.transform(turn, lambda x: x["t"]).alias("turns")).withColumn("q", F.expr("session_id div 10"))
     both = F.sort_array(F.collect_list(F.struct("session_id", "turns")))
     rows = s.groupBy("q").agg(both.alias("b")).select(F.col("q").cast("string").alias("question_id"), F.lit("t").alias("question_type"), F.lit("?").alias("question"), F.transform("b", lambda x: x["session_id"].cast("string")).alias("haystack_session_ids"), F.transform("b", lambda x: x["turns"]).alias("haystack_sessions"), F.slice(F.transform("b", lambda x: x["session_id"].cast("string")), 1, 1).alias("answer_session_ids"))
+    file = F.expr("cast(question_id as bigint) div 8")
+    texts = rows.groupBy(file.alias("file")).agg(F.sort_array(F.collect_list(F.to_json(F.struct(*rows.columns)))).alias("values"))
+    content = F.when(F.col("file") % 2 == 0, F.concat(F.lit("["), F.array_join("values", ", "), F.lit("]"))).otherwise(F.array_join("values", "\n"))
     path = shared_path(spark, "dataset")
-    rows.write.json(path)
+    sinks.write_texts(texts.select(F.concat(F.lit("part-"), F.col("file").cast("string"), F.lit(".json")).alias("rel"), content.alias("content")), path)
     return path
 
 
 def dataset_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """SC10, SC11, J6: the turns of a nested JSON dataset."""
-    return parsers.candidate_turns(parsers.questions(spark, _dataset(spark, sf))).select("session_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    """SC10, SC11, J6: the turns of a nested JSON dataset, read in ranges smaller than its files."""
+    return parsers.candidate_turns(parsers.questions(spark, _dataset(spark, sf), range_bytes=1 << 18)).select("session_id", F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
 def cached_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings; all are session-level, so they can be applied to a session that exists.
@@ -40,9 +44,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders staged by this process, deleted when it ends.
+_STAGED: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Work done once where the session names a checkpoint folder, for a result that several parts of a plan read; else the plan itself."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """A result that several parts of a plan read, written once as Parquet in the shared folder and read again."""
+    path = shared_path(df.sparkSession, "settled")
+    if not _STAGED:
+        atexit.register(_unstaged)
+    _STAGED.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _unstaged() -> None:
+    for path in _STAGED:
+        with contextlib.suppress(OSError):
+            system, place = fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
+            system.delete_dir(place)
+    _STAGED.clear()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

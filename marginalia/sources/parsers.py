@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
 from ..functions.text import front_matter, link_stem, links, strip, unquoted
+from .json_ranges import RANGE_BYTES, json_values
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -119,11 +120,10 @@ def run_log(files: DataFrame) -> DataFrame:
 QUESTIONS = "question_id string, question_type string, question string, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>, answer_session_ids array<string>"
 
 
-def questions(spark: SparkSession, path: str, schema: str | StructType = QUESTIONS) -> DataFrame:
-    """SC10, SC11: one JSON array, or JSON lines where the file doesn't start as one."""
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    whole = first is not None and first["value"].lstrip().startswith("[")
-    return spark.read.schema(schema).json(path, multiLine=whole)
+def questions(spark: SparkSession, path: str, schema: str | StructType = QUESTIONS, *, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """SC10, SC11: one JSON array a file, or JSON lines where a file doesn't start as one; read by byte ranges either way."""
+    schema = schema if isinstance(schema, str) else schema.simpleString()
+    return json_values(spark, path, range_bytes=range_bytes).select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def candidate_turns(data: DataFrame) -> DataFrame:
