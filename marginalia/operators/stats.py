@@ -1,10 +1,12 @@
-"""Paired bootstrap between two strategies (ST-B): exact, and with hashed resampling at any size."""
+"""Paired bootstrap between two strategies (ST-B): exact by blocks of the random stream, and with hashed resampling at any size."""
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +16,112 @@ def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     return a.select("qid", F.col(metric).alias("x")).join(b.select("qid", F.col(metric).alias("y")), "qid").select("qid", (F.col("x") - F.col("y")).alias("diff"))
 
 
-def exact_bootstrap(diffs: DataFrame, *, by: str = "qtype", resamples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+#: Draws that one task makes, and questions whose differences are sent to all tasks (64 MB).
+BLOCK, QUESTIONS = 1 << 22, 8_000_000
+
+_BLOCKS = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("skip", pa.int64()), ("state", pa.binary())])
+_COUNTS = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("accepted", pa.int64())])
+_SUMS = pa.schema([("grp", pa.int32()), ("resample", pa.int64()), ("high", pa.float64()), ("low", pa.float64())])
+
+
+def _stream(state: bytes) -> np.random.MT19937:
+    """The Mersenne twister in a state: 624 words and the place in them."""
+    words = np.frombuffer(state, "<u4")
+    twister = np.random.MT19937()
+    twister.state = {"bit_generator": "MT19937", "state": {"key": words[:-1].astype(np.uint32), "pos": int(words[-1])}}
+    return twister
+
+
+def _state(twister: np.random.MT19937) -> bytes:
+    now = twister.state["state"]
+    return np.append(now["key"], now["pos"]).astype("<u4").tobytes()
+
+
+def _drawn(row: dict) -> np.ndarray:
+    """What a block draws from n: the highest bits of each word, where they are less than n."""
+    words = _stream(row["state"]).random_raw(row["size"]) >> np.uint64(32 - int(row["n"]).bit_length())
+    return words[words < row["n"]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield pa.RecordBatch.from_pylist([{"grp": row["grp"], "block": row["block"], "accepted": len(_drawn(row))}], schema=_COUNTS)
+
+
+def exact_bootstrap(diffs: DataFrame, *, by: str = "qtype", resamples: int = 10_000, alpha: float = 0.05, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """The published random stream for each group of questions: (by, mean, lo, hi, p).
 
-    A group is the questions of one benchmark, so it fits one task; use
-    hashed_bootstrap where it doesn't.
+    The stream is one sequence of words, of which a group of n questions takes
+    those whose highest bits are below n: n for the first resample, n for the
+    next.  The driver runs through the words once and keeps the generator's
+    state at the start of every block.  Tasks count what each block accepts; the
+    sums of these counts say to which resample a block's first draw belongs;
+    then tasks add up the drawn differences by resample.  A resample that
+    crosses blocks is added up from its parts.
+
+    The differences of all questions, in order of their identifiers, go to all
+    tasks; more than QUESTIONS are refused (`hashed_bootstrap` takes any
+    number).  Sums are in extended precision, so means may differ from those of
+    a plain loop in the last bit.
     """
+    spark = diffs.sparkSession
+    if diffs.limit(QUESTIONS + 1).count() > QUESTIONS:
+        raise ValueError(f"more than {QUESTIONS} questions; use hashed_bootstrap")
+    kind = dict(diffs.dtypes)[by]
+    numbers = {r[by]: i for i, r in enumerate(diffs.select(by).distinct().orderBy(by).collect())}
+    ordered = diffs.select(by, "qid", F.col("diff").cast("double").alias("diff")).orderBy(by, "qid").select(by, "diff").toArrow()
+    keys = np.array([numbers[k] for k in ordered.column(by).to_pylist()], np.int64)
+    all_values = ordered.column("diff").to_numpy()
+    values = [all_values[keys == g] for g in range(len(numbers))]
+    names = spark.createDataFrame([(g, k) for k, g in numbers.items()], f"grp int, {by} {kind}")
+    need = {g: _words(len(v), resamples) for g, v in enumerate(values)}
+    # blocks of a group differ in n only, so one run through the words serves all
+    version, words, _ = random.Random(seed).getstate()
+    twister = _stream(np.array(words, "<u4").tobytes())
+    states: list[bytes] = []
+    for _ in range(0, max(need.values(), default=0), block):
+        states.append(_state(twister))
+        twister.random_raw(block, output=False)
+    blocks = [(g, b, len(values[g]), min(block, need[g] - b * block), 0, states[b]) for g in need for b in range(-(-need[g] // block))]
+    schema = "grp int, block long, n long, size long, skip long, state binary"
+    spread = lambda rows: spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 10_000)), "grp", "block")
+    accepted = {(r["grp"], r["block"]): r["accepted"] for r in spread(blocks).mapInArrow(_counted, "grp int, block long, accepted long").collect()}  # a row a block
+    at, placed = dict.fromkeys(need, 0), []
+    for g, b, n, size, _, state in blocks:
+        placed.append((g, b, n, size, at[g], state))
+        at[g] += accepted[g, b]
+    if any(at[g] < len(values[g]) * resamples for g in need):
+        raise RuntimeError("the stream was cut too short")
+    sent = spark.sparkContext.broadcast(values)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, skip = row["n"], row["skip"]
+                drawn = _drawn(row)[: max(0, n * resamples - skip)]
+                if not len(drawn):
+                    continue
+                first = skip // n
+                starts = np.maximum(np.arange(first, (skip + len(drawn) - 1) // n + 1) * n - skip, 0)
+                sums = np.add.reduceat(sent.value[row["grp"]][drawn].astype(np.longdouble), starts)
+                high = sums.astype(np.float64)
+                k = len(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, row["grp"], np.int32)), pa.array(np.arange(first, first + k)), pa.array(high), pa.array((sums - high).astype(np.float64))], schema=_SUMS)
+
+    parts = spread(placed).mapInArrow(added, "grp int, resample long, high double, low double")
+    sizes = spark.createDataFrame([(g, len(v), float(np.sum(v.astype(np.longdouble)) / len(v))) for g, v in enumerate(values)], "grp int, n long, mean double")
+    means = parts.groupBy("grp", "resample").agg((F.sum("high") + F.sum("low")).alias("s")).join(F.broadcast(sizes), "grp").select("grp", "mean", (F.col("s") / F.col("n")).alias("m"))
+    found = means.groupBy("grp", "mean").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    opposite = F.when(F.col("mean") >= 0, F.size(F.filter("ms", lambda m: m <= 0))).otherwise(F.size(F.filter("ms", lambda m: m >= 0)))
+    low, high = (F.get("ms", F.lit(int(resamples * share))) for share in (alpha / 2, 1 - alpha / 2))
+    return found.join(F.broadcast(names), "grp").select(by, "mean", low.alias("lo"), high.alias("hi"), F.least(F.lit(1.0), 2 * opposite / resamples).alias("p"))
 
-    def resample(rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.sort_values("qid")["diff"].tolist()
-        n, rng = len(d), random.Random(seed)
-        means = sorted(sum(d[rng.randint(0, n - 1)] for _ in range(n)) / n for _ in range(resamples))
-        mean = sum(d) / n
-        opposite = sum(m <= 0 if mean >= 0 else m >= 0 for m in means) / resamples
-        return pd.DataFrame({by: [rows[by].iloc[0]], "mean": [mean], "lo": [means[int(resamples * alpha / 2)]], "hi": [means[int(resamples * (1 - alpha / 2))]], "p": [min(1.0, 2 * opposite)]})
 
-    kind = dict(diffs.dtypes)[by]
-    return diffs.groupBy(by).applyInPandas(resample, f"{by} {kind}, mean double, lo double, hi double, p double")
+def _words(n: int, resamples: int) -> int:
+    """Words that hold n * resamples draws below n, but for a chance too small to name."""
+    need, share = n * resamples, n / (1 << n.bit_length())
+    return int(need / share + 12 * (need * (1 - share)) ** 0.5 / share + 1000)
 
 
 def hashed_bootstrap(diffs: DataFrame, *, by: str = "qtype", resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
