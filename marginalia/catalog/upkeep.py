@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import facets as fx
 from ..functions.text import has_placeholder, slug
-from ..operators import audit, facet_index, lifecycle
+from ..operators import audit, facet_index, lifecycle, trigrams
 from ..plans import briefing, closing
 from ..session import configured, shared_path, table
 from ..sources import parsers, sinks
@@ -20,6 +22,10 @@ AS_OF = "2024-02-01"
 PRIMARY = 30
 
 
+#: What `indexed_search` asks: literals common and rare, one too short for the index, and expressions.
+SEARCHES = (("note-17", "literal"), ("PERSON-3 wrote of note 4", "literal"), ("q7", "literal"), (r"person-1\d wrote of note [0-4]\.", "regex"), (r"^# note \d*77$|(gone|lost)-note", "regex"))
+
+
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id")
 
@@ -139,6 +145,14 @@ def reindexed(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("collection", "is_archive", F.size(F.regexp_extract_all("content", F.lit(r"(?m)^## \[\[s-[0-9]+\]\]$"), F.lit(0))).cast("long").alias("n_entries"))
 
 
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """PR2, PF18: all lines of the vault under a trigram index, and the lines that several searches find by it."""
+    path = shared_path(spark, "trigrams")
+    trigrams.write_index(parsers.lines(vault(spark, sf), *trigrams.KEYS), path)
+    found = [trigrams.search(spark, path, query, mode).select(F.lit(query).alias("query"), "rel", F.col("line_no").cast("long").alias("line_no"), "line") for query, mode in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _closing(spark: SparkSession, sf: str) -> tuple[closing.Closing, DataFrame]:
     v = vault(spark, sf)
     c = table(spark, sf, "customer")
@@ -175,7 +189,7 @@ QUERIES = {
     "workspace_files": workspace_files, "dataset_turns": dataset_turns, "cached_texts": cached_texts, "extracted_texts": extracted_texts, "index_texts": index_texts,
     "log_prepended": log_prepended, "decisions_appended": decisions_appended, "ideas_captured": ideas_captured, "scaffold": scaffold, "placeholders": placeholders, "entry_archived": entry_archived,
     "collection_added": collection_added, "similar_collections": similar_collections, "reindexed": reindexed, "session_end": session_end, "session_end_test": session_end_test,
-    "decision_overrides": decision_overrides,
+    "decision_overrides": decision_overrides, "indexed_search": indexed_search,
 }
 QUERIES = {k: (lambda q: lambda spark, sf: q(configured(spark), sf))(v) for k, v in QUERIES.items()}
 
@@ -189,7 +203,10 @@ _NATIONS = _SLUG.format("n_name")
 _CONTENT = "SELECT conv_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '') AS c, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id"
 _PARTS = "SELECT p_partkey AS k, list_distinct(" + tok("concat_ws(' ', CASE WHEN p_partkey % 7 = 0 THEN 'replaces' END, p_name, p_type, p_brand)") + ") AS w FROM part"
 
+_SEARCHED = " UNION ALL ".join(f"SELECT '{q}' AS query, * FROM l WHERE " + (f"contains(lower(line), lower('{q}'))" if m == "literal" else f"regexp_matches(line, '(?i){q}')") for q, m in SEARCHES)
+
 ORACLES = {
+    "indexed_search": f"WITH l AS (SELECT rel, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT rel, string_split(content, chr(10)) AS ls FROM ({_ALL}))) {_SEARCHED}",
     "workspace_files": f"SELECT corpus, rel, folder, stem, content, true AS dated FROM ({_ALL}) WHERE rel NOT LIKE 'src1/%'",
     "dataset_turns": "SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations",
     "cached_texts": f"SELECT conv_id::VARCHAR AS session_id, c AS text FROM ({_CONTENT})",
