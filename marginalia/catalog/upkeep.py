@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facets as fx
 from ..functions.text import has_placeholder, slug
-from ..operators import audit, facet_index, lifecycle, trigrams
+from ..operators import audit, chains, facet_index, lifecycle, trigrams
 from ..plans import briefing, closing
 from ..session import configured, shared_path, table
 from ..sources import parsers, sinks
@@ -185,11 +185,19 @@ def decision_overrides(spark: SparkSession, sf: str) -> DataFrame:
     return audit.overrides(p.select(F.col("p_partkey").alias("ordinal"), text.alias("text"), (F.col("p_partkey") % 11 == 0).alias("struck")), similar=0.6)
 
 
+def override_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """J15, J16, PR7: every part type that later ones override, with the one that stands at the end of its chain."""
+    p = table(spark, sf, "part")
+    text = F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "replaces"), "p_name", "p_type")
+    pairs = audit.overrides(p.select(F.col("p_partkey").alias("ordinal"), text.alias("text"), F.lit(False).alias("struck")), similar=0.6)
+    return chains.ends(pairs, item="older", by="newer").select(F.col("item").alias("ordinal"), "last", "steps", F.col("cycle").isNotNull().alias("cyclic"))
+
+
 QUERIES = {
     "workspace_files": workspace_files, "dataset_turns": dataset_turns, "cached_texts": cached_texts, "extracted_texts": extracted_texts, "index_texts": index_texts,
     "log_prepended": log_prepended, "decisions_appended": decisions_appended, "ideas_captured": ideas_captured, "scaffold": scaffold, "placeholders": placeholders, "entry_archived": entry_archived,
     "collection_added": collection_added, "similar_collections": similar_collections, "reindexed": reindexed, "session_end": session_end, "session_end_test": session_end_test,
-    "decision_overrides": decision_overrides, "indexed_search": indexed_search,
+    "decision_overrides": decision_overrides, "indexed_search": indexed_search, "override_chains": override_chains,
 }
 QUERIES = {k: (lambda q: lambda spark, sf: q(configured(spark), sf))(v) for k, v in QUERIES.items()}
 
@@ -203,6 +211,7 @@ _NATIONS = _SLUG.format("n_name")
 _CONTENT = "SELECT conv_id, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn), '') AS c, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS u, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS a FROM conversations GROUP BY conv_id"
 _PARTS = "SELECT p_partkey AS k, list_distinct(" + tok("concat_ws(' ', CASE WHEN p_partkey % 7 = 0 THEN 'replaces' END, p_name, p_type, p_brand)") + ") AS w FROM part"
 
+_CHAINED = "SELECT p_partkey AS k, list_distinct(" + tok("concat_ws(' ', CASE WHEN p_partkey % 2 = 0 THEN 'replaces' END, p_name, p_type)") + ") AS w FROM part"
 _SEARCHED = " UNION ALL ".join(f"SELECT '{q}' AS query, * FROM l WHERE " + (f"contains(lower(line), lower('{q}'))" if m == "literal" else f"regexp_matches(line, '(?i){q}')") for q, m in SEARCHES)
 
 ORACLES = {
@@ -230,4 +239,6 @@ ORACLES = {
         UNION ALL SELECT '6 broken links', count(*) FROM ({VAULT['vault_broken_links']}) UNION ALL SELECT '7 due', count(*) FROM (SELECT user_id FROM events GROUP BY user_id HAVING date_diff('day', max(ts)::DATE, DATE '{AS_OF}') > 14)""",
     "session_end_test": "SELECT * FROM (VALUES ('entry on top', true), ('log within cap', true), ('log whole', true), ('decisions unique', true)) t(\"check\", ok)",
     "decision_overrides": f"WITH d AS ({_PARTS}) SELECT n.k AS newer, o.k AS older FROM d n JOIN d o ON o.k < n.k WHERE n.k % 7 = 0 AND o.k % 11 <> 0 AND 5 * len(list_intersect(n.w, o.w)) >= 3 * (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w)))",
+    "override_chains": f"""WITH RECURSIVE d AS ({_CHAINED}), f AS (SELECT o.k AS item, max(n.k) AS above FROM d n JOIN d o ON o.k < n.k WHERE n.k % 2 = 0 AND 5 * len(list_intersect(n.w, o.w)) >= 3 * (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))) GROUP BY o.k),
+        r AS (SELECT item, above AS last, 1 AS steps FROM f UNION ALL SELECT r.item, f.above, steps + 1 FROM r JOIN f ON r.last = f.item) SELECT item AS ordinal, arg_max(last, steps) AS last, max(steps)::BIGINT AS steps, false AS cyclic FROM r GROUP BY item""",
 }
