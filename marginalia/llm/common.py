@@ -77,13 +77,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def staged(df: DataFrame, name: str, *, result: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it again: work is done once and lineage is cut."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name, result=result))
+
+
+def staged_path(df: DataFrame, name: str, *by: str, result: bool = False) -> str:
+    """As `staged`, in a folder for each value of `by`; the folder of them all."""
+    path = new_path(df.sparkSession, name)
     scopes = _SCOPES.get()[: -1 if result else None]
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return path
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -22,8 +22,9 @@ of the logarithms).  The clusters select the text:
 Lines: character references are decoded, runs of white space become one
 space, ends are trimmed, empty lines are dropped, lines are joined by \n.
 
-Time is linear in the page: weights go up the tree once, and stray or missing
-end tags are found through the nearest element that they may concern.
+Time is linear in the page: weights go up the tree once, stray or missing end
+tags are found through the nearest element that they may concern, and tags
+that are never closed are closed before the parser sees them.
 
 Defined results: null html is empty; a page without a line gives an empty
 text; unclosed and stray tags are tolerated; of elements of equal weight the
@@ -66,7 +67,10 @@ SIGMA, DESCEND, STRETCH = 1.0, 0.7, 1 << 16
 WEAK, SURE = 0.25, 0.02
 _SURE_WORDS = frozenset("comment comments disqus replies respond".split())
 LINK_RUN = 3
-_CUT = re.compile(r"<[/!?A-Za-z][^<>]*$")
+#: A tag as far as its own syntax goes: quotes count after an equals sign only.
+_TAG = re.compile(r"""</?([A-Za-z][^\s/<>"'=]*)(?>[^<>=]+|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+(>?)""")
+_NEXT, _OPEN = re.compile("[<>]"), re.compile("<(?=[/!?A-Za-z])")
+_RAW = {tag: re.compile(f"</(?={tag}[\\s/>])", re.IGNORECASE) for tag in ("script", "style")}
 _PARTS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 
 
@@ -114,6 +118,46 @@ class _Line:
         self.element, self.text, self.tags, self.links = element, text, tags, links
 
 
+def settled(html: str) -> str:
+    """The page with every tag, comment and declaration closed, so no event waits for an end that may not come.
+
+    A tag that isn't closed by its own syntax ends at the next < or >, without
+    its attributes; what is still open at the page's end is no text.
+    """
+    out, copied, at = [], 0, 0
+    while found := _OPEN.search(html, at):
+        at = found.start()
+        if html.startswith(("<!", "<?"), at):
+            mark = "-->" if html.startswith("<!--", at) else ">"
+            end = html.find(mark, at + (4 if mark == "-->" else 2))
+            if end < 0:
+                return "".join(out) + html[copied:at]
+            at = end + len(mark)
+            continue
+        tag = _TAG.match(html, at)
+        if tag is None:  # a slash and no name: the parser reads up to the next > as a comment
+            end = html.find(">", at)
+            if end < 0:
+                return "".join(out) + html[copied:at]
+            at = end + 1
+            continue
+        if not tag[2]:
+            border = _NEXT.search(html, at + 1)
+            if border is None:
+                return "".join(out) + html[copied:at]
+            out += [html[copied:at], "</" if html[at + 1] == "/" else "<", tag[1], ">"]
+            copied = at = border.start() + (border[0] == ">")
+        else:
+            at = tag.end()
+        raw = _RAW.get(tag[1].lower()) if html[tag.start() + 1] != "/" else None
+        if raw:
+            end = raw.search(html, at)
+            if end is None:
+                break
+            at = end.start()
+    return "".join(out) + html[copied:]
+
+
 class PageEvents(HTMLParser):
     """Collects the elements in page order and the lines of everything that may be text."""
 
@@ -177,8 +221,6 @@ class PageEvents(HTMLParser):
                 self.linked += len(data)
 
     def finished(self) -> list[_Line]:
-        # a tag that the page's end cuts off is no text
-        self.rawdata = _CUT.sub("", self.rawdata)
         self.close()
         self._line()
         return self.lines
@@ -294,7 +336,7 @@ def region(elements: list[_Element]) -> _Element:
 
 
 def main_text(html: str) -> str:
-    events = PageEvents()
+    events, html = PageEvents(), settled(html)
     for at in range(0, len(html), STRETCH):
         events.feed(html[at : at + STRETCH])
     lines, elements = events.finished(), events.elements

@@ -106,3 +106,54 @@ def test_one_very_long_text(spark):
     long = "filler and more " * 130_000
     a, b = frames(spark, [(1, long + passage), (2, long[: (1 << 20) - 60] + " " + passage + " " + long), (3, long)], [(7, passage)])
     assert sorted((r["doc_id"], r["item_id"]) for r in d.find_overlaps(a, b).collect()) == [(1, 7), (2, 7)]
+
+
+def repeating(rng, period, n):
+    own = [f"w{rng.randrange(9)}" for _ in range(period)]
+    return [own[i % period] for i in range(n)]
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5])
+def test_repeated_words_against_brute_force(spark, period, monkeypatch):
+    """Passages and texts of few words over and over, by hits and by sweeping."""
+    rng = random.Random(period)
+    items = [(k, " ".join(repeating(rng, period, rng.randint(5, 70)))) for k in range(6)]
+    docs = []
+    for i in range(40):
+        text = repeating(rng, rng.choice([1, period, 4]), rng.randint(0, 120))
+        for _ in range(rng.randint(0, len(text) // 6)):
+            text[rng.randrange(len(text))] = "zz"
+        if rng.random() < 0.4:
+            text[len(text) // 2 : len(text) // 2] = rng.choice(items)[1].split()
+        docs.append((i, " ".join(text)))
+    want = brute(docs, items)
+    index = d.SeedIndex([(k, t.encode()) for k, t in items])
+    for sparse in (0, 10**9):
+        monkeypatch.setattr(d, "SPARSE", sparse)
+        rows = sorted(index.overlaps([t.encode() for _, t in docs], overlap=d.OVERLAP, window=d.WINDOW, band=0))
+        assert {(docs[t][0], item) for t, item, *_ in rows} == want
+        # with shifted runs counted the two ways agree as well
+        rows = sorted(index.overlaps([t.encode() for _, t in docs], overlap=d.OVERLAP, window=d.WINDOW, band=d.BAND))
+        assert want <= {(docs[t][0], item) for t, item, *_ in rows}
+        first = rows if sparse == 0 else first
+        assert rows == first
+
+
+@pytest.mark.parametrize("n, m", [(100, 2000), (400, 8000), (60, 500_000)])
+def test_repeated_words_take_no_time(n, m):
+    import time
+
+    for words in (["0"], ["0", "1"], ["a", "b", "c", "d", "e"]):
+        passage, text = " ".join((words * n)[:n]), " ".join((words * m)[: m - 7] + ["end"] * 7)
+        near = " ".join("x" if i % 9 == 4 else w for i, w in enumerate((words * n)[:n]))
+        index = d.SeedIndex([(1, passage.encode()), (2, near.encode())])
+        began = time.process_time()
+        found = list(index.overlaps([text.encode()], overlap=d.OVERLAP, window=d.WINDOW, band=d.BAND))
+        assert {f[1] for f in found} == {1, 2} and time.process_time() - began < 6
+
+
+def test_many_blocks_are_staged(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").limit(40)
+    one, many = (sorted(tuple(r) for r in d.find_overlaps(docs, items, block_words=size).collect()) for size in (d.BLOCK_WORDS, 700))
+    assert one == many and len(one) >= 3
+    assert sorted(r["doc_id"] for r in d.decontaminated(docs, items, block_words=700).collect()) == sorted(set(r["doc_id"] for r in docs.select("doc_id").collect()) - {o[0] for o in one})
