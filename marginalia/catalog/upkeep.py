@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import facets as fx
+from ..functions import patterns as P
 from ..functions.text import has_placeholder, slug
-from ..operators import audit, chains, facet_index, lifecycle, trigrams
+from ..operators import audit, chains, facet_index, graph, lifecycle, trigrams
 from ..plans import briefing, closing
 from ..session import configured, shared_path, table
 from ..sources import parsers, sinks
@@ -78,13 +79,62 @@ def extracted_texts(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def index_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """SK6: rendered index files of all orders, a collection for each customer nation."""
+def _index_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as entries, a collection for each customer nation."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     e = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("collection"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("stem"), F.col("o_orderdate").alias("mtime"), F.array(F.col("o_orderstatus")).alias("subjects"), F.array(F.col("o_custkey").cast("string"), F.lit("clerk")).alias("people"))
     empty = F.array().cast("array<string>")
-    rows = facet_index.paginated(e).withColumns({"claims": empty, "decisions": empty, "dates": F.array(F.date_format("mtime", "yyyy-MM-dd"))})
-    return facet_index.rendered(rows).select("collection", "is_archive", F.sha2("content", 256).alias("content_sha256"))
+    return facet_index.paginated(e).withColumns({"claims": empty, "decisions": empty, "dates": F.array(F.date_format("mtime", "yyyy-MM-dd"))})
+
+
+def index_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """SK6: rendered index files."""
+    return facet_index.rendered(_index_rows(spark, sf)).select("collection", "is_archive", F.sha2("content", 256).alias("content_sha256"))
+
+
+def index_files_written(spark: SparkSession, sf: str) -> DataFrame:
+    """SK6: the same index files written entry by entry, and read back from the tree."""
+    path = shared_path(spark, "indexes")
+    sinks.write_pieces(facet_index.rendered_pieces(_index_rows(spark, sf)), path, "place", between="\n\n")
+    files = read_corpus(spark, path)
+    return files.select(F.col("folder").cast("long").alias("collection"), (F.col("base") == P.INDEX_FILES[1]).alias("is_archive"), F.sha2("content", 256).alias("content_sha256"))
+
+
+def graph_file_written(spark: SparkSession, sf: str) -> DataFrame:
+    """SK1, SK2: the graph report of the vault written line by line, and its lines as they are in the file."""
+    path = shared_path(spark, "graph")
+    report = graph.report(vault(spark, sf)).select(F.lit("memory/.graph.md").alias("rel"), "ordinal", F.col("line").alias("content"))
+    sinks.write_pieces(report, path, "ordinal")
+    return parsers.lines(read_corpus(spark, path), "rel").select(F.col("line_no").cast("int").alias("ordinal"), "line")
+
+
+def registry_written(spark: SparkSession, sf: str) -> DataFrame:
+    """SK3, SC5: all customers as sources of a registry, the file written block by block and parsed again."""
+    c = table(spark, sf, "customer").select(F.regexp_replace("c_name", "[^A-Za-z0-9]+", "-").alias("name"), F.concat(F.lit("/srv/"), F.col("c_custkey").cast("string")).alias("path"), F.lit(AS_OF).alias("registered"), (F.col("c_custkey") % 3 > 0).alias("searchable"))
+    path = shared_path(spark, "registry")
+    sinks.write_pieces(sinks.registry_pieces(c), path, "name", between="\n\n")
+    return parsers.registry(read_corpus(spark, path)).select("name", "path", "registered", "searchable")
+
+
+def reindexed_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """PR13: the entries that the index files of all conversations have, in their order."""
+    files = _reindexed(spark, sf)
+    heads = F.regexp_extract_all("content", F.lit(r"(?m)^## \[\[(s-[0-9]+)\]\]$"), F.lit(1))
+    return files.select("collection", "is_archive", F.posexplode(heads).alias("at", "stem")).select("collection", "is_archive", F.col("at").cast("long").alias("at"), "stem")
+
+
+def session_end_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """PR6: (step, key, value): the rows that closing a session writes or reports, not their number."""
+    made, _ = _closing(spark, sf)
+    row = lambda df, step, key, value: df.select(F.lit(step).alias("step"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+    parts = [
+        row(made.status, "1 status", F.col("rel"), F.col("content")),
+        row(made.log, "2 log", F.col("ordinal"), F.concat_ws(" ", "text", F.when(F.col("archived"), "archived").otherwise("kept"))),
+        row(made.decisions, "4 decisions", F.col("ordinal"), F.concat_ws(" ", F.col("date").cast("string"), "text")),
+        row(made.refreshed.filter("refresh"), "5 index", F.concat_ws("/", "collection", "stem"), F.lit("refreshed")),
+        row(made.due.filter("due"), "7 due", F.col("op"), F.col("days")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def log_prepended(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,12 +187,16 @@ def similar_collections(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.similar_slugs(hubs, "Nation 1").select("folder", F.col("distance").cast("long").alias("distance"))
 
 
-def reindexed(spark: SparkSession, sf: str) -> DataFrame:
-    """PR13: index files of all conversations, twenty collections; entries in each."""
+def _reindexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Index files of all conversations, twenty collections."""
     turns = _turns(spark, sf)
     placed = turns.select("session_id").distinct().select("session_id", F.concat(F.lit("hub-"), (F.col("session_id") % 20).cast("string")).alias("collection"), F.concat(F.lit("s-"), F.col("session_id").cast("string")).alias("stem"), F.timestamp_seconds("session_id").alias("mtime"))
-    files = briefing.reindexed(turns, placed, PRIMARY)
-    return files.select("collection", "is_archive", F.size(F.regexp_extract_all("content", F.lit(r"(?m)^## \[\[s-[0-9]+\]\]$"), F.lit(0))).cast("long").alias("n_entries"))
+    return briefing.reindexed(turns, placed, PRIMARY)
+
+
+def reindexed(spark: SparkSession, sf: str) -> DataFrame:
+    """PR13: entries in each index file."""
+    return _reindexed(spark, sf).select("collection", "is_archive", F.size(F.regexp_extract_all("content", F.lit(r"(?m)^## \[\[s-[0-9]+\]\]$"), F.lit(0))).cast("long").alias("n_entries"))
 
 
 def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,6 +252,7 @@ QUERIES = {
     "log_prepended": log_prepended, "decisions_appended": decisions_appended, "ideas_captured": ideas_captured, "scaffold": scaffold, "placeholders": placeholders, "entry_archived": entry_archived,
     "collection_added": collection_added, "similar_collections": similar_collections, "reindexed": reindexed, "session_end": session_end, "session_end_test": session_end_test,
     "decision_overrides": decision_overrides, "indexed_search": indexed_search, "override_chains": override_chains,
+    "index_files_written": index_files_written, "graph_file_written": graph_file_written, "registry_written": registry_written, "reindexed_entries": reindexed_entries, "session_end_rows": session_end_rows,
 }
 QUERIES = {k: (lambda q: lambda spark, sf: q(configured(spark), sf))(v) for k, v in QUERIES.items()}
 
@@ -241,4 +296,13 @@ ORACLES = {
     "decision_overrides": f"WITH d AS ({_PARTS}) SELECT n.k AS newer, o.k AS older FROM d n JOIN d o ON o.k < n.k WHERE n.k % 7 = 0 AND o.k % 11 <> 0 AND 5 * len(list_intersect(n.w, o.w)) >= 3 * (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w)))",
     "override_chains": f"""WITH RECURSIVE d AS ({_CHAINED}), f AS (SELECT o.k AS item, max(n.k) AS above FROM d n JOIN d o ON o.k < n.k WHERE n.k % 2 = 0 AND 5 * len(list_intersect(n.w, o.w)) >= 3 * (len(n.w) + len(o.w) - len(list_intersect(n.w, o.w))) GROUP BY o.k),
         r AS (SELECT item, above AS last, 1 AS steps FROM f UNION ALL SELECT r.item, f.above, steps + 1 FROM r JOIN f ON r.last = f.item) SELECT item AS ordinal, arg_max(last, steps) AS last, max(steps)::BIGINT AS steps, false AS cyclic FROM r GROUP BY item""",
+    "graph_file_written": f"SELECT ordinal, line FROM ({VAULT['vault_graph_report']})",
+    "registry_written": f"SELECT regexp_replace(c_name, '[^A-Za-z0-9]+', '-', 'g') AS name, '/srv/' || c_custkey AS path, '{AS_OF}' AS registered, c_custkey % 3 > 0 AS searchable FROM customer",
+    "reindexed_entries": "WITH p AS (SELECT DISTINCT conv_id FROM conversations), e AS (SELECT 'hub-' || conv_id % 20 AS collection, 's-' || conv_id AS stem, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id DESC) AS place FROM p) SELECT collection, place > 30 AS is_archive, place - 1 - CASE WHEN place > 30 THEN 30 ELSE 0 END AS at, stem FROM e",
+    "session_end_rows": f"""SELECT '1 status' AS step, 'c' || c_custkey AS key, '# Status' || chr(10) || 'Last updated: 2024-01-02' || chr(10) || c_name || ' moved' AS value FROM customer WHERE c_custkey % 5 = 0
+        UNION ALL SELECT '2 log', (event_id + 2)::VARCHAR, event_type || CASE WHEN event_id + 2 > 10 THEN ' archived' ELSE ' kept' END FROM events UNION ALL SELECT '2 log', '1', 'this session kept'
+        UNION ALL SELECT '4 decisions', o_orderkey::VARCHAR, o_orderdate::DATE || ' ' || o_orderstatus FROM orders UNION ALL SELECT '4 decisions', (max(o_orderkey) + 1)::VARCHAR, '2030-01-01 x' FROM orders
+        UNION ALL SELECT '5 index', folder || '/' || stem, 'refreshed' FROM ({_ALL}) f LEFT JOIN (SELECT folder, mtime + INTERVAL 1 HOUR AS at FROM ({_ALL}) WHERE base = '_CLOSETS.md') i USING (folder) WHERE i.at IS NULL OR f.mtime > i.at
+        UNION ALL SELECT '7 due', 'user-' || user_id, date_diff('day', max(ts)::DATE, DATE '{AS_OF}')::VARCHAR FROM events GROUP BY user_id HAVING date_diff('day', max(ts)::DATE, DATE '{AS_OF}') > 14""",
 }
+ORACLES["index_files_written"] = ORACLES["index_texts"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 PRIMARY, RECENT = 30, 5
 
 
@@ -42,9 +44,18 @@ def refresh_counters(marked: DataFrame, primary: int = PRIMARY) -> DataFrame:
     return per.agg(F.count("*").alias("hubs"), F.sum("n").alias("files"), F.sum("r").alias("refreshed"), F.sum(F.col("n") - F.col("r")).alias("skipped"), F.sum(F.greatest(F.col("n") - primary, F.lit(0))).alias("archived"))
 
 
+def _block() -> Column:
+    line = lambda f, sep: F.when(F.size(f) > 0, F.concat(F.lit(f"- {f}: "), F.array_join(f, sep)))
+    return F.concat_ws("\n", F.concat(F.lit("## [["), "stem", F.lit("]]")), line("subjects", ", "), line("people", ", "), line("claims", ", "), line("decisions", ", "), line("dates", ", "))
+
+
 def rendered(facet_rows: DataFrame) -> DataFrame:
     """SK6: (collection, is_archive, content) index files of paginated rows (collection, stem, place, is_archive and field arrays)."""
-    line = lambda f, sep: F.when(F.size(f) > 0, F.concat(F.lit(f"- {f}: "), F.array_join(f, sep)))
-    block = F.concat_ws("\n", F.concat(F.lit("## [["), "stem", F.lit("]]")), line("subjects", ", "), line("people", ", "), line("claims", ", "), line("decisions", ", "), line("dates", ", "))
-    ordered = F.array_sort(F.collect_list(F.struct("place", block.alias("block"))))
+    ordered = F.array_sort(F.collect_list(F.struct("place", _block().alias("block"))))
     return facet_rows.groupBy("collection", "is_archive").agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n").alias("content"))
+
+
+def rendered_pieces(facet_rows: DataFrame) -> DataFrame:
+    """SK6: (rel, place, content): the same files in pieces for `write_pieces`, an entry each, whatever the size of an archive."""
+    name = F.when(F.col("is_archive"), P.INDEX_FILES[1]).otherwise(P.INDEX_FILES[0])
+    return facet_rows.select(F.concat(F.col("collection").cast("string"), F.lit("/"), name).alias("rel"), "place", _block().alias("content"))

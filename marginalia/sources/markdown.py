@@ -163,6 +163,7 @@ class _Writer(DataSourceWriter):
             raise ValueError("a tree is written from the columns rel and content")
         self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.last = options.get("last", "_MANIFEST.md")
+        self.between = options.get("between")
         self.job = WRITING + uuid.uuid4().hex
         system, root = opened(self.path)
         system.create_dir(f"{root}/{self.job}", recursive=True)
@@ -172,23 +173,30 @@ class _Writer(DataSourceWriter):
         own = f"{root}/{self.job}/{uuid.uuid4().hex}"
         # folders are made one by one, so a task that outlives its job finds none to write to
         system.create_dir(own, recursive=False)
-        made, n = {own}, 0
+        made, n, last, out = {own}, 0, None, None
         with system.open_output_stream(f"{own}.notes", compression=None) as notes:
             for row in iterator:
                 rel, content = row["rel"], row["content"]
                 if content is None:
                     continue
+                if rel == last and self.between is not None:
+                    out.write((self.between + content).encode())
+                    continue
                 if not rel or any(p in ("", ".", "..") for p in rel.split("/")):
                     raise ValueError(f"{rel!r} is no path inside a tree")
+                if out is not None:
+                    out.close()
                 for at in range(len(own) + 1, len(own) + 2 + rel.rfind("/")):
                     where = f"{own}/{rel}"[:at]
                     if f"{own}/{rel}"[at] == "/" and where not in made:
                         system.create_dir(where, recursive=False)
                         made.add(where)
-                with system.open_output_stream(f"{own}/{rel}", compression=None) as out:
-                    out.write(content.encode())
+                last, out = rel, system.open_output_stream(f"{own}/{rel}", compression=None)
+                out.write(content.encode())
                 notes.write(json.dumps(rel).encode() + b"\n")
                 n += 1
+            if out is not None:
+                out.close()
         return _Written(own, n)
 
     def commit(self, messages: list[_Written | None]) -> None:
@@ -238,7 +246,12 @@ class _Writer(DataSourceWriter):
 
 
 class CorpusSource(DataSource):
-    """format("corpus"): options path, corpus, suffix, skip (comma-separated prefixes), listed, settle (seconds), last (name written last)."""
+    """format("corpus"): options path, corpus, suffix, skip (comma-separated prefixes), listed, settle (seconds), last (name written last), between.
+
+    With `between`, rows of one path that follow each other in a partition are
+    pieces of one file, with that text between them; so a file may be longer
+    than a row can be.
+    """
 
     @classmethod
     def name(cls) -> str:

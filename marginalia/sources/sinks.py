@@ -21,6 +21,24 @@ def write_texts(files: DataFrame, root: str, *, overwrite: bool = False) -> None
     files.select("rel", "content").write.format("corpus").mode("overwrite" if overwrite else "append").save(root)
 
 
+def write_pieces(pieces: DataFrame, root: str, *order: str, between: str = "\n", overwrite: bool = False) -> None:
+    """Text files of (rel, content, order...): the pieces of a file in order, with `between` between them.
+
+    A file is one stream, so one task writes it, a piece at a time; neither its
+    size nor the number of its pieces is held anywhere.
+    """
+    pieces.sparkSession.dataSource.register(CorpusSource)
+    rows = pieces.select("rel", "content", *order).repartition("rel").sortWithinPartitions("rel", *order)
+    rows.select("rel", "content").write.format("corpus").option("between", between).mode("overwrite" if overwrite else "append").save(root)
+
+
+def registry_pieces(registry: DataFrame, rel: str = "sources.md") -> DataFrame:
+    """SK3: the whole registry as pieces of one file, to be parted by empty lines."""
+    head = registry.sparkSession.createDataFrame([(rel, "", "# Sources")], "rel string, name string, content string")
+    block = F.concat_ws("\n", F.concat(F.lit("## "), "name"), F.concat(F.lit("- path: "), "path"), F.concat(F.lit("- registered: "), "registered"), F.concat(F.lit("- searchable: "), F.col("searchable").cast("string")))
+    return head.unionByName(registry.select(F.lit(rel).alias("rel"), "name", block.alias("content")))
+
+
 def registry_text(registry: DataFrame) -> DataFrame:
     """SK3: the whole registry as one text."""
     block = F.concat_ws("\n", F.concat(F.lit("## "), "name"), F.concat(F.lit("- path: "), "path"), F.concat(F.lit("- registered: "), "registered"), F.concat(F.lit("- searchable: "), F.col("searchable").cast("string")))

@@ -157,3 +157,20 @@ def test_whole_vault_is_written(spark):
     made = vault(configured(spark), sf).filter(~F.col("rel").startswith("src1/"))
     assert workspace_files(spark, sf).count() == made.count() > 100
     assert isinstance(CorpusSource.name(), str)
+
+
+def test_files_in_pieces(spark, tmp_path):
+    """A file of more pieces than a task's batch, beside small ones; pieces are in order whatever their order was."""
+    pieces = [("long.md", i, f"line {i}") for i in range(30_000)] + [("a/b.md", 2, "second"), ("a/b.md", 1, "first"), ("a/c.md", 1, ""), ("a/c.md", 2, "x"), ("n.md", 1, None)]
+    frame = spark.createDataFrame(pieces, "rel string, at int, content string").repartition(6)
+    sinks.write_pieces(frame, str(tmp_path / "out"), "at")
+    assert all_files(tmp_path / "out") == ["a/b.md", "a/c.md", "long.md"]
+    assert (tmp_path / "out/long.md").read_text() == "\n".join(f"line {i}" for i in range(30_000))
+    assert (tmp_path / "out/a/b.md").read_text() == "first\nsecond" and (tmp_path / "out/a/c.md").read_text() == "\nx"
+
+
+def test_registry_in_pieces_reads_back(spark, tmp_path):
+    rows = [("b", "/srv/b", "2026-01-01", True), ("a", "/srv/a", "", False)]
+    registry = spark.createDataFrame(rows, "name string, path string, registered string, searchable boolean")
+    sinks.write_pieces(sinks.registry_pieces(registry), str(tmp_path / "out"), "name", between="\n\n")
+    assert (tmp_path / "out/sources.md").read_text() + "\n" == sinks.registry_text(registry).first()["content"]
