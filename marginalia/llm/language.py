@@ -11,7 +11,7 @@ expectation-maximisation, with the expected piece counts of the forward and
 backward sums.
 
 Words are runs of letters and the marks that belong to them, lower-cased; all
-else parts words.  Scoring moves no rows: it is one narrow pass.  The scores of
+else parts words.  Very long words are scored whole, in bounded memory.  Scoring moves no rows: it is one narrow pass.  The scores of
 the most frequent words are sent to all tasks, other words are scored where
 they occur, with a bounded cache.
 
@@ -47,10 +47,12 @@ SMOOTHING = 0.5
 ROUNDS = 1
 #: Least probability of a piece: LONG of them in a row are still a normal double; longer words are rescaled on the way.
 FLOOR, LONG = 1e-9, 32
-#: With so many languages a model has 250 MB.
-MAX_LANGUAGES = 1000
-#: Words whose scores are sent to all tasks, and words in a task's own cache.
-KNOWN_WORDS, CACHE_WORDS = 200_000, 300_000
+#: With so many languages a model has 125 MB.
+MAX_LANGUAGES = 500
+#: Words whose scores are sent to all tasks, of at most so many bytes, and words in a task's own cache.
+KNOWN_WORDS, KNOWN_BYTES, CACHE_WORDS = 200_000, 256, 300_000
+#: Longer words are scored by blocks of so many positions; when learning they count as stretches of that length.
+WHOLE, BLOCK = 4096, 512
 #: Words in a lattice at a time, and positions times words times languages.
 CHUNK, CELLS = 2000, 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -74,6 +76,7 @@ class Vocabulary:
                 self.prefix.setdefault(piece[:k], -1)
             self.prefix[piece] = self.row[i]
         self.size = len(plain)
+        self.longest = max(map(len, self.prefix))
         self.unknown = self.size  # one more row, alike in all languages
 
 
@@ -218,6 +221,76 @@ class Lattice:
         return np.stack([np.bincount(self.piece, weights=c, minlength=len(table)) for c in p.T], axis=1)
 
 
+def blocked_likelihood(word: str, own: Vocabulary, table: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """As `Lattice.likelihood` for one word of any length, in memory that does not grow with it.
+
+    The sum at a position needs those of the `longest` positions before it
+    only, and is linear in them.  So a block of positions is a matrix from the
+    sums before it to its last ones; the matrices of many blocks are made side
+    by side, and then applied one after the other.
+    """
+    reach, languages = own.longest, table.shape[1]
+    many = max(1, min(256, 4 * CELLS // (reach * reach * languages)))
+    sums, logs = np.zeros((reach, languages)), np.zeros(languages)
+    sums[0] = 1  # by position modulo `reach`; before the word there is nothing
+    base = 0
+    while base < len(word):
+        left = len(word) - base
+        size, n = (block, min(many, left // block)) if left >= block else (left, 1)
+        who, end, length, piece = [], [], [], []
+        for k in range(n):
+            first = base + k * size
+            # pieces that end in the block, also those that begin before it
+            for i in range(max(0, first - reach + 1), first + size):
+                single = False
+                for j in range(i + 1, min(first + size, i + reach) + 1):
+                    row = own.prefix.get(word[i:j])
+                    if row is None:
+                        break
+                    if row >= 0 and j > first:
+                        who.append(k), end.append(j - first), length.append(j - i), piece.append(row)
+                        single |= j == i + 1
+                if not single and i >= first and own.prefix.get(word[i], -1) < 0:
+                    who.append(k), end.append(i + 1 - first), length.append(1), piece.append(own.unknown)
+        who, end, length, piece = (np.array(x, dtype=np.int64) for x in (who, end, length, piece))
+        order = np.lexsort((who, end))
+        who, end, length, piece = who[order], end[order], length[order], piece[order]
+        edge = np.searchsorted(end, np.arange(1, size + 2))
+        # positions relative to the block, modulo `reach`; each of those before it is a start of its own
+        ring, scale = np.zeros((n, reach, reach, languages)), np.zeros((n, languages))
+        ring[:, np.arange(reach), np.arange(reach)] = 1
+        for j in range(1, size + 1):
+            a, b = edge[j - 1], edge[j]
+            terms = ring[who[a:b], (j - length[a:b]) % reach] * table[piece[a:b], None]
+            own_who = who[a:b]
+            ring[:, j % reach] = np.add.reduceat(terms, np.flatnonzero(np.concatenate([[True], own_who[1:] != own_who[:-1]])), axis=0)
+            if j % 8 == 0:
+                most = ring.max(axis=(1, 2))
+                ring /= most[:, None, None]
+                scale += np.log(most)
+        for k in range(n):
+            # starts are by position modulo `reach` from the block on, as sums are
+            sums = np.einsum("ouc,uc->oc", ring[k], sums)
+            most = sums.max(axis=0)
+            sums /= most
+            logs += np.log(most) + scale[k]
+            sums = np.roll(sums, -size, axis=0)
+        base += n * size
+    return logs + np.log(sums[0])
+
+
+def scored_words(words: list[str], own: Vocabulary, table: np.ndarray) -> np.ndarray:
+    """Log likelihoods of words of any length, by language."""
+    out = np.zeros((len(words), table.shape[1]))
+    short = np.array([k for k, w in enumerate(words) if len(w) <= WHOLE], dtype=np.int64)
+    for places, lattice in lattices([words[k] for k in short], own, table.shape[1]):
+        out[short[places]] = lattice.likelihood(table)
+    for k, word in enumerate(words):
+        if len(word) > WHOLE:
+            out[k] = blocked_likelihood(word, own, table)
+    return out
+
+
 def lattices(words: list[str], own: Vocabulary, languages: int) -> Iterator[tuple[np.ndarray, Lattice]]:
     """(places, lattice) of batches of words of like length."""
     lengths = np.array([len(w) for w in words])
@@ -238,8 +311,8 @@ def lattices(words: list[str], own: Vocabulary, languages: int) -> Iterator[tupl
 def _piece_table(counted: DataFrame, size: int, languages: int) -> np.ndarray:
     """Probabilities from (piece, counts by language) sums; one row a piece."""
     table = np.full((size, languages), SMOOTHING)
-    for row in counted.collect():
-        table[row["piece"]] += row["counts"]
+    for batch in counted.toArrow().to_batches():
+        table[batch.column("piece").to_numpy()] += np.asarray(batch.column("counts").flatten()).reshape(-1, languages)
     table = np.maximum(table / table.sum(axis=0), FLOOR)
     table[-1] = FLOOR
     return table
@@ -265,8 +338,10 @@ def count_pieces(words: DataFrame, vocabulary_path: str, languages: int, table:
                 weights = np.repeat(counts, [len(one) for one in ids], axis=0)
                 sums[:] += np.stack([np.bincount(rows, weights=c, minlength=size) for c in weights.T], axis=1)
             else:
-                for places, lattice in lattices(spellings, own, languages):
-                    sums[:] += lattice.expected(sent.value, counts[places])
+                stretches = [(w[i : i + WHOLE], k) for k, w in enumerate(spellings) for i in range(0, len(w), WHOLE)]
+                owner = np.array([k for _, k in stretches], dtype=np.int64)
+                for places, lattice in lattices([w for w, _ in stretches], own, languages):
+                    sums[:] += lattice.expected(sent.value, counts[owner[places]])
 
         for batch in batches:
             words += batch.column("word").to_pylist()
@@ -308,15 +383,13 @@ def learn(docs: DataFrame, vocabulary_path: str, *, rounds: int = ROUNDS, known:
         table = None
         for _ in range(rounds + 1):
             table = _piece_table(count_pieces(words, vocabulary_path, len(languages), table), own.size + 1, len(languages))
-        top = words.orderBy(F.desc("total"), "word").limit(known).select("word")
+        top = words.filter(F.length("word") <= KNOWN_BYTES).orderBy(F.desc("total"), "word").limit(known).select("word")
         sent = words.sparkSession.sparkContext.broadcast(table)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = vocabulary(vocabulary_path)
             for batch in batches:
-                logs = np.zeros((batch.num_rows, len(languages)))
-                for places, lattice in lattices([spelled(w) for w in batch.column("word").to_pylist()], own, len(languages)):
-                    logs[places] = lattice.likelihood(sent.value)
+                logs = scored_words([spelled(w) for w in batch.column("word").to_pylist()], own, sent.value)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(list(logs), pa.list_(pa.float64()))], names=["word", "scores"])
 
         scored = top.repartition(16).mapInArrow(score, "word binary, scores array<double>").toArrow()
@@ -338,8 +411,7 @@ class Scorer:
         base = len(rows)
         while base + len(missing) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        for places, lattice in lattices([spelled(w) for w in missing], self.own, self.model.table.shape[1]):
-            self.scores[base + places] = lattice.likelihood(self.model.table)
+        self.scores[base : base + len(missing)] = scored_words([spelled(w) for w in missing], self.own, self.model.table)
         rows.update((w, base + k) for k, w in enumerate(missing))
         get = rows.__getitem__
         return [self.scores[np.fromiter(map(get, own), dtype=np.int64, count=len(own))].sum(axis=0) for own in words]

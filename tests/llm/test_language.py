@@ -172,3 +172,45 @@ def test_odd_rows(spark, odd, empty):
 def test_held_out_rule(spark, doc, held):
     row = spark.createDataFrame([(doc,)], "d long").select(language.held_out(F.col("d")).alias("h")).first()
     assert row["h"] == (zlib.crc32(str(doc).encode()) % 4 == 2 if doc is not None else held)
+
+
+def long_words(rng, n):
+    """Runs of letters: of words strung together, of one letter, and of letters no piece has."""
+    parts = ["ing", "the", "tion", "q", "zx", "é", "語", "a", "und", "ﬃ"]
+    return ["▁" + "".join(rng.choice(parts) for _ in range(n)), "▁" + "a" * n, "▁" + "語" * n, "▁" + "ab" * n, "▁"]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 512])
+def test_blocks_give_the_sum_over_all_segmentations(block):
+    rng = np.random.default_rng(2)
+    own = language.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    table = np.maximum(rng.dirichlet(np.ones(own.size + 1) * 0.1, 3).T, language.FLOOR)
+    for n in (1, 5, 40, 700):
+        for word in long_words(random.Random(n), n):
+            _, lattice = next(language.lattices([word], own, 3))
+            assert np.allclose(language.blocked_likelihood(word, own, table, block), lattice.likelihood(table)[0], rtol=1e-9)
+
+
+def test_very_long_words_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    own = language.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    table = np.full((own.size + 1, 5), 1 / own.size)
+    word = "".join(random.Random(3).choices("etaoinshr", k=1_000_000))
+    began = time.process_time()
+    logs = language.blocked_likelihood(word, own, table)
+    assert np.isfinite(logs).all() and time.process_time() - began < 15
+    tracemalloc.start()
+    language.blocked_likelihood(word[:300_000], own, table)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_a_very_long_word_among_documents(spark):
+    rows = [(i, lang, w * 30) for i, (lang, w) in enumerate([("en", "the thing and that "), ("de", "und nicht der die ")] * 20)] + [(100, "en", "thethingandthat" * 3000), (101, None, "undnichtderdie" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.learn(docs, public_tokenizer("piece_bpe_32k.model"))
+    assert max(map(len, model.words)) <= language.KNOWN_BYTES
+    found = {r["record"]["doc_id"]: r["lang_pred"] for r in language.identify(docs, model, public_tokenizer("piece_bpe_32k.model")).collect()}
+    assert found[100] == "en" and found[101] == "de"
