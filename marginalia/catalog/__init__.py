@@ -1,6 +1,6 @@
 """All registered queries of the engine with their DuckDB equivalents."""
 
-from . import corpora, retrieval, tables, upkeep, vault
+from . import corpora, ledgers, retrieval, tables, upkeep, vault
 
-QUERIES = {**retrieval.QUERIES, **tables.QUERIES, **corpora.QUERIES, **vault.QUERIES, **upkeep.QUERIES}
-ORACLES = {**retrieval.ORACLES, **tables.ORACLES, **corpora.ORACLES, **vault.ORACLES, **upkeep.ORACLES}
+QUERIES = {**retrieval.QUERIES, **tables.QUERIES, **corpora.QUERIES, **vault.QUERIES, **upkeep.QUERIES, **ledgers.QUERIES}
+ORACLES = {**retrieval.ORACLES, **tables.ORACLES, **corpora.ORACLES, **vault.ORACLES, **upkeep.ORACLES, **ledgers.ORACLES}
