@@ -68,6 +68,25 @@ def cached_texts(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.cache(spark, path)
 
 
+def cache_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """SC12, SK5, ST7: a cache filled in steps by a run that breaks off at its third, and by the run after it."""
+    path, turns, done = shared_path(spark, "cache"), _turns(spark, sf).withColumn("session_id", F.col("session_id").cast("string")), []
+
+    def extract(rows: DataFrame) -> DataFrame:
+        if len(done) == 2:
+            done.append(0)
+            raise InterruptedError
+        done.append(1)
+        return fx.extracted(rows, "content").select("session_id", "text")
+
+    every = max(1, turns.select("session_id").distinct().count() // 4)
+    try:
+        sinks.fill_cache(turns, path, extract, every=every)
+    except InterruptedError:
+        sinks.fill_cache(turns, path, extract, every=every)
+    return parsers.cache(spark, path)
+
+
 def extracted_texts(spark: SparkSession, sf: str) -> DataFrame:
     """EX1-EX4: (extractor, sessions with a text, characters); the summaries of a supplied table for the odd sessions only."""
     turns = _turns(spark, sf)
@@ -248,7 +267,7 @@ def override_chains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "workspace_files": workspace_files, "dataset_turns": dataset_turns, "cached_texts": cached_texts, "extracted_texts": extracted_texts, "index_texts": index_texts,
+    "workspace_files": workspace_files, "dataset_turns": dataset_turns, "cached_texts": cached_texts, "cache_resumed": cache_resumed, "extracted_texts": extracted_texts, "index_texts": index_texts,
     "log_prepended": log_prepended, "decisions_appended": decisions_appended, "ideas_captured": ideas_captured, "scaffold": scaffold, "placeholders": placeholders, "entry_archived": entry_archived,
     "collection_added": collection_added, "similar_collections": similar_collections, "reindexed": reindexed, "session_end": session_end, "session_end_test": session_end_test,
     "decision_overrides": decision_overrides, "indexed_search": indexed_search, "override_chains": override_chains,
@@ -306,3 +325,4 @@ ORACLES = {
         UNION ALL SELECT '7 due', 'user-' || user_id, date_diff('day', max(ts)::DATE, DATE '{AS_OF}')::VARCHAR FROM events GROUP BY user_id HAVING date_diff('day', max(ts)::DATE, DATE '{AS_OF}') > 14""",
 }
 ORACLES["index_files_written"] = ORACLES["index_texts"]
+ORACLES["cache_resumed"] = ORACLES["cached_texts"]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 from .markdown import CorpusSource
 
 
@@ -55,6 +60,28 @@ def write_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def fill_cache(work: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame], *, every: int = 100_000, key: str = "session_id") -> int:
+    """SK5, ST7: extract what the cache lacks, in steps of some `every` keys that are kept one by one; the number of steps.
+
+    `extract` makes (session_id, text) of a part of `work`.  A run that breaks
+    off has lost its last step only: the next one begins with what is missing.
+    Parts are by a hash of the key, so all rows of a key are in one.
+    """
+    spark = work.sparkSession
+    try:
+        there = spark.read.parquet(path).select("session_id")
+    except AnalysisException:
+        there = None
+    missing = work if there is None else work.join(there.select(F.col("session_id").alias(key)).distinct(), key, "left_anti")
+    # the keys are settled, as the cache that they are compared with grows on the way
+    keys = settled(missing.select(key).distinct())
+    steps = -(-keys.count() // every)
+    for step in range(steps):
+        own = keys.filter(F.pmod(F.xxhash64(key), F.lit(steps)) == step)
+        write_cache(extract(work.join(own, key, "left_semi")), path)
+    return steps
+
+
 def run_line(ts: Column, counters: Column, status: Column) -> Column:
     """SK7: time, counters in key order, status."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries(counters)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import graph, links, search
@@ -97,3 +98,24 @@ def test_writers(spark, tmp_path):
     sinks.write_results(spark.createDataFrame([("x", 1)], "strategy string, v int"), str(tmp_path / "res"))
     assert parsers.cache(spark, str(tmp_path / "cache")).count() == 1
     assert spark.read.parquet(str(tmp_path / "res")).filter(F.col("strategy") == "x").count() == 1
+
+
+def test_a_cache_is_filled_in_steps_and_resumed(spark, tmp_path):
+    path, work = str(tmp_path / "cache"), spark.createDataFrame([(f"s{i % 30}", i) for i in range(60)], "session_id string, n int")
+    calls = []
+
+    def extract(rows):
+        if len(calls) == 2:
+            raise InterruptedError
+        calls.append(rows.count())
+        return rows.groupBy("session_id").agg(F.sum("n").cast("string").alias("text"))
+
+    with pytest.raises(InterruptedError):
+        sinks.fill_cache(work, path, extract, every=6)
+    kept = parsers.cache(spark, path).count()
+    assert 0 < kept < 30 and 2 * kept == sum(calls)
+    calls[:] = [0] * 9
+    steps = sinks.fill_cache(work, path, extract, every=6)
+    assert steps == -(-(30 - kept) // 6) and sum(calls) == 60 - 2 * kept
+    assert {(r["session_id"], r["text"]) for r in parsers.cache(spark, path).collect()} == {(f"s{i}", str(2 * i + 30)) for i in range(30)}
+    assert sinks.fill_cache(work, path, extract, every=6) == 0
