@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from marginalia.catalog import ORACLES, QUERIES
+from marginalia import catalog
 
+QUERIES, ORACLES = catalog.QUERIES | catalog.HAND_QUERIES, catalog.ORACLES | catalog.HAND_ORACLES
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -39,3 +40,7 @@ def test_runs(spark, name):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_what_only_tests_run_has_a_twin_over_the_tables():
+    assert set(catalog.TWINS.values()) <= set(catalog.QUERIES) and not set(catalog.TWINS) & set(catalog.QUERIES)
