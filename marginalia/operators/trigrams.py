@@ -59,7 +59,8 @@ def write_index(lines: DataFrame, path: str, batch: int = 0) -> None:
     pairs = written.select("block", F.explode(trigrams(F.col("line"))).alias("tri")).distinct()
     number = F.bitmap_bucket_number("block").cast("int")
     postings = pairs.groupBy("tri", number.alias("segment")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("block")).alias("blocks"))
-    postings = postings.withColumn("bucket", _bucket(F.col("tri"))).repartition("bucket").sortWithinPartitions("bucket", "tri", "segment")
+    # a file for each bucket and segment, so there are more as the lines grow
+    postings = postings.withColumn("bucket", _bucket(F.col("tri"))).repartition("bucket", "segment").sortWithinPartitions("bucket", "tri", "segment")
     postings.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings/batch={batch}")
     kept.select("corpus", "rel").distinct().write.mode("overwrite").parquet(f"{path}/names/batch={batch}")
 

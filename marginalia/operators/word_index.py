@@ -30,7 +30,7 @@ from ..functions.text import tokens
 from ..session import settled
 from .ranking import B, BROADCAST_ROWS, EPSILON, K1, PLACES, _idf, best, term_counts
 
-BLOCK_DOCS, BUCKETS = 1024, 64
+BLOCK_DOCS, BUCKETS, FILE_BLOCKS = 1024, 64, 256
 #: A question's blocks that are read first; their documents give the score to beat.
 FIRST_BLOCKS = 4
 #: Tokens named in a filter, which skips row groups; more are joined.
@@ -51,7 +51,8 @@ def add_documents(documents: DataFrame, path: str, batch: int = 0, *, block_docs
     counted = settled(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")))
     entry = F.struct("doc_id", "tf", "dl")
     postings = counted.filter("token is not null").groupBy("token", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("entries"))
-    postings = postings.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket").sortWithinPartitions("bucket", "token", "block")
+    # a file for each bucket and FILE_BLOCKS blocks, so there are more as the documents grow
+    postings = postings.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", (F.col("block") / FILE_BLOCKS).cast("int")).sortWithinPartitions("bucket", "token", "block")
     postings.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings/batch={batch}")
     counts = counted.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("dl"))).alias("length"))
     counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
