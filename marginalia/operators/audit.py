@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import any_phrase, overlap, tokens, version
+from ..session import settled
 from .links import top_targets
-from .overlaps import candidate_pairs, rarest_first
+from .overlaps import candidate_pairs, rarest_first, similar_pairs
 
 FRESH_DAYS, DRIFT_SECONDS, STALE_ENTRIES, STALE_DAYS, CADENCE_DAYS = 3, 300, 3, 7, 14
 COMPRESS_FROM, COMPRESS_WARN, LINE_CAP = 60, 95, 100
@@ -33,15 +34,35 @@ def overrides(decisions: DataFrame, phrases: tuple[str, ...] = P.OVERRIDES, simi
     """J15, LC2: (newer, older) decisions where the newer has override language and shares its topic with an unannotated older one.
 
     Topics match by a Jaccard similarity of words of at least `similar`, which
-    asks for at least that share of the smaller set; candidates meet on their
-    rarest words.
+    asks for at least that share of the smaller set.  Decisions of equal words
+    are one topic: topics are compared, and their decisions meet only where
+    topics match, so the work beyond the topics is that of the result.
     """
-    d = decisions.withColumn("words", F.array_distinct(tokens("text")))
-    newer = d.filter(any_phrase("text", phrases)).select(F.col("ordinal").alias("at"), "words")
-    older = d.filter(~F.col("struck")).select(F.col("ordinal").alias("at"), "words")
-    pairs = candidate_pairs(rarest_first(newer, d), rarest_first(older, d), similar).filter("r_at < l_at")
-    both = F.size(F.array_intersect("l_words", "r_words"))
-    return pairs.filter(both >= similar * (F.size("l_words") + F.size("r_words") - both)).select(F.col("l_at").alias("newer"), F.col("r_at").alias("older")).distinct()
+    newer, older, topics = _topics(decisions, phrases, similar)
+    pairs = topics.join(newer, "l_topic").join(older, "r_topic").filter("older < newer").select("newer", "older")
+    # a topic pair gives a pair of decisions once, unless an ordinal stands for several
+    repeated = decisions.groupBy("ordinal").agg(F.count("*").alias("n")).filter("n > 1 and ordinal is not null")
+    return pairs if repeated.isEmpty() else pairs.distinct()
+
+
+def last_overrides(decisions: DataFrame, phrases: tuple[str, ...] = P.OVERRIDES, similar: float = 0.5) -> DataFrame:
+    """(newer, older) of `overrides` with the largest newer decision of each older one; no other pair is made."""
+    newer, older, topics = _topics(decisions, phrases, similar)
+    last = newer.groupBy("l_topic").agg(F.max("newer").alias("newer"))
+    reached = topics.join(last, "l_topic").groupBy("r_topic").agg(F.max("newer").alias("newer"))
+    return older.join(reached, "r_topic").filter("older < newer").groupBy("older").agg(F.max("newer").alias("newer")).select("newer", "older")
+
+
+def _topics(decisions: DataFrame, phrases: tuple[str, ...], similar: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(l_topic, newer), (r_topic, older) and the matching (l_topic, r_topic), a topic being a set of words; candidates meet on their rarest words."""
+    words = F.array_sort(F.array_distinct(tokens("text")))
+    d = decisions.select("ordinal", "struck", any_phrase("text", phrases).alias("says"), F.array_join(words, " ").alias("topic")).filter("topic <> '' and ordinal is not null")
+    newer = d.filter("says").select(F.col("topic").alias("l_topic"), F.col("ordinal").alias("newer"))
+    older = d.filter(~F.col("struck")).select(F.col("topic").alias("r_topic"), F.col("ordinal").alias("older"))
+    kinds = settled(d.groupBy("topic").agg(F.max(F.when(F.col("says"), F.col("ordinal"))).alias("newest"), F.min(F.when(~F.col("struck"), F.col("ordinal"))).alias("oldest")).withColumn("words", F.split("topic", " ")))
+    left, right = kinds.filter("newest is not null").drop("oldest"), kinds.filter("oldest is not null").drop("newest")
+    pairs = similar_pairs(rarest_first(left, kinds), rarest_first(right, kinds), similar).filter("r_oldest < l_newest")
+    return newer, older, pairs.select("l_topic", "r_topic").distinct()
 
 
 def redundant_pairs(decisions: DataFrame) -> DataFrame:
