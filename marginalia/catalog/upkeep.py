@@ -262,7 +262,7 @@ def override_chains(spark: SparkSession, sf: str) -> DataFrame:
     """J15, J16, PR7: every part type that later ones override, with the one that stands at the end of its chain."""
     p = table(spark, sf, "part")
     text = F.concat_ws(" ", F.when(F.col("p_partkey") % 2 == 0, "replaces"), "p_name", "p_type")
-    pairs = audit.overrides(p.select(F.col("p_partkey").alias("ordinal"), text.alias("text"), F.lit(False).alias("struck")), similar=0.6)
+    pairs = audit.last_overrides(p.select(F.col("p_partkey").alias("ordinal"), text.alias("text"), F.lit(False).alias("struck")), similar=0.6)
     return chains.ends(pairs, item="older", by="newer").select(F.col("item").alias("ordinal"), "last", "steps", F.col("cycle").isNotNull().alias("cyclic"))
 
 
