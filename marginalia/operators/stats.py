@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+from .ordering import numbered
+
 
 def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     """(qid, diff) over the questions both have."""
@@ -19,6 +22,9 @@ def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
 #: Draws that one task makes, and questions whose differences are sent to all tasks (64 MB).
 BLOCK, QUESTIONS = 1 << 22, 8_000_000
 
+#: Differences that the hashed bootstrap sends to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
 _BLOCKS = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("skip", pa.int64()), ("state", pa.binary())])
 _COUNTS = pa.schema([("grp", pa.int32()), ("block", pa.int64()), ("accepted", pa.int64())])
 _SUMS = pa.schema([("grp", pa.int32()), ("resample", pa.int64()), ("high", pa.float64()), ("low", pa.float64())])
@@ -125,13 +131,24 @@ def _words(n: int, resamples: int) -> int:
 
 
 def hashed_bootstrap(diffs: DataFrame, *, by: str = "qtype", resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """AG17, AG18 with a hash in place of the random stream: slot k of resample s draws question md5(seed:s:k) mod n."""
-    placed = diffs.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("qid")) - 1)
-    sizes = diffs.groupBy(by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"))
-    draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("s")).select(by, "n", "s", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
+    """AG17, AG18 with a hash in place of the random stream: slot k of resample s draws question md5(seed:s:k) mod n.
+
+    The planner takes the draws for as few rows as the sizes they are made
+    from, and would send them to all tasks; so it is said which side is sent.
+    """
+    placed = settled(numbered(settled(diffs.select(by, "qid", "diff")), by, "qid", name="place").select(by, "place", "diff"))
+    sizes = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), F.min("place").alias("first"))
+    # a row of `sizes` becomes resamples times n draws: resamples are dealt out first, and the draws stream past the differences
+    parts = int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = sizes.select(by, "n", "first", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("s")).repartition(parts, by, "s")
+    draws = each.select(by, "n", "first", "s", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
     key = F.concat_ws(":", F.lit(str(seed)), F.col("s").cast("string"), F.col("k").cast("string"))
-    draws = draws.withColumn("at", (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int"))
-    means = draws.join(placed.select(by, "at", "diff"), [by, "at"]).groupBy(by, "s").agg(F.round(F.avg("diff"), 9).alias("m"))
+    draws = draws.select(by, "s", (F.col("first") + F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.col("n")).cast("int").alias("place"))
+    if placed.count() <= BROADCAST_ROWS:
+        drawn = draws.join(F.broadcast(placed.select("place", "diff")), "place")
+    else:
+        drawn = draws.hint("merge").join(placed.select("place", "diff"), "place")
+    means = drawn.groupBy(by, "s").agg(F.round(F.avg("diff"), 9).alias("m"))
     ordered = means.groupBy(by).agg(F.sort_array(F.collect_list("m")).alias("ms")).join(sizes, by)
     opposite = F.when(F.col("mean") >= 0, F.size(F.filter("ms", lambda m: m <= 0))).otherwise(F.size(F.filter("ms", lambda m: m >= 0)))
     return ordered.select(by, F.round("mean", 6).alias("mean_diff"), F.round(F.get("ms", F.lit(int(resamples * alpha / 2))), 6).alias("ci_low"), F.round(F.get("ms", F.lit(int(resamples * (1 - alpha / 2)))), 6).alias("ci_high"), F.round(F.least(F.lit(1.0), 2 * opposite / resamples), 6).alias("p"))

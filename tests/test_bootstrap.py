@@ -1,5 +1,6 @@
 """The exact bootstrap against a plain loop over the standard library's generator."""
 
+import hashlib
 import math
 import random
 
@@ -62,3 +63,25 @@ def test_more_questions_than_fit_are_refused(spark, monkeypatch):
     monkeypatch.setattr(stats, "QUESTIONS", 2)
     with pytest.raises(ValueError, match="hashed_bootstrap"):
         stats.exact_bootstrap(spark.createDataFrame([("a", i, 1.0) for i in range(3)], "qtype string, qid long, diff double"))
+
+
+@pytest.mark.parametrize("rows", [500_000, 3])
+def test_hashed_bootstrap_against_a_plain_loop(spark, monkeypatch, rows):
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", rows)
+    rng, resamples = random.Random(5), 60
+    diffs = {"a": [rng.choice([-1.0, 0.0, 0.5]) for _ in range(23)], "b": [rng.random() for _ in range(8)]}
+    frame = spark.createDataFrame([(g, q, d) for g, own in diffs.items() for q, d in enumerate(own)], "grp string, qid long, diff double").repartition(3)
+    found = stats.hashed_bootstrap(frame, by="grp", resamples=resamples)
+    # the draws, resamples times all questions, are never what is sent to all tasks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    drawn = [line for line in plan.splitlines() if "Join" in line and "[place#" in line]
+    assert drawn and all("SortMergeJoin" in line if rows == 3 else "BuildRight" in line for line in drawn)
+    rows = {r["grp"]: r for r in found.collect()}
+    for g, own in diffs.items():
+        n = len(own)
+        drawn = [[own[int(hashlib.md5(f"42:{s}:{k}".encode()).hexdigest()[:8], 16) % n] for k in range(n)] for s in range(1, resamples + 1)]
+        means = sorted(round(sum(d) / n, 9) for d in drawn)
+        mean = sum(own) / n
+        opposite = sum(m <= 0 if mean >= 0 else m >= 0 for m in means)
+        wanted = (mean, means[int(resamples * 0.025)], means[int(resamples * 0.975)], min(1.0, 2 * opposite / resamples))
+        assert [rows[g][c] for c in ("mean_diff", "ci_low", "ci_high", "p")] == pytest.approx(wanted, abs=2e-6)
