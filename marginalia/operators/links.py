@@ -51,31 +51,40 @@ def index_issues(files: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 _WORD = r"(?U)\w+"
+#: Hashes of first words that `mentions` sends to all tasks, whatever the number of names.
+BUCKETS = 1 << 20
 
 
 def mentions(files: DataFrame, scan: DataFrame | None = None, skip: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """(rel, line_no, original_line_no, text, stem): plain-text names of other files, at most one for a stem and line.
 
-    Names become sequences of words; lines are exploded into the sequences of
-    at most the longest name's words and joined by equality on the words, then
-    the exact pattern is checked: linear in the text, not lines times stems.
-    Line numbers count after front matter and code are removed; the original
-    number counts in the file.
+    Names become sequences of words; lines are exploded into the sequences
+    that begin with a name's first word (told by a hash in BUCKETS, sent to all
+    tasks) and have as many words, and joined by equality on the words.  Only
+    these sequences are shuffled for that, not the lines they stand in; a line
+    meets its names once, and the exact pattern is checked.  Line numbers count
+    after front matter and code are removed; the original number counts in the
+    file.
     """
     known = files.filter(F.length("stem_lc") >= least).groupBy("stem_lc").agg(F.max("rel").alias("target"))
     patterns = known.select("stem_lc", F.posexplode(F.array_distinct(F.array("stem_lc", F.replace("stem_lc", F.lit("-"), F.lit(" "))))).alias("variant", "pattern"))
     patterns = patterns.withColumn("words", F.regexp_extract_all("pattern", F.lit(_WORD), F.lit(0))).withColumn("n", F.size("words")).filter("n > 0").withColumn("key", F.concat_ws(" ", "words"))
+    bucket = lambda word: F.pmod(F.xxhash64(word), F.lit(BUCKETS))
+    starts = patterns.groupBy(bucket(F.get("words", F.lit(0))).alias("bucket")).agg(F.collect_set("n").alias("sizes"))
     scan = markdown(scan if scan is not None else files, skip).filter("content is not null").withColumn("kept", without_code(without_front_matter("content")))
-    rows = scan.select("rel", F.col("stem_lc").alias("own"), F.posexplode(F.split("kept", "\n")).alias("at", "raw")).withColumn("line", clean_line("raw")).withColumn("low", F.lower("line")).filter("low <> ''")
-    sizes = patterns.select("n").distinct()
-    words = rows.withColumn("words", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)))
-    grams = words.join(F.broadcast(sizes), F.size("words") >= F.col("n")).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.concat_ws(" ", F.slice("words", i, F.col("n")))))))
+    rows = scan.select("rel", F.col("stem_lc").alias("own"), F.posexplode(F.split("kept", "\n")).alias("at", "raw")).withColumn("line", clean_line("raw")).filter("lower(line) <> ''")
+    words = rows.select("rel", "own", "at", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("words"))
+    placed = words.select("rel", "own", "at", "words", F.posexplode("words").alias("i", "word")).withColumn("bucket", bucket(F.col("word"))).join(F.broadcast(starts), "bucket")
+    grams = placed.select("rel", "own", "at", "words", "i", F.explode("sizes").alias("m")).filter("i + m <= size(words)").select("rel", "own", "at", "m", F.array_join(F.slice("words", F.col("i") + 1, F.col("m")), " ").alias("gram"))
+    named = grams.join(patterns.select("stem_lc", "variant", "pattern", "key", "n"), (F.col("gram") == F.col("key")) & (F.col("m") == F.col("n"))).filter(F.col("stem_lc") != F.col("own"))
+    named = named.select("rel", "at", "stem_lc", "variant", "pattern").distinct()
     quoted = F.regexp_replace("pattern", r"([\\.\[\]{}()*+?^$|/-])", r"\\$1")
-    hits = grams.join(patterns.select("stem_lc", "variant", "pattern", "key", F.col("n").alias("m")), (F.col("gram") == F.col("key")) & (F.col("n") == F.col("m"))).filter(F.col("stem_lc") != F.col("own"))
-    hits = hits.withColumn("place", F.regexp_instr("low", F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))).filter("place > 0")
-    first = hits.groupBy("rel", "at", "stem_lc").agg(F.min_by(F.struct("place", "pattern", "line", "raw"), "variant").alias("h"))
-    originals = lines(scan).select("rel", F.col("line").alias("raw"), "line_no").groupBy("rel", "raw").agg(F.min("line_no").alias("original_line_no"))
-    out = first.select("rel", "at", (F.col("at") + 1).alias("line_no"), F.substr("h.line", F.col("h.place"), F.length("h.pattern")).alias("text"), F.col("stem_lc").alias("stem"), F.col("h.raw").alias("raw"))
+    hits = named.join(rows.select("rel", "at", "line", F.sha2("raw", 256).alias("raw")), ["rel", "at"])
+    hits = hits.withColumn("place", F.regexp_instr(F.lower("line"), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))).filter("place > 0")
+    hits = hits.select("rel", "at", "stem_lc", "variant", "raw", "place", F.substr("line", F.col("place"), F.length("pattern")).alias("text"))
+    first = hits.groupBy("rel", "at", "stem_lc").agg(F.min_by(F.struct("place", "text", "raw"), "variant").alias("h"))
+    originals = lines(scan).select("rel", F.sha2("line", 256).alias("raw"), "line_no").groupBy("rel", "raw").agg(F.min("line_no").alias("original_line_no"))
+    out = first.select("rel", (F.col("at") + 1).alias("line_no"), F.col("h.text").alias("text"), F.col("stem_lc").alias("stem"), F.col("h.raw").alias("raw"))
     return out.join(originals, ["rel", "raw"], "left").select("rel", "line_no", "original_line_no", "text", "stem")
 
 
