@@ -13,7 +13,8 @@ folder with two tables:
 
 Centroids and code words are fitted on a sample of bounded size; every vector
 is filed.  A cell's codes are held by one task in groups of GROUP_ROWS; the
-questions that read it stream past.  Scores are inner products in double
+questions that read it stream past.  `probes` and `keep` are fitted to the
+sample: what finds FOUND of the ten nearest of some of its vectors.  Scores are inner products in double
 precision, of vectors of one length; null vectors take no part.
 
 `exact` gives the same rows by a scan: tasks hold the questions, MOST_QUESTIONS
@@ -36,6 +37,10 @@ from .ranking import PLACES, best, dot
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 CELL_ROWS, MOST_CELLS, PARTS, WORDS = 500, 4096, 16, 256
 GROUP_ROWS, MOST_QUESTIONS, QUESTION_ROWS = 65_536, 20_000, 128
+#: Of the nearest, what the fitted cells and the fitted number of kept rows each have to find; least values of both, and the vectors they are fitted with.
+FOUND, PROBES, KEEP, TRIED = 0.98, 16, 200, 256
+#: Rows of a cell that are passed on at least, where a question reads more than PROBES cells.
+CELL_KEEP = 32
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -69,6 +74,27 @@ class Model:
         return np.stack([_nearest(rest[:, a:b], w) for a, b, w in zip(self.edges, self.edges[1:], self.words)], axis=1).astype(np.uint8)
 
 
+def _fitted(model: Model, sample: np.ndarray, n: int, rng: np.random.Generator) -> list[float]:
+    """The cells to read and the rows to keep for an index of n rows, by the nearest of some of the sample among the sample."""
+    cell = _nearest(sample, model.centres)
+    code = model.codes(sample - model.centres[cell])
+    tried = rng.choice(len(sample), min(TRIED, len(sample)), replace=False)
+    many = min(11, len(sample))
+    cells, rows = [], []
+    for i in range(0, len(tried), 32):
+        q = sample[tried[i : i + 32]]
+        true = np.argpartition(-(q @ sample.T), many - 1, axis=1)[:, :many]
+        near = q @ model.centres.T
+        rough = near[:, cell]
+        for p, words in enumerate(model.words):
+            rough += (q[:, model.edges[p] : model.edges[p + 1]] @ words.T)[:, code[:, p]]
+        for a, b, t in zip(near, rough, true):
+            cells.extend(np.searchsorted(np.sort(-a), -a[cell[t]], side="right"))
+            rows.extend(np.searchsorted(np.sort(-b), -b[t], side="right"))
+    probes, keep = (float(np.quantile(x, FOUND, method="higher")) for x in (cells, rows))
+    return [max(PROBES, probes), max(KEEP, np.ceil(keep * max(1.0, n / len(sample))))]
+
+
 def write_index(vectors: DataFrame, path: str, *, cells: int | None = None, parts: int = PARTS) -> None:
     """File vectors (doc_id, embedding)."""
     spark = vectors.sparkSession
@@ -101,20 +127,27 @@ def write_index(vectors: DataFrame, path: str, *, cells: int | None = None, part
     filed.repartitionByRange("cell", "doc_id").sortWithinPartitions("cell", "doc_id").write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(f"{path}/vectors")
     sizes = {r["cell"]: r["count"] for r in spark.read.parquet(f"{path}/vectors").groupBy("cell").count().collect()}  # a row a cell
     tables = [("centres", i, c.tolist() + [float(sizes.get(i, 0))]) for i, c in enumerate(centres)] + [(f"words{p:04d}", i, w.tolist()) for p, own in enumerate(model.words) for i, w in enumerate(own)]
+    tables.append(("search", 0, [float(x) for x in _fitted(model, sample, n, rng)]))
     spark.createDataFrame(tables, "name string, at int, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
 
-def _model(spark: SparkSession, path: str) -> tuple[Model, np.ndarray]:
+def _model(spark: SparkSession, path: str) -> tuple[Model, np.ndarray, list[int]]:
     tables: dict[str, list] = {}
     for r in spark.read.parquet(f"{path}/model").orderBy("name", "at").collect():  # bounded by MOST_CELLS and WORDS
         tables.setdefault(r["name"], []).append(r["values"])
-    centres = np.array(tables.pop("centres"))
-    return Model(centres[:, :-1], [np.array(tables[name]) for name in sorted(tables)]), centres[:, -1].astype(np.int64)
+    centres, fitted = np.array(tables.pop("centres")), tables.pop("search", [[PROBES, KEEP]])[0]
+    return Model(centres[:, :-1], [np.array(tables[name]) for name in sorted(tables)]), centres[:, -1].astype(np.int64), [int(x) for x in fitted]
+
 
+def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, *, probes: int | None = None, keep: int | None = None, itself: bool = True) -> DataFrame:
+    """(qid, doc_id, score, rank) of the k best found for questions (qid, embedding); without `itself` not the document of the question's own number.
 
-def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, *, probes: int = 16, keep: int = 200, itself: bool = True) -> DataFrame:
-    """(qid, doc_id, score, rank) of the k best found for questions (qid, embedding); without `itself` not the document of the question's own number."""
-    model, sizes = _model(spark, path)
+    `probes` and `keep` are the fitted ones unless given.
+    """
+    model, sizes, fitted = _model(spark, path)
+    probes = probes or fitted[0]
+    of_cell = keep or (fitted[1] if probes <= PROBES else max(CELL_KEEP, fitted[1] * PROBES // probes))
+    keep = keep or fitted[1]
     groups = np.maximum(1, -(-sizes // GROUP_ROWS))
     sent = spark.sparkContext.broadcast((model, groups))
     asked = questions.select(F.col("qid").cast("long").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).filter("embedding is not null")
@@ -161,7 +194,7 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 10, *,
                     score = np.repeat((some @ own.centres[cell])[:, None], len(held), axis=1)
                     for p, words in enumerate(own.words):
                         score += (some[:, own.edges[p] : own.edges[p + 1]] @ words.T)[:, held[:, p]]
-                    n = min(keep, len(held))
+                    n = min(of_cell, len(held))
                     top = np.argpartition(-score, n - 1, axis=1)[:, :n]
                     qids = piece.column("qid").slice(at, len(some)).to_numpy()
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.full(top.size, cell, np.int32)), pa.array(names[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["qid", "cell", "doc_id", "rough"])

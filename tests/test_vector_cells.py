@@ -67,3 +67,12 @@ def test_edges(spark, tmp_path):
     assert vc.exact(docs, questions.limit(0)).count() == 0 and vc.exact(docs.limit(0), questions).count() == 0
     with pytest.raises(ValueError, match="no vectors"):
         vc.write_index(docs.limit(0), str(tmp_path / "none"))
+
+
+def test_cells_to_read_are_fitted_where_there_are_no_clusters(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(9000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    docs, questions = frame(spark, x, "doc_id").repartition(4), frame(spark, x[:50], "qid")
+    vc.write_index(docs, str(tmp_path / "index"), cells=120)
+    found = vc.search(spark, str(tmp_path / "index"), questions, 10, itself=False)
+    assert vc.recall(found, vc.exact(docs, questions, 10, itself=False)).first()["share"] >= 0.9
