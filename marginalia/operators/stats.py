@@ -165,10 +165,12 @@ def compared(a: DataFrame, b: DataFrame, questions: DataFrame, metric: str, *, r
     A group without a question of both sides is not compared: no difference,
     p of 1.
     """
-    kinds = questions.select("qid", "qtype")
-    sides = a.select("qid").union(b.select("qid")).join(kinds, "qid").select(F.col("qtype").alias("grp")).distinct()
-    groups = sides.union(questions.sparkSession.createDataFrame([("all",)], "grp string"))
-    diffs = paired(a, b, metric).join(kinds, "qid").select("qid", "diff", F.explode(F.array(F.lit("all"), "qtype")).alias("grp"))
+    # both rankings are made once, in a plan of their own; the three results below read a thin table
+    x = a.select("qid", F.col(metric).alias("x"), F.lit(True).alias("in_a"))
+    y = b.select("qid", F.col(metric).alias("y"), F.lit(True).alias("in_b"))
+    met = settled(x.join(y, "qid", "full").join(questions.select("qid", "qtype"), "qid").select("qid", "qtype", "in_a", "in_b", (F.col("x") - F.col("y")).alias("diff")))
+    groups = met.select(F.col("qtype").alias("grp")).distinct().union(questions.sparkSession.createDataFrame([("all",)], "grp string"))
+    diffs = met.filter("in_a and in_b").select("qid", "diff", F.explode(F.array(F.lit("all"), "qtype")).alias("grp"))
     found = hashed_bootstrap(diffs, by="grp", resamples=resamples, alpha=alpha, seed=seed)
     counts = diffs.groupBy("grp").agg(F.count("*").alias("n"))
     rows = groups.join(counts, "grp", "left").join(found, "grp", "left")

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import stats
 
@@ -85,3 +86,19 @@ def test_hashed_bootstrap_against_a_plain_loop(spark, monkeypatch, rows):
         opposite = sum(m <= 0 if mean >= 0 else m >= 0 for m in means)
         wanted = (mean, means[int(resamples * 0.025)], means[int(resamples * 0.975)], min(1.0, 2 * opposite / resamples))
         assert [rows[g][c] for c in ("mean_diff", "ci_low", "ci_high", "p")] == pytest.approx(wanted, abs=2e-6)
+
+
+def test_both_sides_of_a_comparison_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    a = spark.range(40).select(F.col("id").alias("qid"), (F.col("id") % 3).cast("double").alias("m")).mapInArrow(counted, "qid long, m double")
+    b = spark.range(30).select(F.col("id").alias("qid"), F.lit(1.0).alias("m")).mapInArrow(counted, "qid long, m double")
+    kinds = spark.range(40).select(F.col("id").alias("qid"), F.when(F.col("id") < 30, "x").otherwise("y").alias("qtype"))
+    rows = {r["grp"]: (r["n"], r["mean_diff"]) for r in stats.compared(a, b, kinds, "m", resamples=20).collect()}
+    assert rows == {"all": (30, 0.0), "x": (30, 0.0), "y": (0, 0.0)}
+    assert made.value == 70
