@@ -18,7 +18,7 @@ sample: what finds FOUND of the ten nearest of some of its vectors.  Scores are
 precision, of vectors of one length; null vectors take no part.
 
 `exact` gives the same rows by a scan: tasks hold the questions, MOST_QUESTIONS
-at a time, and vectors stream past.
+at a time, and their best scores so far, and vectors stream past in small blocks.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from .ranking import PLACES, best, dot
 SAMPLE_ROWS, SAMPLE_BYTES = 65_536, 64 << 20
 CELL_ROWS, MOST_CELLS, PARTS, WORDS = 500, 4096, 16, 256
 GROUP_ROWS, MOST_QUESTIONS, QUESTION_ROWS = 65_536, 20_000, 128
+#: Vectors and questions that an exact scan multiplies at once (2 MB of scores).
+SCAN_ROWS, SCAN_QUESTIONS = 1024, 256
 #: Of the nearest, what the fitted cells and the fitted number of kept rows each have to find; least values of both, and the vectors they are fitted with.
 FOUND, PROBES, KEEP, TRIED = 0.98, 16, 200, 256
 #: Rows of a cell that are passed on at least, where a question reads more than PROBES cells.
@@ -230,19 +232,22 @@ def exact(vectors: DataFrame, questions: DataFrame, k: int = 10, *, itself: bool
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
+            # each question's k best scores so far in this task: what is below them can't be among its best
+            held = np.full((len(q), k), -np.inf)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, x = batch.column("doc_id").to_numpy(), _matrix(batch.column("embedding"))
-                for at in range(0, len(q), 1024):
-                    score = q[at : at + 1024] @ x.T
-                    if not itself:
-                        score[qids[at : at + 1024, None] == ids] = -np.inf
-                    n = min(k, len(x))
-                    # ties at the border are all passed on
-                    least = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
-                    row, col = np.nonzero((score >= least - 10.0**-PLACES) & (score > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at : at + 1024][row]), pa.array(ids[col]), pa.array(score[row, col])], names=["qid", "doc_id", "score"])
+                for start in range(0, batch.num_rows, SCAN_ROWS):
+                    piece = batch.slice(start, SCAN_ROWS)
+                    ids, x = piece.column("doc_id").to_numpy(), _matrix(piece.column("embedding"))
+                    for at in range(0, len(q), SCAN_QUESTIONS):
+                        own = slice(at, at + SCAN_QUESTIONS)
+                        score = q[own] @ x.T
+                        if not itself:
+                            score[qids[own, None] == ids] = -np.inf
+                        held[own] = np.partition(np.hstack([held[own], score]), -k, axis=1)[:, -k:]
+                        # ties at the border are all passed on
+                        row, col = np.nonzero((score >= held[own].min(axis=1, keepdims=True) - 10.0**-PLACES) & (score > -np.inf))
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([pa.array(qids[own][row]), pa.array(ids[col]), pa.array(score[row, col])], names=["qid", "doc_id", "score"])
 
         found.append(rows.mapInArrow(scan, "qid long, doc_id long, score double"))
     if not found:

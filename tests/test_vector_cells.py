@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import vector_cells as vc
 
@@ -76,3 +77,26 @@ def test_cells_to_read_are_fitted_where_there_are_no_clusters(spark, tmp_path):
     vc.write_index(docs, str(tmp_path / "index"), cells=120)
     found = vc.search(spark, str(tmp_path / "index"), questions, 10, itself=False)
     assert vc.recall(found, vc.exact(docs, questions, 10, itself=False)).first()["share"] >= 0.9
+
+
+def test_a_scan_passes_on_little_of_what_it_reads(spark, monkeypatch):
+    """Tasks keep their best scores from batch to batch and multiply in small blocks; ties stay."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 8))
+    x[17] = x[4000] = x[5999]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, embedding array<double>").coalesce(1)
+    passed = []
+    monkeypatch.setattr(vc, "best", lambda scores, k, best=vc.best: passed.append(scores.count()) or best(scores, k))
+    monkeypatch.setattr(vc, "SCAN_ROWS", 100, raising=False)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        q = v.filter("doc_id < 20").select(F.col("doc_id").alias("qid"), "embedding")
+        rows = vc.exact(v, q, k=5, itself=False).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for i in range(20):
+        s = np.round(x @ x[i], 6)
+        want = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[j], j))[:5]
+        assert [r["doc_id"] for r in sorted((r for r in rows if r["qid"] == i), key=lambda r: r["rank"])] == want
+    assert passed[0] < 20 * 150  # 5 of each of 60 batches would be 300 a question
