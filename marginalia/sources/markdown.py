@@ -33,6 +33,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ from ..functions.text import base_name, folder, skipped, stem
 SCHEMA = "corpus string, rel string, content string, mtime timestamp"
 #: Files read by one task, and folders that the driver lists before tasks take over.
 BATCH, LISTED = 256, 200
+#: Characters of files that a reading task passes on at once; a longer file goes alone.
+READ_CHARS = 8 << 20
 #: Folders of unfinished writes, hidden from readers, and threads that move finished files.
 WRITING, MOVERS = ".writing-", 32
 
@@ -121,6 +124,25 @@ class _Tree:
                 yield self.corpus, rel, content, info.mtime
 
 
+def _batched(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches by their size; Spark's own go by number and could hold a whole part."""
+    names, kinds = ("corpus", "rel", "content", "mtime"), (pa.string(), pa.string(), pa.string(), pa.timestamp("us", tz="UTC"))
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*held), kinds)], names=list(names))
+
+    for row in rows:
+        own = len(row[2] or "")
+        if held and size + own > READ_CHARS:
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += own
+    if held:
+        yield batch()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.tree = _Tree(options)
@@ -128,8 +150,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return self.tree.parts()
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        return self.tree.rows(partition)
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return _batched(self.tree.rows(partition))
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -145,8 +167,8 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return self.tree.parts(start["mtime"], end["mtime"])
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        return self.tree.rows(partition)
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        return _batched(self.tree.rows(partition))
 
 
 @dataclass

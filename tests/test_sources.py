@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import graph, links, search
 from marginalia.sources import parsers, sinks
+from marginalia.sources import markdown as md
 from marginalia.sources.markdown import index_files, markdown, read_corpus
 
 
@@ -119,3 +120,11 @@ def test_a_cache_is_filled_in_steps_and_resumed(spark, tmp_path):
     assert steps == -(-(30 - kept) // 6) and sum(calls) == 60 - 2 * kept
     assert {(r["session_id"], r["text"]) for r in parsers.cache(spark, path).collect()} == {(f"s{i}", str(2 * i + 30)) for i in range(30)}
     assert sinks.fill_cache(work, path, extract, every=6) == 0
+
+
+def test_long_files_are_passed_on_one_by_one(monkeypatch):
+    monkeypatch.setattr(md, "READ_CHARS", 10)
+    rows = [("c", f"{i}.md", text, None) for i, text in enumerate(("a" * 4, None, "b" * 5, "c" * 30, "d"))]
+    got = list(md._batched(iter(rows)))
+    assert [b.num_rows for b in got] == [3, 1, 1]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
