@@ -52,3 +52,27 @@ def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
     plan = word_index.search(spark, path, questions, 3)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan
     assert spark.read.parquet(f"{path}/postings").filter(F.col("token") == "common").count() > 100
+
+
+def test_postings_are_counted_where_the_texts_lie(spark, tmp_path, monkeypatch):
+    """Tasks follow from the documents, not from the session's setting, and each has its share of the postings."""
+    monkeypatch.setattr(word_index, "TASK_DOCS", 50)
+    monkeypatch.setattr(word_index, "FILE_BLOCKS", 2)
+    rng, path = random.Random(9), str(tmp_path / "index")
+    word_index.add_documents(spark.createDataFrame(corpus(rng, 1000), "doc_id long, text string"), path, block_docs=50)
+    files = spark.read.parquet(f"{path}/postings").select(F.input_file_name().alias("f"), F.size("entries").alias("n")).groupBy("f").agg(F.sum("n").alias("n")).collect()
+    assert len(files) > 200 and max(f["n"] for f in files) < sum(f["n"] for f in files) / 20
+
+
+def test_texts_of_one_identifier_and_named_ones(spark, tmp_path):
+    """Identifiers may be strings and come twice; weights may be negative; questions are scored in parts."""
+    path = str(tmp_path / "index")
+    texts = [("a", "one two"), ("a", "two three three"), ("b", "two"), ("c", ""), ("d", "two four")]
+    word_index.add_documents(spark.createDataFrame(texts, "doc_id string, text string"), path)
+    counts = {r["token"]: (r["df"], r["length"]) for r in spark.read.parquet(f"{path}/counts").collect()}
+    assert counts == {None: (5, 8), "one": (1, None), "two": (3, None), "three": (1, None), "four": (1, None)}
+    entries = spark.read.parquet(f"{path}/postings").filter("token = 'two'").select(F.inline("entries")).collect()
+    assert sorted(map(tuple, entries)) == [("a", 2, 5), ("b", 1, 1), ("d", 1, 2)]
+    questions = spark.createDataFrame([(f"q{i}", "two three") for i in range(300)] + [("none", "five")], "qid string, text string")
+    found = word_index.search(spark, path, questions, 2).collect()
+    assert len(found) == 600 and {(r["rank"], r["doc_id"]) for r in found if r["rank"] == 0} == {(0, "a")}
