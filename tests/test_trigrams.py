@@ -98,3 +98,38 @@ def test_batches_are_added_and_replace_files(spark, tmp_path):
     trigrams.write_index(frame(spark, [("c", "n.md", ".", 4, "again")]), path, 1)
     # the batch, written again without a.md and with another n.md, has replaced itself
     assert found("garden") == [("c", "a.md", 1), ("c", "b.md", 1), ("d", "a.md", 1)]
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 40])
+def test_bitmaps_of_whole_blocks(monkeypatch, pairs):
+    """A task's bitmaps hold every trigram of every block once, in pieces of whole blocks, however lines are cut."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(trigrams, "PAIRS", pairs)
+    monkeypatch.setattr(trigrams, "CHARS", 16)
+    monkeypatch.setattr(trigrams, "MADE", 3)
+    rng = random.Random(pairs)
+    rows = sorted((rng.choice([1, 2, 7, 4096, 4097, 9000]), "".join(rng.choices("ab \n𝄞é", k=rng.choice([0, 2, 3, 9, 60])))) for _ in range(60))
+    batches = [pa.RecordBatch.from_pylist([{"block": b, "low": t} for b, t in rows[i : i + 7]], schema=pa.schema([("block", pa.int32()), ("low", pa.string())])) for i in range(0, len(rows), 7)]
+    found = [r for out in trigrams._bitmaps(iter(batches)) for r in out.to_pylist()]
+    had, where = set(), {}
+    for r in found:
+        bits = int.from_bytes(r["blocks"], "little")
+        for at in (i for i in range(trigrams.SEGMENT) if bits >> i & 1):
+            block = r["segment"] * trigrams.SEGMENT + at + 1
+            assert (block, r["tri"]) not in had and where.setdefault(block, r["piece"]) == r["piece"]
+            had.add((block, r["tri"]))
+    assert had == {(b, t[i : i + 3]) for b, t in rows for i in range(len(t) - 2)}
+    assert (max(r["piece"] for r in found) > 0) == (pairs == 40)
+
+
+def test_no_pair_of_a_block_and_a_trigram_is_shuffled(spark, tmp_path):
+    """The postings' shuffle has a bitmap for a trigram and a segment."""
+    rng, path = random.Random(3), str(tmp_path / "index")
+    lines = frame(spark, [("c", f"n{f}.md", ".", 1, " ".join(rng.choices(WORDS, k=40))) for f in range(5000)])
+    trigrams.write_index(lines, path)
+    postings = spark.read.parquet(f"{path}/postings")
+    assert postings.groupBy("tri", "segment", "piece").count().filter("count > 1").isEmpty()
+    assert postings.count() < 1000 and {r["segment"] for r in postings.select("segment").distinct().collect()} == {0, 1}
+    blocks = spark.read.parquet(f"{path}/lines").select("block").distinct()
+    assert (blocks.count(), blocks.agg(F.max("block")).first()[0]) == (5000, 5000)
