@@ -15,6 +15,7 @@ from ..plans import briefing, closing
 from ..session import configured, shared_path, table
 from ..sources import parsers, sinks
 from ..sources.markdown import read_corpus
+from ..sources.sections import read_sections
 from .corpora import named
 from .vault import _FILES, vault
 from .vault import ORACLES as VAULT
@@ -128,11 +129,11 @@ def graph_file_written(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def registry_written(spark: SparkSession, sf: str) -> DataFrame:
-    """SK3, SC5: all customers as sources of a registry, the file written block by block and parsed again."""
+    """SK3, SC5: all customers as sources of a registry, the file written block by block and parsed again by its sections."""
     c = table(spark, sf, "customer").select(F.regexp_replace("c_name", "[^A-Za-z0-9]+", "-").alias("name"), F.concat(F.lit("/srv/"), F.col("c_custkey").cast("string")).alias("path"), F.lit(AS_OF).alias("registered"), (F.col("c_custkey") % 3 > 0).alias("searchable"))
     path = shared_path(spark, "registry")
     sinks.write_pieces(sinks.registry_pieces(c), path, "name", between="\n\n")
-    return parsers.registry(read_corpus(spark, path)).select("name", "path", "registered", "searchable")
+    return parsers.registry(read_sections(spark, path)).select("name", "path", "registered", "searchable")
 
 
 def reindexed_entries(spark: SparkSession, sf: str) -> DataFrame:

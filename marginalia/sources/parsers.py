@@ -44,13 +44,27 @@ def front_matter_map(files: DataFrame) -> DataFrame:
     return rows.groupBy("rel").agg(F.map_from_entries(F.collect_list(F.when(~listed, F.struct("key", "value")))).alias("scalars"), F.map_from_entries(F.collect_list(F.when(listed, F.struct(F.col("key"), links("value"))))).alias("link_lists"))
 
 
+#: Pieces of a registry, of some 64 KB, that a task parses.
+TASK_PIECES = 32
+
+
 def registry(files: DataFrame) -> DataFrame:
-    """SC5: (name, path, registered, searchable) in file order; names have no space, searchable defaults to true."""
-    rows = filled(lines(files), _match("line", r"^##\s+(\S+)\s*$"), "name").filter("name is not null")
+    """SC5: (name, path, registered, searchable) in file order; names have no space, searchable defaults to true.
+
+    Files may come in pieces that begin with a heading, with `start`, their place;
+    then the order is by both, and there are tasks for every TASK_PIECES of them.
+    """
+    keep = ("rel", "start") if "start" in files.columns else ("rel",)
+    tasks = max(1, -(-files.count() // TASK_PIECES)) if "start" in files.columns else 0
+    # the number is given, as rows this alike are far larger than their shuffled bytes tell
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
+    files = dealt(files, *keep)
+    rows = filled(lines(files, *keep), _match("line", r"^##\s+(\S+)\s*$"), "name", *keep).filter("name is not null")
+    at = F.struct("start", "line_no") if "start" in files.columns else F.col("line_no")
     pair = r"^-\s+(\w+)\s*:\s*(.+)$"
     rows = rows.withColumn("key", F.lower(F.regexp_extract(strip("line"), pair, 1))).withColumn("value", strip(F.regexp_extract(strip("line"), pair, 2)))
-    last = lambda key: F.max_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("line_no")))
-    found = rows.groupBy("rel", "name").agg(F.min("line_no").alias("at"), last("path").alias("path"), last("registered").alias("registered"), last("searchable").alias("searchable"))
+    last = lambda key: F.max_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, at))
+    found = dealt(rows, "rel", "name").groupBy("rel", "name").agg(F.min(at).alias("at"), last("path").alias("path"), last("registered").alias("registered"), last("searchable").alias("searchable"))
     return found.select("at", "name", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("registered", F.lit("")).alias("registered"), F.coalesce(F.lower("searchable").isin("true", "yes", "1"), F.lit(True)).alias("searchable"))
 
 
