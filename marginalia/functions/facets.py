@@ -14,6 +14,12 @@ from . import patterns as P
 from .text import found, rstrip_chars, strip
 
 ENTRY_CAP = 1500
+#: What each pattern of P.DATES begins with, looked for before its word bound and alternatives are tried.
+#: A long s is an s where case is ignored; \p{Nd} is what \d is under (?U).
+DATE_LEADS = (
+    "(?=[JFMASONDjfmasond\u017f][AEPUCOaepuco])", "(?=May)", "(?=[12])", "(?=[MTWFSmtwfs\u017f][OUEHRAouehra])", "(?=[YTLNytln][EOHAeoha])",
+    *[r"(?=\p{Nd})"] * 3, "(?=[0-9])", r"(?=\p{Nd})",
+)
 
 
 def _unicode(pattern: str) -> str:
@@ -26,8 +32,8 @@ def first_of_each(phrases: Column, cap: int) -> Column:
     return kept["out"]
 
 
-def phrases(text: Column, families: tuple[str, ...], trim: str) -> Column:
-    every = F.flatten(F.array(*[found(text, _unicode(p)) for p in families]))
+def phrases(text: Column, families: tuple[str, ...], trim: str, leads: tuple[str, ...] = ()) -> Column:
+    every = F.flatten(F.array(*[found(text, lead + _unicode(p)) for p, lead in zip(families, leads or [""] * len(families), strict=True)]))
     return F.transform(every, lambda p: rstrip_chars(strip(p), trim))
 
 
@@ -43,7 +49,7 @@ def decisions(text: Column, cap: int = 4) -> Column:
 
 def dates(text: Column, cap: int = 10) -> Column:
     """EX11"""
-    every = F.transform(phrases(text, P.DATES, ".,!?;:"), lambda p: F.regexp_replace(p, r"\s+", " "))
+    every = F.transform(phrases(text, P.DATES, ".,!?;:", DATE_LEADS), lambda p: F.regexp_replace(p, r"\s+", " "))
     return first_of_each(F.filter(every, lambda p: F.length(p) >= 3), cap)
 
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.catalog import QUERIES
 from marginalia.functions import patterns as P
@@ -88,3 +89,21 @@ def test_entries(spark):
         turns.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     found = {r["session_id"]: r["entry"] for r in QUERIES["facet_entries"](spark, FOLDER).collect()}
     assert found == {k: entry(t) for k, t in turns.items()}
+
+
+def test_leads_leave_no_date_out(spark):
+    """With what a pattern begins with looked for first, it finds the same: in any case, with a long s, Kelvin signs and digits of other scripts."""
+    import random
+
+    from marginalia.functions import facets as fx
+
+    rng = random.Random(7)
+    words = """january FEBRUARY Mar april may May MAY june jul August ſeptember ſept Sept october NOV dec monday Tuesday WEDNESDAY thurſday friday ſaturday Sunday yeſterday Tomorrow today toniGht
+        this morning thiſ afternoon last week next\tyear laſt night 1999 2024 ２０２４ 2024-05-06 ٢٠٢٤-٠٥-٠٦ 1/2 ١/٢/٢٠٢٤ 3 days ago ٣ weeKs later 12 hours from now 10:30 ١٠:٣٠ 09:15pm 11 AM 0:59
+        xmay mayé émay _1999 1999_ éMonday İ ı K ſ é ٣ . , ! : ; \n""".split(" ")
+    texts = [rng.choice(["", " "]).join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(3000)] + [w for w in words] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = [(fx.found("text", fx._unicode(p)), fx.found("text", lead + fx._unicode(p))) for p, lead in zip(P.DATES, fx.DATE_LEADS, strict=True)]
+    rows = frame.select(*[F.array(a, b).alias(f"f{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    assert all(row[i][0] == row[i][1] for row in rows for i in range(len(pairs)))
+    assert all(any(row[i][0] for row in rows) for i in range(len(pairs)))
