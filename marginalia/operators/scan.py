@@ -1,7 +1,8 @@
-"""Tasks that read texts where they lie: words counted, questions scored.
+"""Tasks that read texts where they lie: words counted, questions scored, passages looked for.
 
 What goes on from a task doesn't grow with the texts' words: counts of the
-vocabulary, and each question's best k.  Words are those of `functions.text.tokens`.
+vocabulary, each question's best k, and the pairs of a passage and a text that
+contains it.  Words are those of `functions.text.tokens`.
 """
 
 from __future__ import annotations
@@ -171,3 +172,32 @@ def scored(asked: Asked, avgdl: float, k: int, *, k1: float, b: float, places: i
             yield pa.RecordBatch.from_arrays([asked.qids.take(pa.array(rows.column("q").to_numpy())), doc_id, pa.array(rows.column("score").to_numpy())], names=["qid", "doc_id", "score"])
 
     return run
+
+
+def containing(qids: pa.Array, passages: list[bytes]) -> Callable[[Batches], Batches]:
+    """(doc_id, text) to (qid, doc_id): the passages that a text contains.
+
+    The words between a passage's first and last one are whole in any text that
+    contains it; so only texts that have its longest inner word are searched,
+    and all for a passage of fewer than three words.
+    """
+    by_word: dict[bytes, list[int]] = {}
+    anywhere = []
+    for i, passage in enumerate(passages):
+        inner = [w for w in passage.split(b" ") if w][1:-1]
+        (by_word.setdefault(max(inner, key=len), []) if inner else anywhere).append(i)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part, texts in _texts(batch):
+                doc, question = [], []
+                for d, text in enumerate(texts):
+                    if text is not None:
+                        tried = [i for w in by_word.keys() & set(text.split(b" ")) for i in by_word[w]] + anywhere
+                        found = [i for i in tried if passages[i] in text]
+                        doc += [d] * len(found)
+                        question += found
+                if doc:
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(question)), part.column("doc_id").take(pa.array(doc))], names=["qid", "doc_id"])
+
+    return run

@@ -1,4 +1,4 @@
-"""BM25 over the whole corpus, by passes over the texts."""
+"""BM25 over the whole corpus and passages' relevance, by passes over the texts."""
 
 import random
 import re
@@ -8,7 +8,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from marginalia.catalog import ORACLES, QUERIES
+from marginalia.catalog import ORACLES, QUERIES, retrieval
 from marginalia.operators import ranking, scan
 
 
@@ -35,15 +35,16 @@ def both(spark, path, name):
     return sorted(map(tuple, QUERIES[name](spark, path).collect())), sorted(con.sql(ORACLES[name]).fetchall())
 
 
-@pytest.mark.parametrize(("name", "kind"), [("bm25_topk", "long"), ("bm25_topk", "string")])
+@pytest.mark.parametrize(("name", "kind"), [("bm25_topk", "long"), ("bm25_topk", "string"), ("bm25_eval", "long")])
 def test_odd_tables_as_in_sql(spark, tmp_path, monkeypatch, name, kind):
-    """In one part, then with questions in several."""
+    """In one part, then with questions and passages in several."""
     docs, passages = corpus(random.Random(3))
     path = tables(spark, tmp_path, [(i if kind == "long" or i is None else f"d{i}", t) for i, t in docs], passages, kind)
     found, expected = both(spark, path, name)
     assert len(expected) > 14 and found == expected
     if kind == "long":
         monkeypatch.setattr(ranking, "BROADCAST_ROWS", 20)
+        monkeypatch.setattr(retrieval, "SENT_PASSAGES", 4)
         assert both(spark, path, name)[0] == expected
 
 
@@ -79,3 +80,11 @@ def test_a_task_passes_on_each_questions_best_alone(spark):
     found = ranking.bm25_corpus(asked, docs, 4)
     assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in found.collect()) == [(q, i, i) for q in range(9) for i in range(4)]
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_passages_go_to_the_texts_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "SENT_PASSAGES", 2)
+    path = tables(spark, tmp_path, [(1, "an old kiwi tree"), (2, None), (3, "kiwi")], [(i, t) for i, t in enumerate(["an old kiwi tree", "old kiwi", "kiwi", "kiwi t", "", None])])
+    found = retrieval._contained(spark, path)
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (1, 1), (2, 1), (2, 3), (3, 1), (4, 1), (4, 3)]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
